@@ -6,7 +6,7 @@ insertions and reordering flip few bits. The anchors of a block are the 4,096
 words of the perfect binary Golay code of length 23 and covering radius 3: each
 block has exactly one home anchor. A record visits every anchor within
 radius + `slack` of its block; two records meet where one visits the other's
-home. Records are compared per anchor on a 192-bit part of the fingerprint, and
+home. Records are compared per anchor on a 256-bit part of the fingerprint, and
 what remains is verified by the exact share of common word sequences.
 
 Exact copies (equal word sequences) are collapsed to one class before that.
@@ -28,7 +28,7 @@ from .common import WordHashes, checkpoint, connected_components, shingles, text
 BITS, RADIUS, ANCHORS = 23, 3, 4096
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the Golay code.
 GENERATOR = 0b110001110101
-LANES = 3  # 64-bit lanes of fingerprint that travel with a record
+LANES = 4  # 64-bit lanes of fingerprint that travel with a record
 #: Most home records of one anchor in one task; anchors with more are split.
 HOT = 20_000
 
@@ -227,7 +227,7 @@ def _shingle_rows(fields: list[str], width: int):
 
 
 def near_duplicates(
-    df: DataFrame, key: str, fields: list[str], *, width: int = 5, similarity: float = 0.8, tables: int = 10, slack: int = 1, limit: int = 54
+    df: DataFrame, key: str, fields: list[str], *, width: int = 5, similarity: float = 0.8, tables: int = 10, slack: int = 1, limit: int = 66
 ) -> tuple[DataFrame, DataFrame]:
     """(classes, links) of records whose word sequences of `width` words agree in a share of at least `similarity`.
 
@@ -238,7 +238,7 @@ def near_duplicates(
     equal ones still share a class. Extra columns are ignored, an empty table gives
     two empty ones.
 
-    `limit` is the number of the 192 fingerprint bits in which a pair may differ
+    `limit` is the number of the 256 fingerprint bits in which a pair may differ
     before it is dropped unverified.
     """
     src = df.select(F.col(key).alias("key"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]).where("key is not null")
