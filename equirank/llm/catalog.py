@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup
+from . import leakage, mixing, neardup, sampling
 from .common import read
 
 QUERIES: dict = {}
@@ -52,3 +52,123 @@ SELECT DISTINCT pa AS paper_id_a, pb AS paper_id_b
 FROM c JOIN n x ON x.paper_id = pa AND x.w = wa JOIN n y ON y.paper_id = pb AND y.w = wb
 WHERE c * 2 >= x.n + y.n - c
 """
+
+
+# 2. sample of target proportions
+
+
+def _papers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return sampling.latest_papers(read(spark, sf, "fairsearch_arxiv")), read(spark, sf, "sample_targets")
+
+
+@query
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.quota_report(*_papers(spark, sf)).where("missing > 0").select("cell_id")
+
+
+@query
+def p2_report(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.quota_report(*_papers(spark, sf))
+
+
+@query
+def p2_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.quota_sample(*_papers(spark, sf))
+
+
+_P2 = r"""
+WITH last AS (
+  SELECT paper_id, arg_max(struct_pack(c := category, l := institution_label, y := year), vec_id) AS r
+  FROM fairsearch_arxiv WHERE paper_id IS NOT NULL GROUP BY paper_id),
+p AS (
+  SELECT paper_id, lower(regexp_extract(r.c, '[^\s,;]+', 0)) AS code,
+    lower(regexp_replace(r.l, '^[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}]+|[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}]+$', '', 'g')) AS label, r.y AS year FROM last),
+s AS (SELECT count(*) // 5 AS s FROM p),
+c AS (
+  SELECT t.cell_id, count(p.paper_id) AS available,
+    greatest(any_value(t.min_rows), (any_value(t.target_bp) * any_value(s.s) + 9999) // 10000) AS needed
+  FROM sample_targets t CROSS JOIN s
+  LEFT JOIN p ON p.code = lower(trim(t.category)) AND p.label = lower(trim(t.institution_label)) AND p.year BETWEEN t.year_from AND t.year_to
+  GROUP BY t.cell_id)
+"""
+ORACLE["p2_found"] = _P2 + "SELECT cell_id FROM c WHERE available < needed"
+
+
+# 7. leaked evaluation passages
+
+
+@query
+def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked_items(read(spark, sf, "documents"), read(spark, sf, "eval_items"))
+
+
+@query
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_leaks(spark, sf).select("doc_id", "item_id")
+
+
+@query
+def p7_items(spark: SparkSession, sf: str) -> DataFrame:
+    leaks = p7_leaks(spark, sf).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("containment").alias("most"))
+    return (
+        read(spark, sf, "eval_items").select("item_id", "category").join(leaks, "item_id", "left")
+        .select("item_id", "category", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most", F.lit(0.0)).alias("most"))
+    )
+
+
+_P7 = r"""
+WITH w AS (
+  SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id AS id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE passage IS NOT NULL),
+d AS (SELECT DISTINCT id AS doc_id, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] AS g
+  FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+e AS (SELECT DISTINCT id AS item_id, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] AS g
+  FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM iw WHERE len(w) >= 5)),
+n AS (SELECT item_id, count(*) AS n FROM e GROUP BY 1),
+l AS (SELECT doc_id, item_id, count(*) AS c FROM d JOIN e USING (g) GROUP BY 1, 2)
+"""
+ORACLE["p7_found"] = _P7 + "SELECT doc_id, item_id FROM l JOIN n USING (item_id) WHERE c >= 0.4 * n"
+ORACLE["p7_leaks"] = _P7 + "SELECT doc_id, item_id, c::DOUBLE / n AS containment FROM l JOIN n USING (item_id) WHERE c >= 0.4 * n"
+
+
+# 8. mix of sources
+
+
+def _counted(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.source_tokens(read(spark, sf, "documents"))
+
+
+@query
+def p8_plan(spark: SparkSession, sf: str) -> DataFrame:
+    plan = mixing.mix_plan(_counted(spark, sf), read(spark, sf, "mix_targets"))
+    return plan.select("source", "docs", "available", F.round("target", 4).alias("target"), "reachable")
+
+
+@query
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_plan(_counted(spark, sf), read(spark, sf, "mix_targets")).where("not reachable").select("source")
+
+
+@query
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_counted(spark, sf), read(spark, sf, "mix_targets"))
+
+
+@query
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_report(_counted(spark, sf), read(spark, sf, "mix_targets"))
+
+
+_P8 = r"""
+WITH d AS (
+  SELECT lower(trim(source, ' ' || chr(9) || chr(10) || chr(13))) AS source, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{000B}]')) AS tokens
+  FROM documents),
+a AS (SELECT source, count(*) AS docs, coalesce(sum(tokens), 0) AS available FROM d GROUP BY 1),
+t AS (SELECT coalesce(sum(tokens), 0) AS t FROM d),
+p AS (
+  SELECT m.source, coalesce(docs, 0)::BIGINT AS docs, coalesce(available, 0)::BIGINT AS available, round(target_bp * t / 10000.0, 4)::DOUBLE AS target,
+    NOT (coalesce(docs, 0) = 0 OR max_repeats * coalesce(available, 0) * 10000 < target_bp * t) AS reachable
+  FROM mix_targets m CROSS JOIN t LEFT JOIN a ON a.source = m.source)
+"""
+ORACLE["p8_plan"] = _P8 + "SELECT * FROM p"
+ORACLE["p8_found"] = _P8 + "SELECT source FROM p WHERE NOT reachable"
