@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, mixing, neardup, sampling
+from . import leakage, lookalike, mixing, neardup, sampling
 from .common import read
 
 QUERIES: dict = {}
@@ -94,6 +94,22 @@ c AS (
 ORACLE["p2_found"] = _P2 + "SELECT cell_id FROM c WHERE available < needed"
 
 
+# 5. look-alike text
+
+_FIELD = ["source_table", "row_id", "field_name"]
+
+
+@query
+def p5_forms(spark: SparkSession, sf: str) -> DataFrame:
+    fields = lookalike.corpus_fields(read(spark, sf, "fairsearch_arxiv"), read(spark, sf, "authorships"))
+    return lookalike.normalize_values(fields, _FIELD)
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_forms(spark, sf).where(F.size("kinds") > 0).select(*_FIELD)
+
+
 # 7. leaked evaluation passages
 
 
