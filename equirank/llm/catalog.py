@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, lookalike, mixing, neardup, sampling
+from . import leakage, lookalike, markup, mixing, neardup, sampling
 from .common import read
 
 QUERIES: dict = {}
@@ -110,6 +110,19 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_forms(spark, sf).where(F.size("kinds") > 0).select(*_FIELD)
 
 
+# 6. markup residue
+
+
+@query
+def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.clean_values(markup.paper_fields(read(spark, sf, "fairsearch_arxiv")), ["vec_id", "field_name"])
+
+
+@query
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_clean(spark, sf).where(F.size("kinds") > 0).select("vec_id", "field_name")
+
+
 # 7. leaked evaluation passages
 
 
