@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, lookalike, markup, mixing, neardup, sampling
+from . import canonical, leakage, lookalike, markup, mixing, mojibake, neardup, sampling
 from .common import read
 
 QUERIES: dict = {}
@@ -94,6 +94,30 @@ c AS (
 ORACLE["p2_found"] = _P2 + "SELECT cell_id FROM c WHERE available < needed"
 
 
+# 3. canonical values
+
+
+@query
+def p3_mapped(spark: SparkSession, sf: str) -> DataFrame:
+    names = read(spark, sf, "canonical_values")
+    typed = (("authorships", "authorship_id", "raw_affiliation", "institution"), ("fairsearch_arxiv", "vec_id", "institution_label", "institution_label"))
+    parts = [
+        canonical.map_to_canonical(read(spark, sf, t), names, key=k, field=f, kind=kind).select(F.lit(t).alias("source_table"), "*")
+        for t, k, f, kind in typed
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_mapped(spark, sf).select("source_table", "row_id", "ref_id")
+
+
+@query
+def p3_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical.unmatched_report(p3_mapped(spark, sf))
+
+
 # 5. look-alike text
 
 _FIELD = ["source_table", "row_id", "field_name"]
@@ -201,3 +225,16 @@ p AS (
 """
 ORACLE["p8_plan"] = _P8 + "SELECT * FROM p"
 ORACLE["p8_found"] = _P8 + "SELECT source FROM p WHERE NOT reachable"
+
+
+# 9. garbled text
+
+
+@query
+def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return mojibake.restore_texts(read(spark, sf, "documents"))
+
+
+@query
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_restored(spark, sf).select("doc_id")
