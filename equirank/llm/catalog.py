@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import canonical, leakage, lookalike, markup, mixing, mojibake, neardup, sampling
+from . import canonical, knn, leakage, lookalike, markup, mixing, mojibake, neardup, sampling
 from .common import read
 
 QUERIES: dict = {}
@@ -118,6 +118,22 @@ def p3_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.unmatched_report(p3_mapped(spark, sf))
 
 
+# 4. most similar vectors
+
+
+@query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    near = knn.nearest(read(spark, sf, "fairsearch_arxiv").select("vec_id", "embedding"), "vec_id", "embedding", min_cosine=0.9)
+    return knn.mutual_pairs(near).select(F.col("key_a").alias("vec_id_a"), F.col("key_b").alias("vec_id_b"))
+
+
+@query
+def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "fairsearch_arxiv").select("vec_id", "embedding")
+    near = knn.nearest(rows, "vec_id", "embedding", queries=F.col("vec_id") % 20 == 0)
+    return near.select(F.col("key").alias("vec_id"), F.col("other").alias("neighbour_id"), "cosine", "rank")
+
+
 # 5. look-alike text
 
 _FIELD = ["source_table", "row_id", "field_name"]
