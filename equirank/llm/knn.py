@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 #: Vectors of one cell, leaves of a local tree, and the sample that the splits are fitted on.
-CELL, LEAF, SAMPLE = 8_192, 256, 20_000
+CELL, LEAF, SAMPLE = 16_384, 256, 20_000
 
 
 def _gamma_share(a: float, x: float) -> float:
@@ -227,17 +227,28 @@ def _own_cell(size: int, directions: np.ndarray, tree: Tree, k: int, p: float, f
         for lo in range(0, len(asked), 4096):
             q = asked[lo : lo + 4096]
             at, who, cos, kth = index.search(keys[q], unit[q], k, np.full(len(q), far))
-            yield _rows(0, cell, keys[q][at], who, cos, None)
+            yield _rows(0, cell, keys[q][at], who, cos)
             row, to = tree.visits((unit[q] @ directions).astype(np.float32), kth.astype(np.float32), quantiles)
             other = to != cell
             row, to = row[other], to[other]
-            yield _rows(1, to, keys[q][row], np.full(len(row), -1), kth[row], pdf["v"].to_numpy()[q][row])
+            yield _rows(1, to, keys[q][row], np.full(len(row), -1), kth[row])
 
     return _by_cell(finish)
 
 
-def _rows(kind: int, cell, key, other, value, v) -> pd.DataFrame:
-    return pd.DataFrame({"kind": np.full(len(key), kind, np.int32), "cell": np.broadcast_to(np.int32(cell), len(key)) if np.isscalar(cell) else np.asarray(cell, np.int32), "key": key, "other": other, "value": value, "v": v if v is not None else np.full(len(key), None, object)})
+def _rows(kind: int, cell, key, other, value) -> pd.DataFrame:
+    return pd.DataFrame({"kind": np.int32(kind), "cell": np.broadcast_to(np.asarray(cell, np.int32), len(key)), "key": key, "other": other, "value": value})
+
+
+def _project(directions: np.ndarray):
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                raw = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+                p = (raw / np.linalg.norm(raw, axis=1, keepdims=True)) @ directions
+                yield pd.DataFrame({"key": pdf["key"], "p": list(p.astype(np.float32))})
+
+    return run
 
 
 def _by_cell(finish):
@@ -319,8 +330,8 @@ def nearest(
     With `min_cosine` only neighbours of at least that cosine count, which bounds
     every search radius. `queries` is a condition on the rows that ask; without it
     all rows do. Keys are integers and name each row once. Rows without a proper vector take no part; fewer than
-    k others give fewer rows, an empty table none. The splits are fitted on at most
-    SAMPLE vectors; all vectors are indexed.
+    k others give fewer rows, an empty table none. The splits are fitted on about
+    SAMPLE vectors (2 x SAMPLE at most); all vectors are indexed.
     """
     keyed, groups = distinct_vectors(df, key, vector, size, k + 1)
     groups = checkpoint(groups)
@@ -338,24 +349,27 @@ def nearest(
     rng = np.random.default_rng(seed)
     directions = rng.standard_normal((size, dims))
     depth = max(0, math.ceil(math.log2(max(1, n / cell))))
-    sample = reps.orderBy(F.xxhash64("key", F.lit(seed)), "key").select("v").limit(SAMPLE).toPandas() if depth else None
+    fitted = np.empty((0, dims), np.float32)
     if depth:
-        raw = np.stack(sample["v"].to_numpy()).astype(np.float64)
-        fitted = ((raw / np.linalg.norm(raw, axis=1, keepdims=True)) @ directions).astype(np.float32)
-    else:
-        fitted = np.empty((0, dims), np.float32)
+        # about SAMPLE vectors, chosen by a hash of their keys; only their projections come to the driver
+        share = min(1.0, SAMPLE / n)
+        drawn = reps.where(F.xxhash64("key", F.lit(seed)) / F.lit(2.0**64) + 0.5 < share).select("key", "v")
+        sample = drawn.mapInPandas(_project(directions), "key long, p array<float>").limit(2 * SAMPLE).toPandas().sort_values("key")
+        fitted = np.stack(sample["p"].to_numpy())
     tree = Tree(fitted, depth)
     far = 4.0 if min_cosine is None else 2 - 2 * min_cosine
 
     homes = checkpoint(reps.mapInPandas(_assign(size, directions, tree), "cell int, key long, v binary, query boolean"))
     cells = 1 << depth
-    answers = "kind int, cell int, key long, other long, value double, v binary"
+    answers = "kind int, cell int, key long, other long, value double"
     own = checkpoint(
         homes.repartition(cells, "cell").sortWithinPartitions("cell").mapInPandas(_own_cell(size, directions, tree, k, confidence, far), answers)
     )
     local = own.where("kind = 0").select("key", "other", "value")
+    # the visits are kept without vectors, which are joined to them on the way to the cells
+    visits = own.where("kind = 1").select("cell", "kind", "key", "value").join(homes.select("key", "v"), "key")
     placed = homes.select("cell", F.lit(0).alias("kind"), "key", F.lit(0.0).alias("value"), "v").unionByName(
-        own.where("kind = 1").select("cell", "kind", "key", "value", "v")
+        visits.select("cell", "kind", "key", "value", "v")
     )
     visited = placed.repartition(cells, "cell").sortWithinPartitions("cell", "kind").mapInPandas(
         _visited_cell(size, directions, k, confidence), "key long, other long, value double"
