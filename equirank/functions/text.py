@@ -99,7 +99,7 @@ def json_span(text: Column) -> Column:
 def tolerant_json(text: Column, schema: str) -> Column:
     """from_json of json_span(); where that fails, once more with illegal backslashes escaped. Null if both fail."""
     span = json_span(text)
-    repaired = F.regexp_replace(span, r'\\(?:u(?![0-9a-fA-F]{4})|(?!["\\/bfnrtu]))', r"\\\\\\\\")
+    repaired = F.regexp_replace(span, r'\\(?:u(?![0-9a-fA-F]{4})|(?!["\\/bfnrtu]))', r"\\\\")
     first = F.from_json(span, schema)
     legal = ~span.rlike(r'(?<!\\)(?:\\\\)*\\(?:u(?![0-9a-fA-F]{4})|(?!["\\/bfnrtu]))')
     return F.when(legal, first).otherwise(F.from_json(repaired, schema))
