@@ -71,9 +71,10 @@ class CharTrie:
 
     def __init__(self) -> None:
         self.root: dict = {}
+        self.longest = 0
 
     def add(self, text: str, value) -> None:
-        node = self.root
+        node, self.longest = self.root, max(self.longest, len(text))
         for c in text:
             node = node.setdefault(c, {})
         node.setdefault("", set()).add(value)
@@ -85,6 +86,8 @@ class CharTrie:
         says that i characters of the text are read. An empty state ends a branch.
         """
         n = len(text)
+        if n > self.longest + bound:
+            return []
         where: dict[str, int] = {}
         for i, c in enumerate(text):
             where[c] = where.get(c, 0) | 1 << i
@@ -179,7 +182,7 @@ class Index:
 
     def match(self, value: str) -> tuple[int, int]:
         """(ref_id, distance); ref_id is -1 where the value names no entry. Ties go to the smaller ref_id."""
-        text = re.sub(r"<[^<>]*>|\S+@\S+", " ", unify(value))
+        text = re.sub(r"<[^<>]*>|[^\s@]{1,64}@\S+", " ", unify(value))
         segments = []
         for s in _SEGMENT.split(re.sub(r"[_]+", " ", fold(text))):
             tokens = words_of(s)

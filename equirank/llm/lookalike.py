@@ -88,6 +88,7 @@ _CLASS = "[" + "".join(LOOK_ALIKES) + "]"
 _SURE = "[" + "".join(c for c in LOOK_ALIKES if c not in ROUGH) + "]"
 #: Letters of a word, with what may hide between them.
 _WORD = r"[\p{L}\p{M}\p{Cf}]+"
+_BETWEEN = r"[^\p{L}\p{M}\p{Cf}]+"
 
 def _true_other(word: Column) -> Column:
     """The word holds a letter of another script that is no look-alike."""
@@ -105,18 +106,21 @@ def normalize_values(df: DataFrame, keys: list[str], value: str = "value") -> Da
     plain = df.where(F.col(value).isNull() | ~F.col(value).rlike(r"[^\x00-\x7F]"))
     rest = df.where(F.col(value).rlike(r"[^\x00-\x7F]"))
     # Words alternate with what lies between them; each piece decides on its own how look-alikes are read.
-    pieces = F.regexp_extract_all(value, F.lit(rf"({_WORD}|(?s:(?!{_WORD}).)+)"), F.lit(1))
-    narrow = F.translate("piece", _wide(), _thin())  # full-width letters are Latin letters here
-    foreign = _true_other(F.col("value"))
-    latin = narrow.rlike(r"\p{IsLatin}")
-    others = F.size(F.regexp_extract_all(narrow, F.lit(f"({_CLASS})"), F.lit(1)))
-    cyrillic_only = ~latin & ~_true_other(F.col("piece")) & (others > 0)
-    alone = cyrillic_only & ~foreign & narrow.rlike(_SURE) & (narrow.rlike(r"[\p{IsCyrillic}]") | (others > 1)) & F.translate(F.col("value"), _wide(), _thin()).rlike(r"\p{IsLatin}")
-    exploded = (
-        rest.select(*keys, F.col(value).alias("value"))
-        .select(*keys, "value", F.posexplode(pieces).alias("at", "piece"))
-        .select(*keys, "at", (latin | alone).alias("as_latin"), F.posexplode(F.split("piece", "")).alias("pos", "ch"))
+    pieces = F.regexp_extract_all(value, F.lit(rf"({_WORD}|{_BETWEEN})"), F.lit(1))
+    narrow = lambda c: F.translate(c, _wide(), _thin())  # noqa: E731  full-width letters are Latin letters here
+    # What is known of a value or a piece is settled before it is exploded, so that long texts are looked at once.
+    by_value = rest.select(
+        *keys, pieces.alias("pieces"), (~_true_other(F.col(value)) & narrow(F.col(value)).rlike(r"\p{IsLatin}")).alias("latin_value")
     )
+    by_piece = by_value.select(*keys, "latin_value", F.posexplode("pieces").alias("at", "piece"))
+    thin = narrow(F.col("piece"))
+    latin = thin.rlike(r"\p{IsLatin}")
+    others = F.size(F.regexp_extract_all(thin, F.lit(f"({_CLASS})"), F.lit(1)))
+    alone = (
+        F.col("latin_value") & ~latin & ~_true_other(F.col("piece")) & thin.rlike(_SURE) & (thin.rlike(r"\p{IsCyrillic}") | (others > 1))
+    )
+    settled = by_piece.select(*keys, "at", (latin | alone).alias("as_latin"), F.split("piece", "").alias("chars"))
+    exploded = settled.select(*keys, "at", "as_latin", F.posexplode("chars").alias("pos", "ch"))
     mapped = exploded.join(F.broadcast(mapping(spark)), "ch", "left")  # bounded by the character set
     swap = (F.col("kind") == LOOKALIKE) & F.col("as_latin")
     target = F.when(F.col("kind").isNull() & F.col("target").isNull(), F.col("ch")).when(
