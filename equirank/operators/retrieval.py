@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import usable
 
-#: Query vectors that go to the tasks at once; more queries are taken in further blocks.
-QUERY_BLOCK = 20_000
+#: Query vectors that go to the tasks at once (more queries are taken in further blocks), and scores held at once.
+QUERY_BLOCK, SCORES_AT_ONCE = 4_096, 4_000_000
 #: Scores are rounded to so many digits before ranking, so that ties do not depend on the order of summation.
 SCORE_DIGITS = 9
 
@@ -21,21 +21,32 @@ def _unit(rows) -> np.ndarray:
 
 
 def _score_batches(shared, k: int):
+    """Per partition: the k + 1 best documents of each query (one may be excluded), kept over batches of bounded size."""
+
     def run(batches):
         qids, excluded, matrix = shared.value
+        rows_at_once = max(1, SCORES_AT_ONCE // len(qids))
+        best, who = np.empty((0, len(qids))), np.empty((0, len(qids)), dtype=object)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            ids = pdf["doc_key"].to_numpy()
-            scores = np.round(_unit(np.stack(pdf["v"].to_numpy())) @ matrix.T, SCORE_DIGITS)
-            by_id = np.argsort(ids, kind="stable")  # of equal scores the smaller id stays
-            scores, ids = scores[by_id], ids[by_id]
-            top = np.argsort(-scores, axis=0, kind="stable")[: k + 1]
-            q = np.broadcast_to(np.arange(len(qids)), top.shape).ravel()
-            d = top.ravel()
-            keep = np.array([excluded[a] is None or excluded[a] != ids[b] for a, b in zip(q, d)], dtype=bool)
-            q, d = q[keep], d[keep]
-            yield pd.DataFrame({"qid": qids[q], "doc_key": ids[d], "score": scores[d, q]})
+            for lo in range(0, len(pdf), rows_at_once):
+                part = pdf.iloc[lo : lo + rows_at_once]
+                ids = part["doc_key"].to_numpy()
+                scores = np.round(_unit(np.stack(part["v"].to_numpy())) @ matrix.T, SCORE_DIGITS)
+                by_id = np.argsort(ids, kind="stable")  # of equal scores the smaller id stays
+                scores, ids = scores[by_id], ids[by_id]
+                top = np.argsort(-scores, axis=0, kind="stable")[: k + 1]
+                best = np.concatenate([best, np.take_along_axis(scores, top, axis=0)])
+                who = np.concatenate([who, ids[top].astype(object)])
+                if len(best) > k + 1:
+                    _, order = np.unique(who, return_inverse=True)
+                    order = order.reshape(who.shape)
+                    keep = np.lexsort((order, -best), axis=0)[: k + 1]
+                    best, who = np.take_along_axis(best, keep, axis=0), np.take_along_axis(who, keep, axis=0)
+        q = np.broadcast_to(np.arange(len(qids)), best.shape).ravel()
+        d, score = who.ravel(), best.ravel()
+        keep = np.array([excluded[a] is None or excluded[a] != b for a, b in zip(q, d)], dtype=bool)
+        if keep.any():
+            yield pd.DataFrame({"qid": qids[q[keep]], "doc_key": list(d[keep]), "score": score[keep]})
 
     return run
 
@@ -46,21 +57,24 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     queries: (qid, v[, exclude]), exclude being a doc_key never returned for that
     query; corpus: (doc_key, v), doc_key unique. Ties of the rounded score go to the
     smaller key. Rows without a usable vector take no part. Query vectors go to the
-    tasks in blocks of bounded size, and each batch of documents keeps its own k best
-    per query, so the shuffle carries at most k rows per query and batch; no vector
-    is shuffled.
+    tasks in blocks of bounded size, and each partition of documents keeps its own k
+    best per query, so the shuffle carries at most k + 1 rows per query and partition;
+    no vector is shuffled.
     """
     if "exclude" not in queries.columns:
         queries = queries.withColumn("exclude", F.lit(None).cast(corpus.schema["doc_key"].dataType))
-    rows = queries.where(usable(F.col("v"))).select("qid", "exclude", "v").orderBy("qid").toPandas()
+    asked = queries.where(usable(F.col("v"))).select("qid", "exclude", "v")
     spark, docs = corpus.sparkSession, corpus.where(usable(F.col("v"))).select("doc_key", "v")
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, doc_key {corpus.schema['doc_key'].dataType.simpleString()}, score double"
     out = spark.createDataFrame([], schema)
-    for lo in range(0, len(rows), QUERY_BLOCK):
-        part = rows.iloc[lo : lo + QUERY_BLOCK]
-        excluded = [None if pd.isna(x) else x for x in part["exclude"]]
-        shared = spark.sparkContext.broadcast((part["qid"].to_numpy(), excluded, _unit(np.stack(part["v"].to_numpy()))))
-        out = out.unionByName(docs.mapInPandas(_score_batches(shared, k), schema))
+    blocks = -(-asked.count() // (QUERY_BLOCK // 2))
+    for b in range(blocks):
+        # a block is about half of QUERY_BLOCK, so that uneven hashing stays within it
+        part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).orderBy("qid").toPandas()
+        if len(part):
+            excluded = [None if pd.isna(x) else x for x in part["exclude"]]
+            shared = spark.sparkContext.broadcast((part["qid"].to_numpy(), excluded, _unit(np.stack(part["v"].to_numpy()))))
+            out = out.unionByName(docs.mapInPandas(_score_batches(shared, k), schema))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_key")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

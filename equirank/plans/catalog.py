@@ -868,6 +868,14 @@ e AS (SELECT DISTINCT paper_id FROM a)
 SELECT split_part(e.paper_id, 'v', 1) AS paper_id, coalesce(list_aggregate(l, 'string_agg', '|'), '') AS institutions, coalesce(len(l), 0) AS n
 FROM e LEFT JOIN g ON g.paper_id = split_part(e.paper_id, 'v', 1)"""
 
+@query
+def result_label_mix(spark: SparkSession, sf: str) -> DataFrame:
+    mix = B.with_labels(B.run(spark, sf, B.TOP_K), spark, sf)
+    return mix.groupBy("qid", "label").agg(F.count("*").alias("n"))
+
+
+_oracle("result_label_mix", "SELECT qkey AS qid, label, count(*) AS n FROM labeled WHERE rank <= 10 GROUP BY 1, 2")
+
 # synthesis --------------------------------------------------------------------
 
 

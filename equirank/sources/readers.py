@@ -80,3 +80,15 @@ def id_set(spark: SparkSession, path: str) -> DataFrame:
             raise
         return spark.createDataFrame([], "paper_id string")
     return whole.select(F.explode(F.from_json("value", "array<string>")).alias("paper_id")).distinct()
+
+
+def judgment_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(qkey, doc_key, relevance) of a JSON map from "query||paper" to a grade; absent means empty."""
+    try:
+        whole = spark.read.text(path, wholetext=True)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "qkey string, doc_key string, relevance int")
+    pairs = whole.select(F.explode(F.from_json("value", "map<string, int>")).alias("k", "relevance"))
+    return pairs.select(F.regexp_extract("k", r"(?s)^(.*)\|\|(.*)$", 1).alias("qkey"), F.regexp_extract("k", r"(?s)^(.*)\|\|(.*)$", 2).alias("doc_key"), "relevance")

@@ -13,6 +13,7 @@ from equirank.functions import vector as X
 from equirank.operators import corpus as C
 from equirank.operators import fairness as P
 from equirank.operators import labels as L
+from equirank.operators import models as M
 from equirank.operators import pools as O
 from equirank.operators import qrels as Q
 from equirank.operators import retrieval as V
@@ -298,3 +299,41 @@ def test_query_sets(spark):
     assert one(Q.labeled_query_set(qs.where("query = 'A  a'")))["relevant_ids"] == ["1", "2"]
     with pytest.raises(PySparkException):
         Q.labeled_query_set(qs).collect()
+
+
+def test_models_are_supplied_and_resumed(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "x"), ("b", None)], "doc_key string, text string")
+    got = {r["doc_key"]: r["embedding"] for r in M.embed(docs, "text", lambda ts: np.array([[len(t) * 3.0, 0.0] for t in ts])).collect()}
+    assert got == {"a": [1.0, 0.0], "b": None}
+    asked = []
+
+    def model(pdf):
+        asked.extend(pdf["qid"])
+        return pdf[["qid"]].assign(answer="yes")
+
+    contexts = spark.createDataFrame([("1", "c")], "qid string, context string")
+    questions = spark.createDataFrame([("1", "why"), ("2", None)], "qid string, query string")
+    requests = M.answer_requests(contexts, questions, "be brief")
+    assert [r["request"] for r in requests.orderBy("qid").collect()] == ["Context:\nc\n\nQuestion: why", "Context:\n\n\nQuestion: "]
+    path = str(tmp_path / "answers")
+    schema = "qid string, answer string"
+    assert M.resume_model(requests, ["qid"], model, schema, path) == 2
+    assert M.resume_model(requests, ["qid"], model, schema, path) == 0
+
+
+def test_model_answers(spark):
+    text = '```json\n[{"title": "T", "stance": "NEUTRAL"}]\n```'
+    stances = spark.createDataFrame([("1", text), ("2", "sorry"), ("3", None)], "id string, answer string")
+    assert [tuple(r) for r in M.stance_answers(stances).collect()] == [("1", 0, "NEUTRAL")]
+    grades = spark.createDataFrame([("b", '[{"id": 1, "grade": 2}]')], "batch string, answer string")
+    assert [tuple(r) for r in M.grade_answers(grades).collect()] == [("b", 1, 2, 0)]
+
+
+def test_topk_over_blocks_equals_one(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    corpus = spark.createDataFrame([(f"d{i:03}", [float(x) for x in rng.integers(-2, 3, 4)] + [1.0]) for i in range(300)], "doc_key string, v array<double>").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", [float(x) for x in rng.integers(-2, 3, 4)] + [1.0]) for i in range(12)], "qid string, v array<double>")
+    whole = sorted(map(tuple, V.dense_topk(queries, corpus, 7).collect()))
+    monkeypatch.setattr(V, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(V, "SCORES_AT_ONCE", 60)
+    assert sorted(map(tuple, V.dense_topk(queries, corpus, 7).collect())) == whole and len(whole) == 84

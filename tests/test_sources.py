@@ -47,6 +47,9 @@ def test_caches(spark, tmp_path):
     assert readers.affiliation_cache(spark, str(tmp_path / "none.json")).count() == 0
     assert sorted(r[0] for r in readers.id_set(spark, put(tmp_path / "i.json", ["b", "a", "b"])).collect()) == ["a", "b"]
     assert readers.id_set(spark, str(tmp_path / "none2.json")).count() == 0
+    grades = readers.judgment_cache(spark, put(tmp_path / "g.json", {"a || b||p1": 2}))
+    assert [tuple(r) for r in grades.collect()] == [("a || b", "p1", 2)]
+    assert readers.judgment_cache(spark, str(tmp_path / "none3.json")).count() == 0
     assert readers.optional(spark, str(tmp_path / "no"), S.PAPER).count() == 0
     with pytest.raises(FAILURE):
         readers.json_document(spark, str(tmp_path / "no"), S.PAPER).collect()
