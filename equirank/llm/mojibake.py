@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 #: Encodings that UTF-8 is mistaken for, and pairs (read as, meant) of single-byte mix-ups.
 MISREAD = ("cp1252", "latin-1", "cp1251", "cp437", "cp850", "mac-roman", "cp1250", "iso8859-2", "koi8-r", "cp866", "cp1254", "cp1253")
 MIXED_UP = (
@@ -46,9 +48,8 @@ def corpus_frequencies(docs: DataFrame, share: float = SHARE) -> dict[str, int]:
     tokens = docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select(
         F.explode(F.filter(F.regexp_extract_all("text", F.lit(f"({_COUNTED})"), F.lit(1)), lambda w: w.rlike(r"[^\x00-\x7F]"))).alias("w")
     )
-    counts = tokens.groupBy("w").agg(F.count("*").alias("n"))
-    # the total is exact; a second pass over the grouped counts would shuffle again, so it is a plain count
-    total = tokens.count()
+    counts = checkpoint(tokens.groupBy("w").agg(F.count("*").alias("n")))  # the texts are read once
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return {r["w"]: r["n"] for r in counts.where(F.col("n") >= max(2, math.ceil(total * share))).collect()}
 
 

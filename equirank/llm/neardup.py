@@ -227,7 +227,7 @@ def _shingle_rows(fields: list[str], width: int):
 
 
 def near_duplicates(
-    df: DataFrame, key: str, fields: list[str], *, width: int = 5, similarity: float = 0.8, tables: int = 10, slack: int = 1, limit: int = 66
+    df: DataFrame, key: str, fields: list[str], *, width: int = 5, similarity: float = 0.8, tables: int = 12, slack: int = 1, limit: int = 66
 ) -> tuple[DataFrame, DataFrame]:
     """(classes, links) of records whose word sequences of `width` words agree in a share of at least `similarity`.
 
