@@ -111,8 +111,11 @@ class Decoder:
         n = self.words.get(word, 0)
         return n if n else self.words.get(word.lower(), 0) // 2
 
-    def viterbi(self, text: str, codec: str) -> str:
-        """The cheapest reading of the piece: each arc keeps a character or reads the bytes of one UTF-8 character."""
+    def viterbi(self, text: str, codec: str, favour: float = 0.0) -> str:
+        """The cheapest reading of the piece: each arc keeps a character or reads the bytes of one UTF-8 character.
+
+        `favour` is taken off the cost of reading, for a second opinion where signs alone do not decide.
+        """
         table = _byte_table(codec)
         n = len(text)
         bytes_ = [table.get(c, 0) if ord(c) > 127 else 0 for c in text]
@@ -130,7 +133,7 @@ class Decoder:
                     d = bytes(bytes_[i : i + k]).decode("utf-8")
                 except UnicodeDecodeError:
                     continue
-                step = cost + self.sign_cost(d) + (0.0 if self.plausible(d) or self.again(d) else 25.0)
+                step = cost + self.sign_cost(d) - favour + (0.0 if self.plausible(d) or self.again(d) else 25.0)
                 if step < best[i + k][0]:
                     best[i + k] = (step, i, d)
         out, i = [], n
@@ -197,18 +200,19 @@ class Decoder:
             table = _byte_table(codec)
             if not any(_length(table.get(c, 0)) for c in text if ord(c) > 127):
                 continue
-            out = self.viterbi(text, codec)
-            if out == text or not self.sane(text, out):
-                continue
-            decoded = [c for c in out if ord(c) > 127]
-            if not all(self.plausible(c) or self.again(c) or c in text for c in decoded):
-                continue
-            again = self.viterbi(out, codec)  # doubly encoded text reads well only after the second step
-            gain = max(self.likelihood(out), self.likelihood(again) if self.sane(out, again) else -math.inf) - base
-            # every decoded character explains two or more: reward the compression
-            gain += 2.0 * (len(text) - len(out))
-            if gain > 0 and (best is None or gain > best):
-                best, reading = gain, out
+            for favour in (0.0, 12.0):
+                out = self.viterbi(text, codec, favour)
+                if out == text or not self.sane(text, out):
+                    continue
+                decoded = [c for c in out if ord(c) > 127]
+                if not all(self.plausible(c) or self.again(c) or c in text for c in decoded):
+                    continue
+                again = self.viterbi(out, codec)  # doubly encoded text reads well only after the second step
+                gain = max(self.likelihood(out), self.likelihood(again) if self.sane(out, again) else -math.inf) - base
+                # every decoded character explains two or more: reward the compression
+                gain += 2.0 * (len(text) - len(out))
+                if gain > 0 and (best is None or gain > best):
+                    best, reading = gain, out
         return reading
 
     def mixed_up(self, text: str) -> str | None:
