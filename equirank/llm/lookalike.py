@@ -8,7 +8,8 @@ class behind their base, pairs are recomposed, and the strings are rebuilt.
 
 Look-alike letters are replaced only in words that mix them with Latin letters,
 and in words made of look-alikes alone within a value that is otherwise Latin;
-single Greek letters are symbols and text truly in another script is kept.
+a single Greek letter is a symbol unless it is a capital that stands free of
+hyphens, and text truly in another script is kept.
 """
 
 from __future__ import annotations
@@ -112,12 +113,16 @@ def normalize_values(df: DataFrame, keys: list[str], value: str = "value") -> Da
     by_value = rest.select(
         *keys, pieces.alias("pieces"), (~_true_other(F.col(value)) & narrow(F.col(value)).rlike(r"\p{IsLatin}")).alias("latin_value")
     )
-    by_piece = by_value.select(*keys, "latin_value", F.posexplode("pieces").alias("at", "piece"))
+    around = F.transform(
+        "pieces",
+        lambda p, i: F.struct(p.alias("piece"), F.concat(F.coalesce(F.right(F.get(F.col("pieces"), i - 1), F.lit(1)), F.lit(" ")), F.coalesce(F.left(F.get(F.col("pieces"), i + 1), F.lit(1)), F.lit(" "))).alias("by")),
+    )
+    by_piece = by_value.select(*keys, "latin_value", F.posexplode(around).alias("at", "p")).select(*keys, "latin_value", "at", "p.piece", "p.by")
     thin = narrow(F.col("piece"))
     latin = thin.rlike(r"\p{IsLatin}")
     others = F.size(F.regexp_extract_all(thin, F.lit(f"({_CLASS})"), F.lit(1)))
     alone = (
-        F.col("latin_value") & ~latin & ~_true_other(F.col("piece")) & thin.rlike(_SURE) & (thin.rlike(r"\p{IsCyrillic}") | (others > 1))
+        F.col("latin_value") & ~latin & ~_true_other(F.col("piece")) & thin.rlike(_SURE) & (thin.rlike(r"\p{IsCyrillic}") | (others > 1) | (thin.rlike(r"\p{Lu}") & ~F.col("by").contains("-")))
     )
     settled = by_piece.select(*keys, "at", (latin | alone).alias("as_latin"), F.split("piece", "").alias("chars"))
     exploded = settled.select(*keys, "at", "as_latin", F.posexplode("chars").alias("pos", "ch"))
@@ -217,14 +222,16 @@ def unify(text: str) -> str:
     foreign = any(c not in LOOK_ALIKES and c.isalpha() and not _is_latin(c) for c in text)
     has_latin = any(_is_latin(c) for c in text)
     word: list[str] = []
+    before = " "
 
-    def close() -> None:
+    def close(after: str = " ") -> None:
         if word:
             latin = any(_is_latin(c) for c in word)
             letters = [c for c in word if c.isalpha()]
             alone = (
                 not latin and not foreign and has_latin and all(c in LOOK_ALIKES for c in letters)
-                and any(c not in ROUGH for c in letters) and (len(letters) > 1 or any("Ѐ" <= c <= "ԯ" for c in letters))
+                and any(c not in ROUGH for c in letters)
+                and (len(letters) > 1 or any("Ѐ" <= c <= "ԯ" for c in letters) or letters[0].isupper() and "-" not in before + after)
             )
             for c in word:
                 target, kind = forms.get(c, (c, None))
@@ -235,7 +242,8 @@ def unify(text: str) -> str:
         if c.isalpha() or unicodedata.category(c)[0] == "M" or unicodedata.category(c) == "Cf":
             word.append(c)
         else:
-            close()
+            close(c)
+            before = c
             out.append(forms.get(c, (c, None))[0])
     close()
     return compose("".join(out))
