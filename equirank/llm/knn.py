@@ -55,8 +55,22 @@ def chi_square_quantile(p: float, degrees: int) -> float:
     return high
 
 
-def _quantiles(p: float, dims: int) -> np.ndarray:
-    return np.array([1e-12] + [chi_square_quantile(p, c) for c in range(1, dims + 1)], dtype=np.float32)
+class Test:
+    """The stopping test: may a box whose gap counts `degrees` coordinates hold a better neighbour?
+
+    A neighbour at the k-th distance so far is found with the confidence `close`; one
+    at the largest distance that counts at all with the confidence `wide`.
+    """
+
+    def __init__(self, dims: int, close: float, wide: float, far: float) -> None:
+        self.close, self.wide = (
+            np.array([1e-12] + [chi_square_quantile(p, c) for c in range(1, dims + 1)], dtype=np.float32) for p in (close, wide)
+        )
+        self.wide = self.wide * np.float32(far)
+
+    def limit(self, kth: np.ndarray, degrees: np.ndarray) -> np.ndarray:
+        """The largest squared gap that is still visited."""
+        return np.minimum(kth * self.close[degrees], self.wide[degrees])
 
 
 class Tree:
@@ -84,8 +98,8 @@ class Tree:
             node = 2 * node + (p[np.arange(len(p)), self.axis[node]] >= self.cut[node])
         return node - (1 << self.depth)
 
-    def visits(self, p: np.ndarray, reach: np.ndarray, quantiles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) of all cells whose gap passes the test for squared distance `reach`."""
+    def visits(self, p: np.ndarray, kth: np.ndarray, test: Test) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of all cells whose gap passes the test for the squared k-th distances."""
         row, node = np.arange(len(p)), np.ones(len(p), np.int64)
         gap = np.zeros(p.shape, np.float32)
         for _ in range(self.depth):
@@ -97,7 +111,7 @@ class Tree:
                 g = gap.copy()
                 at = np.arange(len(row))
                 g[at, axis] = np.maximum(g[at, axis], outside)
-                keep = (g * g).sum(axis=1) <= reach[row] * quantiles[np.count_nonzero(g, axis=1)]
+                keep = (g * g).sum(axis=1) <= test.limit(kth[row], np.count_nonzero(g, axis=1))
                 rows.append(row[keep])
                 nodes.append(2 * node[keep] + side)
                 gaps.append(g[keep])
@@ -108,8 +122,8 @@ class Tree:
 class Cell:
     """The vectors of one cell with their local kd-tree of tight leaf boxes."""
 
-    def __init__(self, keys: np.ndarray, raw: np.ndarray, directions: np.ndarray, dims_quantiles: np.ndarray) -> None:
-        self.quantiles, self.directions = dims_quantiles, directions
+    def __init__(self, keys: np.ndarray, raw: np.ndarray, directions: np.ndarray, test: Test) -> None:
+        self.test, self.directions = test, directions
         unit = raw.astype(np.float64)
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         p = (unit @ directions).astype(np.float32)
@@ -156,13 +170,13 @@ class Cell:
         above = np.maximum(p[:, None] - self.high[None], 0)
         gap = below + above
         squared = np.einsum("qld,qld->ql", gap, gap)
-        allowed = self.quantiles[np.count_nonzero(gap, axis=2)]
+        degrees = np.count_nonzero(gap, axis=2)
         single = unit.astype(np.float32)
         best = np.full((n, k), -2.0, np.float64)
         who = np.full((n, k), -1, np.int64)
         kth = far.astype(np.float64).copy()
         for leaf in np.argsort(squared.min(axis=0), kind="stable"):
-            active = np.flatnonzero(squared[:, leaf] <= kth * allowed[:, leaf])
+            active = np.flatnonzero(squared[:, leaf] <= self.test.limit(kth, degrees[:, leaf]))
             if not len(active):
                 continue
             a, b = self.starts[leaf], self.ends[leaf]
@@ -212,9 +226,8 @@ def _assign(size: int, directions: np.ndarray, tree: Tree):
     return run
 
 
-def _own_cell(size: int, directions: np.ndarray, tree: Tree, k: int, p: float, far: float):
+def _own_cell(size: int, directions: np.ndarray, tree: Tree, k: int, test: Test, far: float):
     """Rows of whole cells, sorted: local answers (kind 0) and the visits that they call for (kind 1)."""
-    quantiles = _quantiles(p, directions.shape[1])
 
     def finish(cell: int, part: list[pd.DataFrame]):
         pdf = pd.concat(part, ignore_index=True)
@@ -223,12 +236,12 @@ def _own_cell(size: int, directions: np.ndarray, tree: Tree, k: int, p: float, f
         asked = np.flatnonzero(pdf["query"].to_numpy())
         if not len(asked):
             return
-        index = Cell(keys, raw, directions, quantiles)
+        index = Cell(keys, raw, directions, test)
         for lo in range(0, len(asked), 4096):
             q = asked[lo : lo + 4096]
             at, who, cos, kth = index.search(keys[q], unit[q], k, np.full(len(q), far))
             yield _rows(0, cell, keys[q][at], who, cos)
-            row, to = tree.visits((unit[q] @ directions).astype(np.float32), kth.astype(np.float32), quantiles)
+            row, to = tree.visits((unit[q] @ directions).astype(np.float32), kth.astype(np.float32), test)
             other = to != cell
             row, to = row[other], to[other]
             yield _rows(1, to, keys[q][row], np.full(len(row), -1), kth[row])
@@ -271,9 +284,8 @@ def _by_cell(finish):
     return run
 
 
-def _visited_cell(size: int, directions: np.ndarray, k: int, p: float):
+def _visited_cell(size: int, directions: np.ndarray, k: int, test: Test):
     """Sorted rows of cells, homes first (kind 0), then visitors (kind 1) with their k-th distance so far."""
-    quantiles = _quantiles(p, directions.shape[1])
 
     def run(batches):
         now, homes, index = None, [], None
@@ -292,7 +304,7 @@ def _visited_cell(size: int, directions: np.ndarray, k: int, p: float):
                     continue
                 if index is None and homes:
                     whole = pd.concat(homes, ignore_index=True)
-                    index = Cell(whole["key"].to_numpy(), _unit(whole["v"], size)[0], directions, quantiles)
+                    index = Cell(whole["key"].to_numpy(), _unit(whole["v"], size)[0], directions, test)
                     homes = []
                 if index is None:
                     continue
@@ -311,7 +323,7 @@ def distinct_vectors(df: DataFrame, key: str, vector: str, size: int, keep: int)
     v = F.col(vector)
     fine = (F.size(v) == size) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     src = df.where(v.isNotNull() & F.col(key).isNotNull()).where(F.coalesce(fine, F.lit(False))).select(F.col(key).alias("key"), v.alias("v"))
-    keyed = src.select("key", F.xxhash64("v").alias("g1"), F.xxhash64("v", F.lit(7)).alias("g2"))
+    keyed = src.select("key", F.xxhash64("v").alias("g1"), F.xxhash64("v", F.lit(7)).alias("g2")).distinct()  # a row given twice counts once
     first = Window.partitionBy("g1", "g2").orderBy("key")
     groups = (
         keyed.withColumn("n", F.row_number().over(first)).where(F.col("n") <= keep)
@@ -323,13 +335,14 @@ def distinct_vectors(df: DataFrame, key: str, vector: str, size: int, keep: int)
 
 def nearest(
     df: DataFrame, key: str, vector: str, *, size: int = 64, k: int = 10, min_cosine: float | None = None, queries=None, dims: int = 8,
-    confidence: float = 0.9, cell: int = CELL, seed: int = 1,
+    confidence: float = 0.99, wide: float = 0.9, cell: int = CELL, seed: int = 1,
 ) -> DataFrame:
     """(key, other, cosine, rank): for each query row its k most similar other rows by cosine, ties by the smaller key.
 
     With `min_cosine` only neighbours of at least that cosine count, which bounds
-    every search radius. `queries` is a condition on the rows that ask; without it
-    all rows do. Keys are integers and name each row once. Rows without a proper vector take no part; fewer than
+    every search radius: `confidence` holds for a neighbour at the k-th distance,
+    `wide` for one at that bound. `queries` is a condition on the rows that ask; without it
+    all rows do. Keys are integers; a row given twice counts once. Rows without a proper vector take no part; fewer than
     k others give fewer rows, an empty table none. The splits are fitted on about
     SAMPLE vectors (2 x SAMPLE at most); all vectors are indexed.
     """
@@ -343,7 +356,7 @@ def nearest(
     else:
         reps = reps.withColumn("query", F.lit(True))
     vectors = df.select(F.col(key).alias("rep"), F.col(vector).alias("v"))
-    reps = reps.join(vectors, "rep").select(F.col("rep").alias("key"), "v", F.coalesce("query", F.lit(False)).alias("query"))
+    reps = reps.join(vectors, "rep").dropDuplicates(["rep"]).select(F.col("rep").alias("key"), "v", F.coalesce("query", F.lit(False)).alias("query"))
 
     n = groups.count()
     rng = np.random.default_rng(seed)
@@ -358,12 +371,13 @@ def nearest(
         fitted = np.stack(sample["p"].to_numpy())
     tree = Tree(fitted, depth)
     far = 4.0 if min_cosine is None else 2 - 2 * min_cosine
+    test = Test(dims, confidence, wide, far)
 
     homes = checkpoint(reps.mapInPandas(_assign(size, directions, tree), "cell int, key long, v binary, query boolean"))
     cells = 1 << depth
     answers = "kind int, cell int, key long, other long, value double"
     own = checkpoint(
-        homes.repartition(cells, "cell").sortWithinPartitions("cell").mapInPandas(_own_cell(size, directions, tree, k, confidence, far), answers)
+        homes.repartition(cells, "cell").sortWithinPartitions("cell").mapInPandas(_own_cell(size, directions, tree, k, test, far), answers)
     )
     local = own.where("kind = 0").select("key", "other", "value")
     # the visits are kept without vectors, which are joined to them on the way to the cells
@@ -372,7 +386,7 @@ def nearest(
         visits.select("cell", "kind", "key", "value", "v")
     )
     visited = placed.repartition(cells, "cell").sortWithinPartitions("cell", "kind").mapInPandas(
-        _visited_cell(size, directions, k, confidence), "key long, other long, value double"
+        _visited_cell(size, directions, k, test), "key long, other long, value double"
     )
     pairs = local.unionByName(visited)
     if min_cosine is not None:
