@@ -1,11 +1,12 @@
 """Problem 7: evaluation passages inside documents, by size-partitioned MinHash containment search.
 
-Documents fall into partitions by their number of shingles (powers of two). If a
-document of at most u shingles holds the share t of a passage of q shingles,
-their Jaccard similarity is at least t q / (u + q - t q); the number of MinHash
-functions of a partition follows from that bound so that the chance of sharing
-not a single minimum is at most `miss`. Passages whose minima match are verified
-by their exact shingle containment in the document.
+Sets of shingles fall into partitions by size (powers of two up to SEGMENT);
+a longer document is cut into sets of SEGMENT. If sets of at most u shingles
+share h shingles with a passage of q, each minimum agrees with a chance of at
+least h / (u + q), and over all sets of a document those chances add up: with
+h = t q in all, K functions miss the passage with a chance of at most
+exp(-K t q / (u + q)). K follows from that for each partition. Passages whose
+minima match are verified by their exact shingle containment in the document.
 
 Passages are the query side: they are taken in blocks of at most `block` items
 and each block goes to all tasks, with a check of its size; the documents are
@@ -21,17 +22,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, shingles, words
+from .common import WordHashes, mix, shingles, spread, words
 
 #: Items whose shingles and minima are held by a task at once, and the most words they may have together.
 BLOCK_ITEMS, BLOCK_WORDS = 5_000, 2_000_000
+#: Shingles of the largest partition; the work on a document grows with its length, not with the square of it.
+SEGMENT = 512
 
 
 def functions_needed(upper: int, shortest: int, share: float, miss: float) -> int:
-    """MinHash functions for documents of at most `upper` shingles and passages of at least `shortest`."""
+    """MinHash functions for sets of at most `upper` shingles and passages of at least `shortest`."""
     hits = max(1, math.ceil(share * shortest))
-    bound = min(1.0, hits / max(1, upper + shortest - hits))
-    return 1 if bound >= 1 else math.ceil(math.log(miss) / math.log1p(-bound))
+    return math.ceil(-math.log(miss) * (upper + shortest) / hits)
 
 
 def _minima(parts: list[np.ndarray], count: int) -> np.ndarray:
@@ -75,34 +77,30 @@ def _search(items: list[tuple[int, np.ndarray]], width: int, share: float, miss:
             return known[count]
 
         for pdf in batches:
-            docs, held, found = pdf["doc_id"].to_numpy(), [], []
-            for t in pdf["text"]:
-                held.append(shingles(hashes(words(t)), width))
-            sizes = np.array([len(s) for s in held])
-            level = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)
-            for n in np.unique(level[sizes > 0]):
-                upper = 1 << int(n)
-                keys, who = index(functions_needed(upper, shortest, share, miss))
-                count = int(keys[-1] >> np.uint64(32)) + 1
-                rows = np.flatnonzero((level == n) & (sizes > 0))
+            docs, found = pdf["doc_id"].to_numpy(), []
+            held = [shingles(hashes(words(t)), width) for t in pdf["text"]]
+            parts = [(d, s[a : a + SEGMENT]) for d, s in enumerate(held) for a in range(0, len(s), SEGMENT)]
+            level = np.array([(len(s) - 1).bit_length() for _, s in parts], dtype=int)
+            matched: dict[int, set[int]] = {}
+            for n in np.unique(level):
+                count = functions_needed(1 << int(n), shortest, share, miss)
+                keys, who = index(count)
+                rows = np.flatnonzero(level == n)
                 step = max(1, 1_000_000 // count)
                 for lo in range(0, len(rows), step):
                     part = rows[lo : lo + step]
-                    sketch = _minima([held[r] for r in part], count)
-                    probe = (np.arange(count, dtype=np.uint64)[None, :] << np.uint64(32)) | sketch
-                    left, right = np.searchsorted(keys, probe.ravel(), "left"), np.searchsorted(keys, probe.ravel(), "right")
-                    for at in np.unique(np.flatnonzero(right > left) // count):
-                        span = slice(at * count, (at + 1) * count)
-                        candidates = np.unique(np.concatenate([who[a:b] for a, b in zip(left[span], right[span]) if b > a]))
-                        s = held[part[at]]
-                        # exact containment: shingles of the document among those of all items
-                        a, b = np.searchsorted(all_shingles, s, "left"), np.searchsorted(all_shingles, s, "right")
-                        hit = [owner[x:y] for x, y in zip(a, b) if y > x]
-                        if not hit:
-                            continue
-                        common = np.bincount(np.concatenate(hit), minlength=len(sets))[candidates]
-                        good = candidates[common >= share * lengths[candidates] - 1e-9]
-                        found += [(docs[part[at]], ids[g], int(c), int(lengths[g])) for g, c in zip(good, common[common >= share * lengths[candidates] - 1e-9])]
+                    sketch = _minima([parts[r][1] for r in part], count)
+                    probe = ((np.arange(count, dtype=np.uint64)[None, :] << np.uint64(32)) | sketch).ravel()
+                    left, right = np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right")
+                    for at in np.flatnonzero(right > left):
+                        matched.setdefault(parts[part[at // count]][0], set()).update(who[left[at] : right[at]].tolist())
+            for d, candidates in matched.items():
+                # exact containment: the document's shingles among those of the candidates
+                a, b = np.searchsorted(all_shingles, held[d], "left"), np.searchsorted(all_shingles, held[d], "right")
+                hit = [owner[x:y] for x, y in zip(a, b) if y > x]
+                if hit:
+                    common = np.bincount(np.concatenate(hit), minlength=len(sets))
+                    found += [(docs[d], ids[i], int(common[i]), int(lengths[i])) for i in sorted(candidates) if common[i] >= share * lengths[i] - 1e-9]
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "common", "size"]).astype(
                 {"doc_id": "int64", "item_id": "int64", "common": "int64", "size": "int64"}
             )
@@ -124,7 +122,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, *, width: int = 5, share: fl
     block, total = [], 0
 
     def search(block):
-        rows = docs.where("text is not null").select("doc_id", "text").mapInPandas(
+        rows = spread(docs.where("text is not null").select("doc_id", "text"), "doc_id").mapInPandas(
             _search(block, width, share, miss), "doc_id long, item_id long, common long, size long"
         )
         return rows if out is None else out.union(rows)
