@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
 from .lookalike import unify
 
 #: Most entries that are sent to the tasks; beyond it the list is refused, never cut.
@@ -309,7 +310,7 @@ def map_to_canonical(df: DataFrame, canonical: DataFrame, *, key: str, field: st
     """
     entries = load_entries(canonical, kind)
     names = df.sparkSession.createDataFrame([(e["canonical_name"],) for e in entries], "value string")
-    src = df.select(F.col(key).alias("row_id"), F.col(field).alias("value")).where(F.col("value").rlike(r"(?U)\S"))
+    src = spread(df.select(F.col(key).alias("row_id"), F.col(field).alias("value")).where(F.col("value").rlike(r"(?U)\S")), "row_id")
     open_ = src.join(F.broadcast(names), "value", "left_anti")  # as many as entries, checked above
     shared = df.sparkSession.sparkContext.broadcast(entries)
     row_type = src.schema["row_id"].dataType.simpleString()

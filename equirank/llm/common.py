@@ -17,6 +17,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A plain scan of fewer partitions than there are cores, split by the keys for the Python or explode work behind it.
+
+    Scans that are large enough and frames that are already shuffled stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if "AdaptiveSparkPlan" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def words(text: str | None) -> list[str]:
     """Maximal runs of letters or digits, lower-cased."""
     return WORD.findall(text.lower()) if text else []

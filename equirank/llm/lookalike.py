@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .common import spread
+
 #: Letters of other scripts and the Latin letters they look like (fixed values).
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C",
@@ -105,7 +107,7 @@ def normalize_values(df: DataFrame, keys: list[str], value: str = "value") -> Da
     """
     spark = df.sparkSession
     plain = df.where(F.col(value).isNull() | ~F.col(value).rlike(r"[^\x00-\x7F]"))
-    rest = df.where(F.col(value).rlike(r"[^\x00-\x7F]"))
+    rest = spread(df.where(F.col(value).rlike(r"[^\x00-\x7F]")), *keys)
     # Words alternate with what lies between them; each piece decides on its own how look-alikes are read.
     pieces = F.regexp_extract_all(value, F.lit(rf"({_WORD}|{_BETWEEN})"), F.lit(1))
     narrow = lambda c: F.translate(c, _wide(), _thin())  # noqa: E731  full-width letters are Latin letters here

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 BLOCK_TAGS = (
     "address article aside blockquote body caption center dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul title abstract sec disp-formula "
@@ -395,7 +397,7 @@ def clean_values(df: DataFrame, keys: list[str], value: str = "value") -> DataFr
     src = df.select(*keys, F.col(value).alias("value"))
     types = ", ".join(f"{k} {src.schema[k].dataType.simpleString()}" for k in keys)
     plain = src.where(~maybe).select(*keys, F.col("value").alias("clean"), F.array().cast("array<string>").alias("kinds"))
-    rest = src.where(maybe).mapInPandas(_clean_rows(keys), f"{types}, clean string, kinds array<string>")
+    rest = spread(src.where(maybe), *keys).mapInPandas(_clean_rows(keys), f"{types}, clean string, kinds array<string>")
     return plain.unionByName(rest)
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, spread
 
 #: Runs of letters or digits, or single other non-blank characters.
 TOKEN = r"(?U)[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
@@ -52,7 +52,7 @@ def tokenizer_tokens(path: str):
 def source_tokens(docs: DataFrame, tokens=None) -> DataFrame:
     """(doc_id, source, tokens): source trimmed and in lower case; a null text has 0 tokens."""
     count = plain_tokens("text") if tokens is None else tokens("text")
-    return docs.select("doc_id", F.lower(F.regexp_replace("source", r"(?U)^\s+|\s+$", "")).alias("source"), count.alias("tokens"))
+    return spread(docs.select("doc_id", "source", "text"), "doc_id").select("doc_id", F.lower(F.regexp_replace("source", r"(?U)^\s+|\s+$", "")).alias("source"), count.alias("tokens"))
 
 
 def mix_plan(counted: DataFrame, targets: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, spread
 
 #: Encodings that UTF-8 is mistaken for, and pairs (read as, meant) of single-byte mix-ups.
 MISREAD = ("cp1252", "latin-1", "cp1251", "cp437", "cp850", "mac-roman", "cp1250", "iso8859-2", "koi8-r", "cp866", "cp1254", "cp1253")
@@ -314,6 +314,6 @@ def restore_texts(docs: DataFrame) -> DataFrame:
     characters could not be had back. Null, empty and pure ASCII texts are never
     garbled and are not decoded.
     """
-    src = docs.select("doc_id", "text").where(F.col("text").rlike(r"[^\x00-\x7F]"))
+    src = spread(docs.select("doc_id", "text").where(F.col("text").rlike(r"[^\x00-\x7F]")), "doc_id")
     counts = docs.sparkSession.sparkContext.broadcast(corpus_frequencies(src))
     return src.mapInPandas(_restore(counts), "doc_id long, restored string, pieces long, lost boolean").where("pieces > 0")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpoint, connected_components, shingles, text_key, words
+from .common import WordHashes, checkpoint, connected_components, shingles, spread, text_key, words
 
 BITS, RADIUS, ANCHORS = 23, 3, 4096
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the Golay code.
@@ -31,6 +31,8 @@ GENERATOR = 0b110001110101
 LANES = 4  # 64-bit lanes of fingerprint that travel with a record
 #: Most home records of one anchor in one task; anchors with more are split.
 HOT = 20_000
+#: Pairs that a task holds before it passes them on.
+PAIRS_HELD = 500_000
 
 
 def _syndrome(v: np.ndarray) -> np.ndarray:
@@ -186,7 +188,7 @@ def _compare(limit: int):
             visitor, keys = pdf["visitor"].to_numpy(), pdf["class_key"].to_numpy()
             lanes = np.stack([pdf[f"l{i}"].to_numpy().view(np.uint64) for i in range(LANES)])
             cuts = np.flatnonzero(np.diff(place)) + 1
-            found_a, found_b = [], []
+            found_a, found_b, held = [], [], 0
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(place)]):
                 if lo == hi:
                     continue
@@ -200,7 +202,7 @@ def _compare(limit: int):
                 step = max(1, 2_000_000 // len(homes))
                 for s in range(lo, hi, step):
                     e = min(hi, s + step)
-                    far = np.zeros((e - s, len(homes)), np.uint8)
+                    far = np.zeros((e - s, len(homes)), np.uint16)
                     for i in range(LANES):
                         far += np.bitwise_count(lanes[i, s:e, None] ^ prints[i][None, :])
                     x, y = np.nonzero(far <= limit)
@@ -208,13 +210,20 @@ def _compare(limit: int):
                     other = a != b
                     found_a.append(np.minimum(a, b)[other])
                     found_b.append(np.maximum(a, b)[other])
-            if found_a:
-                a, b = np.concatenate(found_a), np.concatenate(found_b)
-                yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+                    held += len(found_a[-1])
+                    if held > PAIRS_HELD:
+                        yield _pairs_found(found_a, found_b)
+                        found_a, found_b, held = [], [], 0
+            if held:
+                yield _pairs_found(found_a, found_b)
 
     return run
 
 
+def _pairs_found(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+
+
 def _shingle_rows(fields: list[str], width: int):
     def run(batches):
         hashes = WordHashes()
@@ -245,7 +254,7 @@ def near_duplicates(
     names = [f"f{i}" for i in range(len(fields))]
     key_type = src.schema["key"].dataType.simpleString()
     sketched = checkpoint(
-        src.mapInPandas(
+        spread(src).mapInPandas(
             _sketch(names, "key", tables), f"key {key_type}, class_key long, size int, blocks array<int>, print binary"
         )
     )

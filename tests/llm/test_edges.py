@@ -159,7 +159,7 @@ def test_automaton_by_brute_force():
 
 def test_vectors_edges(spark):
     unit = lambda *x: [float(v) for v in x]
-    data = [(1, unit(1, 0, 0, 0)), (2, unit(2, 0, 0, 0)), (3, unit(1, 0.1, 0, 0)), (4, unit(0, 1, 0, 0)), (5, None), (6, unit(0, 0, 0, 0)), (7, [1.0, None, 0.0, 0.0]), (8, unit(1, 0)), (9, [float("nan")] * 4)]
+    data = [(1, unit(1, 0, 0, 0)), (2, unit(2, 0, 0, 0)), (3, unit(1, 0.1, 0, 0)), (4, unit(0, 1, 0, 0)), (5, None), (6, unit(0, 0, 0, 0)), (7, [1.0, None, 0.0, 0.0]), (8, unit(1, 0)), (9, [float("nan")] * 4), (2, unit(2, 0, 0, 0))]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("key", F.lit("clash")).withColumn("v", F.lit(1))
     near = rows(knn.nearest(df, "vec_id", "embedding", size=4, k=2, min_cosine=0.9).select("key", "other", "rank"))
     assert near == [(1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2), (3, 1, 1), (3, 2, 2)]
