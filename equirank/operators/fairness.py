@@ -46,10 +46,11 @@ def parity_pooled(run: DataFrame, points: DataFrame, keys: tuple[str, ...] = ())
     hits = run.where(is_labeled()).groupBy(*keys).agg(
         F.countDistinct("qid").alias("n_queries"), F.count_if(F.col("label") == PRIV).alias("hits_priv"), F.count_if(F.col("label") == UNDER).alias("hits_under")
     )
-    base = corpus_base_rates(points).select("n_priv", "n_under")  # one row
-    priv = F.try_divide(F.col("hits_priv").cast("double"), F.col("n_priv") * F.col("n_queries"))
-    under = F.try_divide(F.col("hits_under").cast("double"), F.col("n_under") * F.col("n_queries"))
-    return hits.crossJoin(base).select(
+    base = points.agg(F.struct(F.count_if(F.col("label") == PRIV).alias("p"), F.count_if(F.col("label") == UNDER).alias("u")).alias("n")).scalar()
+    hits = hits.withColumn("base", base)
+    priv = F.try_divide(F.col("hits_priv").cast("double"), F.col("base.p") * F.col("n_queries"))
+    under = F.try_divide(F.col("hits_under").cast("double"), F.col("base.u") * F.col("n_queries"))
+    return hits.select(
         *keys, "n_queries", "hits_priv", "hits_under", F.round(priv, 6).alias("priv_selection"), F.round(under, 6).alias("under_selection"),
         F.round(priv - under, 6).alias("spd"), F.round(F.try_divide(priv, under), 4).alias("priv_under_ratio"),
     )
@@ -60,7 +61,7 @@ def parity_summary(per_query: DataFrame, base: DataFrame, keys: tuple[str, ...]
     means = per_query.groupBy(*keys).agg(
         F.count("*").alias("n_queries"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("priv_rate", "under_rate", "spd", "under_priv_ratio")]
     )
-    return means.crossJoin(base.select("priv_base_rate")).withColumn("priv_lift", F.round(F.col("mean_priv_rate") - F.col("priv_base_rate"), 6))
+    return means.withColumn("priv_base_rate", base.select("priv_base_rate").scalar()).withColumn("priv_lift", F.round(F.col("mean_priv_rate") - F.col("priv_base_rate"), 6))
 
 
 def exposure_per_query(run: DataFrame) -> DataFrame:
@@ -118,4 +119,4 @@ def odds_counts(qrels: DataFrame, run: DataFrame, judged: DataFrame, cut: int =
     group = F.when(is_labeled(), F.col("label")).otherwise(F.lit("unknown"))
     return judged.groupBy(group.alias("label")).agg(
         F.count("*").alias("judged"), F.count_if(F.col("relevance") >= cut).alias("relevant"), F.count_if(F.col("retrieved") == 1).alias("retrieved")
-    ).crossJoin(missing)
+    ).withColumn("skipped_queries", missing.scalar())

@@ -20,7 +20,8 @@ def ndcg_per_query(run: DataFrame, qrels: DataFrame, k: int = 10, keys: tuple[st
     best = Window.partitionBy("qkey").orderBy(F.desc("relevance"), "doc_key")
     ideal = qrels.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("qkey").agg(F.sum(F.col("relevance") / F.log2(F.col("r") + 1)).alias("idcg"))
     if keys:
-        ideal = ideal.crossJoin(run.select(*keys).distinct())  # the arms of a sweep
+        arms = run.agg(F.collect_set(F.struct(*keys)).alias("arms")).scalar()  # the few arms of a sweep
+        ideal = ideal.withColumn("arm", F.explode(arms)).select(*[F.col(f"arm.{k}").alias(k) for k in keys], "qkey", "idcg")
     ndcg = F.when(F.col("idcg") > 0, F.try_divide(F.col("dcg"), F.col("idcg")))
     return ideal.join(dcg, [*keys, "qkey"], "left").withColumn("ndcg", ndcg)
 

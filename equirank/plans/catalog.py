@@ -608,6 +608,16 @@ _oracle("judge_requests", r"""SELECT h.qkey AS qid, 'Query: ' || h.qkey || chr(1
   string_agg(chr(10) || '[' || rank || '] Title: ' || coalesce(p.title, '') || chr(10) || 'Abstract: ' || substring(coalesce(p.abstract, ''), 1, 800), chr(10) ORDER BY rank) AS request
 FROM hits h JOIN papers p ON p.paper_id = h.doc_key WHERE rank <= 10 GROUP BY 1""")
 
+@query
+def stance_requests(spark: SparkSession, sf: str) -> DataFrame:
+    titles = B.papers(spark, sf, "title").select(F.col("paper_id").alias("doc_key"), "title")
+    hits = B.run(spark, sf, B.TOP_K).join(titles, "doc_key").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("h"))
+    return hits.select("qid", T.stance_request(F.col("qid"), F.transform("h", lambda h: F.coalesce(h["title"], F.lit("")))).alias("request"))
+
+
+_oracle("stance_requests", r"""SELECT h.qkey AS qid, 'Query:' || chr(10) || h.qkey || chr(10) || chr(10) || 'Papers:' || chr(10) || string_agg('- ' || coalesce(p.title, ''), chr(10) ORDER BY rank) AS request
+FROM hits h JOIN papers p ON p.paper_id = h.doc_key WHERE rank <= 10 GROUP BY 1""")
+
 # labels -----------------------------------------------------------------------
 
 #: The tier of the test rules: institutions of these countries.

@@ -35,7 +35,7 @@ def write_points(df: DataFrame, path: str, new_path: str, key: str = "vec_id") -
 def nested_document(summary: DataFrame, per_query: DataFrame) -> DataFrame:
     """One row `value`: {"summary": ..., "per_query": [...]} of a one-row summary and a bounded table per query."""
     rows = per_query.agg(F.array_sort(F.collect_list(F.struct(*per_query.columns))).alias("per_query"))
-    return summary.select(F.struct(*summary.columns).alias("summary")).crossJoin(rows).select(F.to_json(F.struct("summary", "per_query")).alias("value"))
+    return summary.select(F.struct(*summary.columns).alias("summary")).withColumn("per_query", rows.scalar()).select(F.to_json(F.struct("summary", "per_query")).alias("value"))
 
 
 def write_document(df: DataFrame, path: str) -> None:
