@@ -66,7 +66,7 @@ def mix_plan(counted: DataFrame, targets: DataFrame) -> DataFrame:
     totals = counted.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("available"))
     every = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))
     facts = (
-        targets.join(totals, "source", "left").crossJoin(every)  # one row
+        targets.join(totals, "source", "left").withColumn("t", every.scalar())
         .withColumn("docs", F.coalesce("docs", F.lit(0))).withColumn("available", F.coalesce("available", F.lit(0)))
         .withColumn("target", F.col("target_bp") * F.col("t") / 10000.0)
     )
@@ -156,7 +156,7 @@ def mix_report(counted: DataFrame, targets: DataFrame) -> DataFrame:
     every = used.agg(F.sum("tokens").alias("all"))
     return (
         mix_plan(counted, targets).select("source", (F.try_divide("target", "t")).alias("target_share"), "reachable")
-        .join(used, "source", "left").crossJoin(every)
+        .join(used, "source", "left").withColumn("all", every.scalar())
         .select(
             "source", "target_share", F.coalesce(F.try_divide(F.col("tokens"), F.col("all")), F.lit(0.0)).alias("real_share"),
             F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "reachable",

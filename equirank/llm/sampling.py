@@ -102,7 +102,7 @@ def quota_report(papers: DataFrame, targets: DataFrame, one_in: int = 5) -> Data
     held = in_cells(papers, targets).groupBy("cell_id").agg(F.count("*").alias("available"))
     needed = F.greatest(F.col("min_rows").cast("long"), F.expr("(target_bp * s + 9999) div 10000"))
     facts = (
-        targets.join(held, "cell_id", "left").crossJoin(size)  # one row
+        targets.join(held, "cell_id", "left").withColumn("s", size.scalar())
         .select("cell_id", F.coalesce("available", F.lit(0)).alias("available"), needed.alias("needed"), "target_bp", "min_rows", "s")
     )
     rows = [r.asDict() for r in facts.collect()]  # one per cell
