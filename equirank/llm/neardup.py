@@ -6,14 +6,15 @@ insertions and reordering flip few bits. The anchors of a block are the 4,096
 words of the perfect binary Golay code of length 23 and covering radius 3: each
 block has exactly one home anchor. A record visits every anchor within
 radius + `slack` of its block; two records meet where one visits the other's
-home. Records are compared per anchor on a 256-bit part of the fingerprint, and
-what remains is verified by the exact share of common word sequences.
+home. Records are compared per anchor on 256 sign bits over their word sequences,
+and what remains is verified by the exact share of common word sequences.
 
 Exact copies (equal word sequences) are collapsed to one class before that.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from itertools import combinations
 
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpoint, connected_components, shingles, spread, text_key, words
+from .common import WordHashes, checkpoint, connected_components, mix, shingles, spread, text_key, words
 
 BITS, RADIUS, ANCHORS = 23, 3, 4096
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the Golay code.
@@ -62,7 +63,7 @@ class Fingerprints:
     """Sign fingerprints of word sets; rows of +1/-1 are kept per word up to a bound."""
 
     def __init__(self, tables: int, bound: int = 50_000) -> None:
-        self.bits, self.bound = max(tables * BITS, LANES * 64), bound
+        self.bits, self.bound = tables * BITS, bound
         self.seeds = -(-self.bits // 128)
         self.clear()
 
@@ -109,23 +110,61 @@ def _texts(pdf: pd.DataFrame, fields: list[str]) -> list[list[str]]:
     return [words(t) for t in joined]
 
 
-def _sketch(fields: list[str], key: str, tables: int):
+#: Tell the 64-bit lanes of one shingle apart.
+_LANE = np.array([(0xA0761D6478BD642F * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(LANES)], dtype=np.uint64)
+
+
+def sequence_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """LANES x 64 sign bits per set of shingles, as 64-bit integers; zeros for an empty set."""
+    out = np.zeros((len(sets), LANES), dtype=np.int64)
+    sizes = np.array([len(s) for s in sets])
+    starts = np.r_[0, np.cumsum(sizes)]
+    lo = 0
+    while lo < len(sets):
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + 30_000, "right")) - 1)
+        part = np.concatenate(sets[lo:hi])
+        full = np.flatnonzero(sizes[lo:hi])
+        if len(full):
+            total = np.zeros((len(full), LANES * 64), dtype=np.int64)
+            if hi - lo == 1:  # a very long text, in pieces
+                for at in range(0, len(part), 30_000):
+                    total[0] += _signs(part[at : at + 30_000]).sum(axis=0, dtype=np.int64)
+            else:
+                total[:] = np.add.reduceat(_signs(part), (starts[lo:hi] - starts[lo])[full], axis=0, dtype=np.int32)
+            bits = total * 2 > sizes[lo:hi][full][:, None]
+            out[lo + full] = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+        lo = hi
+    return out
+
+
+def _signs(shingle: np.ndarray) -> np.ndarray:
+    lanes = mix(shingle[:, None] ^ _LANE[None, :])
+    return np.unpackbits(lanes.view(np.uint8).reshape(len(shingle), -1), axis=1)
+
+
+def allowed_difference(similarity: float) -> int:
+    """Bits in which two sets of that Jaccard similarity differ at most, three standard deviations above what is expected for sets of one size."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    n = LANES * 64
+    return math.ceil(n * p + 3 * math.sqrt(n * p * (1 - p)))
+
+
+def _sketch(fields: list[str], key: str, tables: int, width: int):
     weights = (1 << np.arange(BITS)).astype(np.int64)
 
     def run(batches):
         prints, hashes = Fingerprints(tables), WordHashes()
         for pdf in batches:
             docs = _texts(pdf, fields)
-            bits = prints(docs)
-            blocks = bits[:, : tables * BITS].reshape(len(docs), tables, BITS).astype(np.int64) @ weights
-            lanes = np.packbits(bits[:, : LANES * 64], axis=1)
+            hashed = [hashes(d) for d in docs]
+            blocks = prints(docs).reshape(len(docs), tables, BITS).astype(np.int64) @ weights
             yield pd.DataFrame(
                 {
                     "key": pdf[key].to_numpy(),
-                    "class_key": [text_key(hashes(d)) for d in docs],
+                    "class_key": [text_key(h) for h in hashed],
                     "size": [len(d) for d in docs],
                     "blocks": list(blocks.astype(np.int32)),
-                    "print": [x.tobytes() for x in lanes],
+                    "print": list(sequence_prints([shingles(h, width) for h in hashed])),
                 }
             )
 
@@ -155,7 +194,7 @@ def _visits(tables: int, slack: int, split: dict[int, int]):
                 visitor = reached != own[cell]
                 doc = cell // tables
                 keys = part["class_key"].to_numpy().astype(np.int64)
-                lanes = np.frombuffer(b"".join(part["print"]), dtype=">i8").reshape(n, LANES).astype(np.int64)
+                lanes = np.stack(part["print"].to_numpy()).astype(np.int64)
                 slice_ = np.zeros(len(anchor), dtype=np.int64)
                 if split:
                     ways = np.array([split.get(int(a), 1) for a in anchor])
@@ -236,7 +275,7 @@ def _shingle_rows(fields: list[str], width: int):
 
 
 def near_duplicates(
-    df: DataFrame, key: str, fields: list[str], *, width: int = 5, similarity: float = 0.8, tables: int = 12, slack: int = 1, limit: int = 66
+    df: DataFrame, key: str, fields: list[str], *, width: int = 5, similarity: float = 0.8, tables: int = 14, slack: int = 1, limit: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(classes, links) of records whose word sequences of `width` words agree in a share of at least `similarity`.
 
@@ -247,15 +286,16 @@ def near_duplicates(
     equal ones still share a class. Extra columns are ignored, an empty table gives
     two empty ones.
 
-    `limit` is the number of the 256 fingerprint bits in which a pair may differ
-    before it is dropped unverified.
+    `limit` is the number of the 256 bits over word sequences in which a pair may
+    differ before it is dropped unverified; it follows from the similarity.
     """
+    limit = allowed_difference(similarity) if limit is None else limit
     src = df.select(F.col(key).alias("key"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]).where("key is not null")
     names = [f"f{i}" for i in range(len(fields))]
     key_type = src.schema["key"].dataType.simpleString()
     sketched = checkpoint(
         spread(src).mapInPandas(
-            _sketch(names, "key", tables), f"key {key_type}, class_key long, size int, blocks array<int>, print binary"
+            _sketch(names, "key", tables, width), f"key {key_type}, class_key long, size int, blocks array<int>, print array<long>"
         )
     )
     classes = sketched.select("key", "class_key", "size").distinct()
