@@ -37,22 +37,29 @@ def functions_needed(upper: int, shortest: int, share: float, miss: float) -> in
 
 
 def _minima(parts: list[np.ndarray], count: int) -> np.ndarray:
-    """MinHash sketches, one row per set: the minimum of each of `count` multiply-and-add functions on the high 32 bits."""
+    """MinHash sketches, one row per set: the minimum of each of `count` multiply-and-add functions on the high 32 bits of its shingles.
+
+    The shingles are well-mixed hashes, so that odd factors order them as good as at random.
+    """
     i = np.arange(1, count + 1, dtype=np.uint64)
-    factor = (mix(i) | np.uint64(1)).astype(np.uint64)
-    plus = mix(i * np.uint64(0xD1B54A32D192ED03))
+    factor = (mix(i) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    plus = (mix(i * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(parts), count), dtype=np.uint32)
+    room = np.empty((max(map(len, parts), default=0), 128), dtype=np.uint32)
     for k, s in enumerate(parts):
-        for lo in range(0, count, 256):
-            f, p = factor[lo : lo + 256], plus[lo : lo + 256]
-            best = np.full(len(f), 0xFFFFFFFF, dtype=np.uint32)
-            for a in range(0, len(s), 4096):  # a long text takes no more memory than a short one
-                h = ((s[a : a + 4096, None] * f[None, :] + p[None, :]) >> np.uint64(32)).astype(np.uint32)
-                best = np.minimum(best, h.min(axis=0))
-            out[k, lo : lo + 256] = best
+        high = (s >> np.uint64(32)).astype(np.uint32)[:, None]
+        for lo in range(0, count, 128):
+            f, p = factor[lo : lo + 128], plus[lo : lo + 128]
+            h = np.multiply(high, f[None, :], out=room[: len(s), : len(f)])
+            h += p
+            out[k, lo : lo + 128] = h.min(axis=0)
     return out
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+
+
 def _search(items: list[tuple[int, np.ndarray]], width: int, share: float, miss: float):
     shortest = min(len(s) for _, s in items)
 
@@ -65,15 +72,17 @@ def _search(items: list[tuple[int, np.ndarray]], width: int, share: float, miss:
         order = np.argsort(all_shingles, kind="stable")
         all_shingles, owner = all_shingles[order], owner[order]
         lengths = np.array([len(s) for s in sets])
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-        def index(count: int) -> tuple[np.ndarray, np.ndarray]:
+        def index(count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if count not in known:
                 sketch = _minima(sets, count)
                 key = (np.arange(count, dtype=np.uint64)[None, :] << np.uint64(32)) | sketch
                 who = np.broadcast_to(np.arange(len(sets))[:, None], key.shape)
                 o = np.argsort(key.ravel(), kind="stable")
-                known[count] = key.ravel()[o], who.ravel()[o]
+                seen = np.zeros(1 << 22, dtype=bool)
+                seen[_slot(key.ravel())] = True
+                known[count] = key.ravel()[o], who.ravel()[o], seen
             return known[count]
 
         for pdf in batches:
@@ -84,16 +93,17 @@ def _search(items: list[tuple[int, np.ndarray]], width: int, share: float, miss:
             matched: dict[int, set[int]] = {}
             for n in np.unique(level):
                 count = functions_needed(1 << int(n), shortest, share, miss)
-                keys, who = index(count)
+                keys, who, seen = index(count)
                 rows = np.flatnonzero(level == n)
                 step = max(1, 1_000_000 // count)
                 for lo in range(0, len(rows), step):
                     part = rows[lo : lo + step]
                     sketch = _minima([parts[r][1] for r in part], count)
                     probe = ((np.arange(count, dtype=np.uint64)[None, :] << np.uint64(32)) | sketch).ravel()
-                    left, right = np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right")
-                    for at in np.flatnonzero(right > left):
-                        matched.setdefault(parts[part[at // count]][0], set()).update(who[left[at] : right[at]].tolist())
+                    maybe = np.flatnonzero(seen[_slot(probe)])  # most minima occur in no passage
+                    left, right = np.searchsorted(keys, probe[maybe], "left"), np.searchsorted(keys, probe[maybe], "right")
+                    for i in np.flatnonzero(right > left):
+                        matched.setdefault(parts[part[maybe[i] // count]][0], set()).update(who[left[i] : right[i]].tolist())
             for d, candidates in matched.items():
                 # exact containment: the document's shingles among those of the candidates
                 a, b = np.searchsorted(all_shingles, held[d], "left"), np.searchsorted(all_shingles, held[d], "right")
