@@ -77,10 +77,12 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    total = np.zeros(n, dtype=np.uint64)
-    for i in range(width):
-        total += mix(hashes[i : i + n]) * _POSITION[i]
-    return np.unique(mix(total))
+    mixed = mix(hashes)
+    total = mixed[:n] * _POSITION[0]
+    for i in range(1, width):
+        total += mixed[i : i + n] * _POSITION[i]
+    total = np.sort(mix(total))
+    return total[np.r_[True, total[1:] != total[:-1]]]
 
 
 def text_key(hashes: np.ndarray) -> int:

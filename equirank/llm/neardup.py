@@ -59,8 +59,21 @@ def _code(slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return home, starts, masks[order]
 
 
+def bit_counts(bits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive groups of rows of 0/1 bytes (width a multiple of 8; no group empty).
+
+    Eight bytes are added at once as one integer, at most 255 rows before they are widened.
+    """
+    pieces = -(-sizes // 255)
+    first = np.cumsum(pieces) - pieces
+    step = np.arange(pieces.sum()) - np.repeat(first, pieces)
+    starts = np.repeat(np.cumsum(sizes) - sizes, pieces) + 255 * step
+    sums = np.add.reduceat(bits.view(np.uint64), starts, axis=0).view(np.uint8)
+    return sums if len(sums) == len(sizes) else np.add.reduceat(sums, first, axis=0, dtype=np.int64)
+
+
 class Fingerprints:
-    """Sign fingerprints of word sets; rows of +1/-1 are kept per word up to a bound."""
+    """Sign fingerprints of word sets; the rows of bits are kept per word up to a bound."""
 
     def __init__(self, tables: int, bound: int = 50_000) -> None:
         self.bits, self.bound = tables * BITS, bound
@@ -69,7 +82,7 @@ class Fingerprints:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.signs = np.empty((0, self.bits), dtype=np.int8)
+        self.signs = np.empty((0, self.seeds * 128), dtype=np.uint8)
 
     def __call__(self, docs: list[list[str]]) -> np.ndarray:
         """One row of 0/1 per document; all 0 for a document without words."""
@@ -78,28 +91,26 @@ class Fingerprints:
             part = docs[start : start + 256]
             if len(self.row) > self.bound:
                 self.clear()
-            index, sizes, fresh = [], [], []
+            row, index, sizes, fresh = self.row, [], [], []
             for tokens in part:
                 unique = set(tokens)
                 sizes.append(len(unique))
                 for t in unique:
-                    at = self.row.get(t)
+                    at = row.get(t)
                     if at is None:
-                        at = self.row[t] = len(self.row)
+                        at = row[t] = len(row)
                         fresh.append(t)
                     index.append(at)
             if fresh:
                 raw = b"".join(
                     xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"), seed=s) for t in fresh for s in range(self.seeds)
                 )
-                bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8)).reshape(len(fresh), -1)[:, : self.bits]
-                self.signs = np.vstack([self.signs, bits.astype(np.int8) * 2 - 1])
+                self.signs = np.vstack([self.signs, np.unpackbits(np.frombuffer(raw, dtype=np.uint8)).reshape(len(fresh), -1)])
             sizes = np.array(sizes)
             full = np.flatnonzero(sizes)
             if len(full):
-                ends = np.cumsum(sizes)
-                sums = np.add.reduceat(self.signs[np.array(index)], (ends - sizes)[full], axis=0, dtype=np.int32)
-                out[start + full] = sums > 0
+                counts = bit_counts(self.signs[np.array(index)], sizes[full])[:, : self.bits]
+                out[start + full] = counts.astype(np.int64) * 2 > sizes[full][:, None]
         return out
 
 
@@ -125,14 +136,12 @@ def sequence_prints(sets: list[np.ndarray]) -> np.ndarray:
         part = np.concatenate(sets[lo:hi])
         full = np.flatnonzero(sizes[lo:hi])
         if len(full):
-            total = np.zeros((len(full), LANES * 64), dtype=np.int64)
+            n = sizes[lo:hi][full]
             if hi - lo == 1:  # a very long text, in pieces
-                for at in range(0, len(part), 30_000):
-                    total[0] += _signs(part[at : at + 30_000]).sum(axis=0, dtype=np.int64)
+                counts = sum(bit_counts(_signs(part[at : at + 30_000]), np.array([len(part[at : at + 30_000])])).astype(np.int64) for at in range(0, len(part), 30_000))
             else:
-                total[:] = np.add.reduceat(_signs(part), (starts[lo:hi] - starts[lo])[full], axis=0, dtype=np.int32)
-            bits = total * 2 > sizes[lo:hi][full][:, None]
-            out[lo + full] = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+                counts = bit_counts(_signs(part), n).astype(np.int64)
+            out[lo + full] = np.packbits(counts * 2 > n[:, None], axis=1).view(">i8").astype(np.int64)
         lo = hi
     return out
 
