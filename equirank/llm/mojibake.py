@@ -5,8 +5,8 @@ documents. Channel side: per piece of text a lattice whose arcs keep a character
 or read a run of characters as the bytes of one UTF-8 character under one of the
 wrong encodings; a lost byte is a wildcard. Viterbi search finds the likeliest
 reading under the corpus frequencies; single-byte mix-ups (Cyrillic or Central
-European text read as Western) compete as whole words; words with lost
-characters are restored from the likeliest corpus word that fits the pattern.
+European text read as Western) compete as whole words; runs with lost bytes are
+read along arcs in which U+FFFD is any byte, words by the word frequencies.
 """
 
 from __future__ import annotations
@@ -34,6 +34,9 @@ LOST = "�"
 SHARE = 2e-6
 _PIECE = re.compile(r"[^ \t\r\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Letters and characters beyond ASCII.
+_RUN = re.compile(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 _EDGE = "¿¡«»“”„‚‘’…–—°€ "
 _COUNTED = r"[\p{L}\p{M}]+|[^\p{L}\p{M}\s\x00-\x7F]"
@@ -78,6 +81,134 @@ def _script(c: str) -> str:
     return "cyr" if 0x400 <= o <= 0x52F else "grk" if 0x370 <= o <= 0x3FF else "lat" if o < 0x250 or 0x1E00 <= o <= 0x1EFF else "oth"
 
 
+@lru_cache(maxsize=None)
+def _undefined(codec: str | None) -> frozenset[int]:
+    """Bytes that have no character in a code page and so are lost first."""
+    out = set()
+    for b in range(0x80, 0x100) if codec else ():
+        try:
+            bytes([b]).decode(codec)
+        except UnicodeDecodeError:
+            out.add(b)
+    return frozenset(out)
+
+
+def arcs(w: str, codec: str | None) -> list[tuple[int, int, str | tuple | None]]:
+    """(start, end, reading) over a run with lost bytes, where U+FFFD stands for any lead or continuation byte.
+
+    A reading is a character, the byte pattern of one character (None for a lost
+    byte), or None for a run of lost bytes alone, which may be several characters.
+    """
+    table = _byte_table(codec) if codec else {}
+    bytes_ = [None if c == LOST else table.get(c, 0) if ord(c) > 127 else 0 for c in w]
+    inner = [b is None or 0x80 <= b <= 0xBF for b in bytes_]
+    out, i, n = [], 0, len(w)
+    while i < n:
+        b, reading = bytes_[i], w[i]
+        k = _length(b or 0)
+        if k and i + k <= n and all(inner[i + 1 : i + k]):
+            pattern = tuple(bytes_[i : i + k])
+            if None in pattern:
+                reading = pattern
+            else:
+                try:
+                    reading = bytes(pattern).decode("utf-8")
+                except UnicodeDecodeError:
+                    k = 1
+        elif b is None:
+            k = 1
+            while i + k < n and w[i + k] == LOST:
+                k += 1
+            reading = None
+            if k == 1:  # a lost lead byte before continuation bytes
+                while k < 4 and i + k < n and bytes_[i + k] and inner[i + k]:
+                    k += 1
+                reading = (None, *bytes_[i + 1 : i + k]) if k > 1 else None
+        else:
+            k = 1
+        out.append((i, i + k, reading))
+        i += k
+    return out
+
+
+def segments(read: list, sign) -> list:
+    """(start, end, text or arcs): signs and whole words as text, words with lost bytes as their arcs."""
+    out, word = [], []
+
+    def close() -> None:
+        if word:
+            whole = all(isinstance(r, str) for _, _, r in word)
+            out.append((word[0][0], word[-1][1], "".join(r for _, _, r in word) if whole else list(word)))
+            word.clear()
+
+    for start, end, r in read:
+        if isinstance(r, tuple) and r[0] in (0xC2, 0xE2):  # the lead bytes of most signs
+            r = sign(r) or r
+        if isinstance(r, str) and not r.isalpha():
+            close()
+            out.append((start, end, r))
+        else:
+            word.append((start, end, r))
+    close()
+    return out
+
+
+def _outline(w: str) -> str:
+    return "=" + _BEYOND.sub("*", w)
+
+
+def keys(w: str) -> set[str]:
+    """Runs of one to three characters of a word, with their place from the start or the end or without, and the word's outline."""
+    n = len(w)
+    return {f"{p}:{w[i : i + k]}" for k in (1, 2, 3) for i in range(n - k + 1) for p in (i, i + k - n - 1, "")} | {_outline(w)}
+
+
+def key_of(seen: str, word: list) -> str | None:
+    """A key that all words have that the seen one may be: its longest known run, placed from an end without a run of unknown length between.
+
+    None if nothing of the word is known.
+    """
+    n = len(word)
+    loose = [i for i, (_, _, r) in enumerate(word) if r is None]
+    first, last = (loose[0], loose[-1]) if loose else (n, -1)
+    known = []
+    for k in (3, 2, 1):
+        for i in range(n - k + 1):
+            part = [r for _, _, r in word[i : i + k]]
+            if all(isinstance(r, str) for r in part):
+                if i + k <= first:
+                    return f"{i}:{''.join(part)}"
+                if i > last:
+                    return f"{i + k - n - 1}:{''.join(part)}"
+                known.append(f":{''.join(part)}")
+    outline = _outline(seen)
+    return outline if outline != "=*" else known[0] if known else None
+
+
+def matches(seen: str, word: str, codec: str | None) -> bool:
+    """A path through the lattice of the seen run spells the word: kept characters, and UTF-8 bytes of which some are lost.
+
+    Without an encoding, each lost character may also stand for one character beyond ASCII.
+    """
+    table = _byte_table(codec) if codec else {}
+
+    def path(single: bool) -> bool:
+        ends = {0}
+        for c in word:
+            b, after = c.encode(), set()
+            for i in ends:
+                if seen[i : i + 1] == c:
+                    after.add(i + 1)
+                if len(b) > 1 and single and seen[i : i + 1] == LOST:
+                    after.add(i + 1)
+                if len(b) > 1 and not single and i + len(b) <= len(seen) and all(s == LOST or table.get(s) == x for s, x in zip(seen[i : i + len(b)], b)):
+                    after.add(i + len(b))
+            ends = after
+        return len(seen) in ends
+
+    return path(False) or codec is None and path(True)
+
+
 class Decoder:
     """Finds and restores garbled pieces under given corpus frequencies."""
 
@@ -90,10 +221,15 @@ class Decoder:
                 if ord(c) > 127:
                     signs[c] = signs.get(c, 0) + n
         self.signs, self.sign_total = signs, sum(signs.values()) + 1
-        self.patterns: dict[str, list[str]] = {}
-        for w in sorted(counts, key=lambda w: (-counts[w], w)):
+        self.by_length: dict[int, list[tuple[str, int]]] = {}
+        for c, n in self.signs.items():
+            if not c.isalpha() and c != LOST:
+                self.by_length.setdefault(len(c.encode()), []).append((c, n))
+        self.grams: dict[str, list[str]] = {}
+        for w in counts:
             if w[0].isalpha():
-                self.patterns.setdefault(re.sub(r"[^\x00-\x7f]", "", w), []).append(w)
+                for key in keys(w):
+                    self.grams.setdefault(key, []).append(w)
         self.piece = lru_cache(maxsize=200_000)(self._piece)
 
     def sign_cost(self, c: str) -> float:
@@ -255,25 +391,51 @@ class Decoder:
         return reading
 
     def fill(self, text: str) -> str:
-        """Words with lost characters: the most frequent corpus word of the same pattern, else unchanged."""
+        """Runs with lost bytes, read under the encoding that leaves the fewest lost and then makes the likeliest words."""
 
-        def word(m: re.Match) -> str:
-            w = m[0]
+        def run(m: re.Match) -> str:
+            w, best, reading = m[0], None, m[0]
             if LOST not in w:
                 return w
-            core = re.sub(LOST, "", w)
-            if not core:
-                return w
-            shape = re.compile("".join("[^\\x00-\\x7f]{1,%d}" % len(p) if p[0] == LOST else re.escape(p) for p in re.findall(f"{LOST}+|[^{LOST}]+", w)))
-            lost = w.count(LOST)
-            fit = [x for x in self.patterns.get(re.sub(r"[^\x00-\x7f]", "", core), ()) if shape.fullmatch(x)]
-            for x in fit:
-                beyond = sum(ord(c) > 127 for c in x)
-                if lost in (beyond, len(x.encode()) - len(x) + beyond) and not self.piece(x)[1]:
-                    return x
-            return w
-
-        return re.sub(rf"[^\W\d_{LOST}]*{LOST}[^\W\d_]*(?:{LOST}+[^\W\d_]*)*", word, text)
+            for codec in (None, *MISREAD):
+                out, score = self.read_lost(w, codec)
+                rank = (-out.count(LOST), score)
+                if out != w and (best is None or rank > best):
+                    best, reading = rank, out
+            return reading
+
+        return _RUN.sub(run, text)
+
+    def read_lost(self, w: str, codec: str | None) -> tuple[str, float]:
+        """(reading, log-likelihood) of a run: single signs by the sign frequencies, words by the word frequencies."""
+        out, score = [], 0.0
+        for start, end, segment in segments(arcs(w, codec), lambda p: self.sign(p, codec)):
+            if isinstance(segment, str):
+                out.append(segment)
+                continue
+            seen = w[start:end]
+            fit = [x for x in self.candidates(key_of(seen, segment)) if matches(seen, x, codec) and not self.piece(x)[1]]
+            if fit:
+                x = min(fit, key=lambda x: (-self.words[x], x))
+                score += math.log(self.words[x] / self.total)
+                out.append(x)
+            else:
+                score += math.log(0.02 / self.total)
+                out.append(seen)
+        return "".join(out), score
+
+    def candidates(self, key: str | None) -> list[str]:
+        return self.grams.get(key, []) if key else []
+
+    def sign(self, pattern: tuple[int | None, ...], codec: str | None) -> str | None:
+        """The most frequent sign other than a letter with these bytes; bytes that the encoding leaves undefined come first."""
+        undefined = _undefined(codec)
+        fit = []
+        for c, n in self.by_length.get(len(pattern), ()):
+            b = c.encode()
+            if all(p is None or p == x for p, x in zip(pattern, b)) and self.plausible(c):
+                fit.append((all(p is not None or x in undefined for p, x in zip(pattern, b)), n, c))
+        return max(fit)[2] if fit else None
 
     def text(self, text: str) -> tuple[str, int, bool]:
         """(restored, garbled pieces, characters still lost)."""

@@ -143,3 +143,16 @@ def test_near_duplicates_at_other_widths(spark, sf):
     groups = neardup.near_duplicate_groups(classes, links)
     work = {r["key"]: r["work"] for r in groups.collect()}
     assert set(work) == set(ids) and all(work[a] == work[b] for a, b in want)
+
+
+def test_lost_bytes_are_read_as_any_byte():
+    clean = ["Índia", "India", "Ásia", "éndia", "средняя", "Möllgård", "été", "”", "“"]
+    d = mojibake.Decoder({w: 50 for w in clean})
+    want = {
+        "Ã�ndia": "Índia", "“Ã�ndiaâ€�": "“Índia”", "â€œÃ�siaâ€�": "“Ásia”", "средняя".encode().decode("cp1252", "replace"): "средняя",
+        "M�llg�rd": "Möllgård", "M��llg��rd": "Möllgård", "�t�": "été", "��t��": "été", "M�¶llgÃ�rd": "Möllgård",
+    }
+    assert {t: d.text(t)[0] for t in want} == want and not any(d.text(t)[2] for t in want)
+    assert d.text("Ã�zzz") == ("Ã�zzz", 1, True)
+    d = mojibake.Decoder({"Índia": 3, "Éndia": 9})
+    assert d.text("Ã�ndia")[0] == "Éndia"  # the likelier word of two that fit
