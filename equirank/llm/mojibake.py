@@ -1,7 +1,7 @@
 """Problem 9: text garbled by a wrong character encoding, by noisy-channel decoding.
 
 Corpus side: frequencies of all words and signs beyond ASCII, counted over all
-documents. Channel side: per piece of text a lattice whose arcs keep a character
+documents; words are looked up by equi-joins. Channel side: per piece of text a lattice whose arcs keep a character
 or read a run of characters as the bytes of one UTF-8 character under one of the
 wrong encodings; a lost byte is a wildcard. Viterbi search finds the likeliest
 reading under the corpus frequencies; single-byte mix-ups (Cyrillic or Central
@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -30,8 +31,8 @@ MIXED_UP = (
     ("koi8-r", "cp1251"), ("cp1250", "cp1252"), ("mac-roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp866", "cp1251"), ("cp1251", "cp866"),
 )
 LOST = "�"
-#: Share of all counted words and signs that an entry needs to be in the frequencies: so there are at most 1 / SHARE entries.
-SHARE = 2e-6
+#: Steps of decoding, for text encoded several times.
+DEPTH = 3
 _PIECE = re.compile(r"[^ \t\r\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letters and characters beyond ASCII.
@@ -42,18 +43,26 @@ _EDGE = "¿¡«»“”„‚‘’…–—°€ "
 _COUNTED = r"[\p{L}\p{M}]+|[^\p{L}\p{M}\s\x00-\x7F]"
 
 
-def corpus_frequencies(docs: DataFrame, share: float = SHARE) -> dict[str, int]:
-    """Counts of the words and single signs with a character beyond ASCII, over all documents.
+def piece_counts(docs: DataFrame) -> DataFrame:
+    """(piece, n): the distinct pieces without blanks that go beyond ASCII, and how often they occur."""
+    pieces = F.filter(F.split("text", "[ \t\r\n]+"), lambda w: w.rlike(r"[^\x00-\x7F]"))
+    return docs.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
 
-    Only entries of at least `share` of all counted ones (and seen twice) come to
-    the driver: at most 1 / share, however large the corpus is.
+
+def word_counts(pieces: DataFrame) -> DataFrame:
+    """(w, n): all words and single signs with a character beyond ASCII, over all documents."""
+    tokens = F.filter(F.regexp_extract_all("piece", F.lit(f"({_COUNTED})"), F.lit(1)), lambda w: w.rlike(r"[^\x00-\x7F]"))
+    return pieces.select(F.explode(tokens).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def sign_counts(words: DataFrame) -> tuple[dict[str, int], int]:
+    """(counts of the signs beyond ASCII in all words, number of words); as many entries as there are characters at most.
+
+    A sign seen once may be the garbled one itself and gives no evidence.
     """
-    tokens = docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select(
-        F.explode(F.filter(F.regexp_extract_all("text", F.lit(f"({_COUNTED})"), F.lit(1)), lambda w: w.rlike(r"[^\x00-\x7F]"))).alias("w")
-    )
-    counts = checkpoint(tokens.groupBy("w").agg(F.count("*").alias("n")))  # the texts are read once
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return {r["w"]: r["n"] for r in counts.where(F.col("n") >= max(2, math.ceil(total * share))).collect()}
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    signs = words.select(F.explode(F.filter(F.split("w", ""), lambda c: c.rlike(r"[^\x00-\x7F]"))).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n"))
+    return {r["c"]: r["n"] for r in signs.where("n > 1").collect()}, total
 
 
 @lru_cache(maxsize=None)
@@ -212,15 +221,19 @@ def matches(seen: str, word: str, codec: str | None) -> bool:
 class Decoder:
     """Finds and restores garbled pieces under given corpus frequencies."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
+    def __init__(self, counts: dict[str, int], signs: dict[str, int] | None = None, total: int | None = None) -> None:
+        """`counts` are those of all words; or `signs` and `total` are given, and each piece gets the counts it needs."""
         self.words = counts
-        self.total = sum(counts.values()) + 1
-        signs: dict[str, int] = {}
-        for w, n in counts.items():
-            for c in w:
-                if ord(c) > 127:
-                    signs[c] = signs.get(c, 0) + n
+        self.total = (sum(counts.values()) if total is None else total) + 1
+        if signs is None:
+            signs = {}
+            for w, n in counts.items():
+                for c in w:
+                    if ord(c) > 127:
+                        signs[c] = signs.get(c, 0) + n
         self.signs, self.sign_total = signs, sum(signs.values()) + 1
+        self.own: set[str] = set()
+        self.best: dict[tuple[str, str | None], tuple[str, int]] | None = None
         self.by_length: dict[int, list[tuple[str, int]]] = {}
         for c, n in self.signs.items():
             if not c.isalpha() and c != LOST:
@@ -245,6 +258,8 @@ class Decoder:
 
     def count(self, word: str) -> int:
         n = self.words.get(word, 0)
+        if n == 1 and word in self.own:  # only here
+            n = 0
         return n if n else self.words.get(word.lower(), 0) // 2
 
     def viterbi(self, text: str, codec: str, favour: float = 0.0) -> str:
@@ -308,14 +323,15 @@ class Decoder:
                 )
         for c in text:
             if ord(c) > 127 and not c.isalpha():
-                n = self.words.get(c, 0) + 0.02
+                n = self.signs.get(c, 0) + 0.02
                 score += math.log(n / self.total) * (2 if "\x80" <= c <= "\x9f" else 1)
         return score
 
     def _piece(self, text: str) -> tuple[str, bool]:
         """(restored, garbled) of a piece without blanks."""
         garbled, now = False, text
-        for _ in range(3):
+        self.own = set(_WORD.findall(text))
+        for _ in range(DEPTH):
             found = self.misread(now)
             if found is None:
                 break
@@ -330,36 +346,39 @@ class Decoder:
             garbled = True
         return now, garbled
 
-    def misread(self, text: str) -> str | None:
-        base, best, reading = self.likelihood(text), None, None
+    def readings(self, text: str) -> Iterator[tuple[str, str]]:
+        """(reading, the reading read again) under each encoding; doubly encoded text reads well only after the second step."""
         for codec in MISREAD:
             table = _byte_table(codec)
             if not any(_length(table.get(c, 0)) for c in text if ord(c) > 127):
                 continue
             for favour in (0.0, 12.0):
                 out = self.viterbi(text, codec, favour)
-                if out == text or not self.sane(text, out):
-                    continue
-                decoded = [c for c in out if ord(c) > 127]
-                if not all(self.plausible(c) or self.again(c) or c in text for c in decoded):
-                    continue
-                again = self.viterbi(out, codec)  # doubly encoded text reads well only after the second step
-                gain = max(self.likelihood(out), self.likelihood(again) if self.sane(out, again) else -math.inf) - base
-                # every decoded character explains two or more: reward the compression
-                gain += 2.0 * (len(text) - len(out))
-                if gain > 0 and (best is None or gain > best):
-                    best, reading = gain, out
+                if out != text and all(self.plausible(c) or self.again(c) or c in text for c in out if ord(c) > 127):
+                    yield out, self.viterbi(out, codec)
+
+    def misread(self, text: str) -> str | None:
+        base, best, reading = self.likelihood(text), None, None
+        for out, again in self.readings(text):
+            if not self.sane(text, out):
+                continue
+            gain = max(self.likelihood(out), self.likelihood(again) if self.sane(out, again) else -math.inf) - base
+            # every decoded character explains two or more: reward the compression
+            gain += 2.0 * (len(text) - len(out))
+            if gain > 0 and (best is None or gain > best):
+                best, reading = gain, out
         return reading
 
-    def mixed_up(self, text: str) -> str | None:
+    @staticmethod
+    def mixtures(text: str) -> Iterator[tuple[str, str, str]]:
+        """(reading, longest word of the text, longest word of the reading) under each pair of single-byte encodings."""
         # punctuation at the ends of a word is meant as such
         words = [w.strip(_EDGE) for w in re.findall(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text)]
         words = [w for w in words if not w.isascii()]
         if not words:
-            return None
+            return
         word = max(words, key=len)
         letters = [c for c in word if ord(c) > 127]
-        best, reading = None, None
         for read_as, meant in MIXED_UP:
             table = _byte_table(read_as)
             if any(c not in table for c in letters):
@@ -373,11 +392,17 @@ class Decoder:
                 out = out.replace(w, new, 1)
             if out == text:
                 continue
-            was = max(self.count(w) for w in _WORD.findall(word) or [word])
             new_words = [w for w in _WORD.findall(out) if not w.isascii()]
             if not new_words:
                 continue
             longest = max(new_words, key=len)
+            yield out, word, longest
+
+    def mixed_up(self, text: str) -> str | None:
+        best, reading = None, None
+        for out, word, longest in self.mixtures(text):
+            letters = [c for c in word if ord(c) > 127]
+            was = max(self.count(w) for w in _WORD.findall(word) or [word])
             known = self.count(longest)
             whole = len(letters) == len(word)
             if known > was and (len(longest) >= 3 and (len(letters) > 1 or not word.isalpha() or was == 0)):
@@ -390,6 +415,34 @@ class Decoder:
                 best, reading = gain, out
         return reading
 
+    def needs(self, text: str) -> tuple[set[str], set[tuple[str, str, str]]] | None:
+        """What decoding the piece may look up: words, and (key, word with lost bytes, encoding). None if there is no other reading."""
+        reached, level, words, other = {text}, {text}, set(_WORD.findall(text)), False
+        for _ in range(DEPTH):
+            found = set()
+            for t in level:
+                for out, again in self.readings(t):
+                    words.update(_WORD.findall(out), _WORD.findall(again))
+                    found.add(out)
+            level = found - reached
+            reached |= level
+        for out, word, longest in self.mixtures(text):
+            words.update((word, longest))
+            other = True
+            if LOST in text:
+                reached.add(out)
+        lost = set()
+        for run in (r for t in reached if LOST in t for r in _RUN.findall(t) if LOST in r):
+            for codec in (None, *MISREAD):
+                for start, end, segment in self.segments(run, codec):
+                    key = None if isinstance(segment, str) else key_of(run[start:end], segment)
+                    if key:
+                        lost.add((key, run[start:end], codec or ""))
+        if not (other or len(reached) > 1 or LOST in text or _CONTROL.search(text)):
+            return None
+        words |= {w.lower() for w in words}
+        return {w for w in words if not w.isascii()}, lost
+
     def fill(self, text: str) -> str:
         """Runs with lost bytes, read under the encoding that leaves the fewest lost and then makes the likeliest words."""
 
@@ -409,23 +462,30 @@ class Decoder:
     def read_lost(self, w: str, codec: str | None) -> tuple[str, float]:
         """(reading, log-likelihood) of a run: single signs by the sign frequencies, words by the word frequencies."""
         out, score = [], 0.0
-        for start, end, segment in segments(arcs(w, codec), lambda p: self.sign(p, codec)):
+        for start, end, segment in self.segments(w, codec):
             if isinstance(segment, str):
                 out.append(segment)
                 continue
             seen = w[start:end]
-            fit = [x for x in self.candidates(key_of(seen, segment)) if matches(seen, x, codec) and not self.piece(x)[1]]
-            if fit:
-                x = min(fit, key=lambda x: (-self.words[x], x))
-                score += math.log(self.words[x] / self.total)
+            found = self.fitting(seen, segment, codec)
+            if found:
+                x, n = found
+                score += math.log(n / self.total)
                 out.append(x)
             else:
                 score += math.log(0.02 / self.total)
                 out.append(seen)
         return "".join(out), score
 
-    def candidates(self, key: str | None) -> list[str]:
-        return self.grams.get(key, []) if key else []
+    def segments(self, w: str, codec: str | None) -> list:
+        return segments(arcs(w, codec), lambda p: self.sign(p, codec))
+
+    def fitting(self, seen: str, segment: list, codec: str | None) -> tuple[str, int] | None:
+        """The most frequent word, not garbled itself, that the seen one may be, and its count."""
+        if self.best is not None:
+            return self.best.get((seen, codec or ""))
+        fit = [x for x in self.grams.get(key_of(seen, segment), ()) if matches(seen, x, codec) and not self.piece(x)[1]]
+        return min(((x, self.words[x]) for x in fit), key=lambda f: (-f[1], f[0]), default=None)
 
     def sign(self, pattern: tuple[int | None, ...], codec: str | None) -> str | None:
         """The most frequent sign other than a letter with these bytes; bytes that the encoding leaves undefined come first."""
@@ -439,43 +499,125 @@ class Decoder:
 
     def text(self, text: str) -> tuple[str, int, bool]:
         """(restored, garbled pieces, characters still lost)."""
-        if text.isascii():
-            return text, 0, False
-        out, at, hits = [], 0, 0
-        for m in _PIECE.finditer(text):
-            piece = m[0]
-            if piece.isascii():
-                continue
-            restored, garbled = self.piece(piece)
-            if garbled:
-                hits += 1
-            if restored != piece:
-                out += [text[at : m.start()], restored]
-                at = m.end()
-        out.append(text[at:])
-        restored = "".join(out)
-        return restored, hits, LOST in restored
-
-
-def _restore(counts):
+        return _replace(text, self.piece)
+
+
+def _replace(text: str, read) -> tuple[str, int, bool]:
+    if text.isascii():
+        return text, 0, False
+    out, at, hits = [], 0, 0
+    for m in _PIECE.finditer(text):
+        piece = m[0]
+        if piece.isascii():
+            continue
+        restored, garbled = read(piece)
+        if garbled:
+            hits += 1
+        if restored != piece:
+            out += [text[at : m.start()], restored]
+            at = m.end()
+    out.append(text[at:])
+    restored = "".join(out)
+    return restored, hits, LOST in restored
+
+
+def _needs(model):
     def run(batches):
-        decoder = Decoder(counts.value)
+        decoder = Decoder({}, *model.value)
         for pdf in batches:
-            rows = [decoder.text(t) for t in pdf["text"]]
+            rows = [(p, f) for p in pdf["piece"] if (f := decoder.needs(p)) is not None]
             yield pd.DataFrame(
-                {"doc_id": pdf["doc_id"], "restored": [r[0] for r in rows], "pieces": [r[1] for r in rows], "lost": [r[2] for r in rows]}
+                {"piece": [p for p, _ in rows], "words": [sorted(f[0]) for _, f in rows], "lost": [[dict(zip(("key", "seen", "codec"), x)) for x in sorted(f[1])] for _, f in rows]}
             )
 
     return run
 
 
+def _decode(model):
+    def run(batches):
+        decoder = Decoder({}, *model.value)
+        for pdf in batches:
+            out = []
+            for piece, counts, best in zip(pdf["piece"], pdf["counts"], pdf["best"]):
+                decoder.words = {} if counts is None else {x["w"]: x["n"] for x in counts}
+                decoder.best = {} if best is None else {(x["seen"], x["codec"]): (x["w"], x["n"]) for x in best}
+                restored, garbled = decoder._piece(piece)
+                if garbled:
+                    out.append((piece, restored))
+            yield pd.DataFrame(out, columns=["piece", "restored"])
+
+    return run
+
+
+def _keys(batches):
+    for pdf in batches:
+        rows = [(k, w, n) for w, n in zip(pdf["w"], pdf["n"]) if w[0].isalpha() for k in keys(w)]
+        yield pd.DataFrame(rows, columns=["key", "w", "n"])
+
+
+def _matching(batches):
+    for pdf in batches:
+        yield pdf[[matches(s, w, c or None) for s, w, c in zip(pdf["seen"], pdf["w"], pdf["codec"])]]
+
+
+def _wanted(pieces: DataFrame, model) -> DataFrame:
+    """(id, piece, words, lost): what has another reading, and what is to be looked up for it."""
+    wanted = pieces.select("piece").mapInPandas(_needs(model), "piece string, words array<string>, lost array<struct<key: string, seen: string, codec: string>>")
+    return checkpoint(wanted.withColumn("id", F.monotonically_increasing_id()))
+
+
+def _garbled(wanted: DataFrame, words: DataFrame, best: DataFrame | None, model) -> DataFrame:
+    """(piece, restored) of the garbled ones."""
+    counts = wanted.select("id", F.explode("words").alias("w")).join(words, "w").groupBy("id").agg(F.collect_list(F.struct("w", "n")).alias("counts"))
+    read = wanted.select("id", "piece").join(counts, "id", "left")
+    if best is None:
+        read = read.withColumn("best", F.lit(None).cast("array<struct<seen: string, codec: string, w: string, n: bigint>>"))
+    else:
+        asked = wanted.select("id", F.explode("lost").alias("l")).select("id", "l.seen", "l.codec")
+        read = read.join(asked.join(best, ["seen", "codec"]).groupBy("id").agg(F.collect_list(F.struct("seen", "codec", "w", "n")).alias("best")), "id", "left")
+    return read.select("piece", "counts", "best").mapInPandas(_decode(model), "piece string, restored string")
+
+
+def _best_words(wanted: DataFrame, words: DataFrame) -> DataFrame:
+    """(seen, codec, w, n): for each word with lost bytes the most frequent of the given words that it may be."""
+    lost = wanted.select(F.explode("lost").alias("l")).select("l.*").distinct()
+    keyed = words.mapInPandas(_keys, "key string, w string, n long")
+    fits = lost.join(keyed, "key").select("seen", "codec", "w", "n").mapInPandas(_matching, "seen string, codec string, w string, n long")
+    top = fits.groupBy("seen", "codec").agg(F.min(F.struct((-F.col("n")).alias("n"), "w")).alias("x"))
+    return top.select("seen", "codec", "x.w", (-F.col("x.n")).alias("n"))
+
+
+def _restore(batches):
+    for pdf in batches:
+        rows = []
+        for text, found in zip(pdf["text"], pdf["found"]):
+            known = {x["piece"]: (x["restored"], True) for x in found}
+            rows.append(_replace(text, lambda p: known.get(p, (p, False))))
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "restored": [r[0] for r in rows], "pieces": [r[1] for r in rows], "lost": [r[2] for r in rows]})
+
+
 def restore_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, restored, pieces, lost): documents with at least one garbled piece and their restored text.
 
     pieces counts the garbled pieces (runs without blanks); lost tells whether
     characters could not be had back. Null, empty and pure ASCII texts are never
     garbled and are not decoded.
+
+    Only the counts of signs go to the driver. Each distinct piece with another
+    reading looks up the words of its readings, and the words that fit its lost
+    bytes, in the counts of all words by equi-joins.
     """
     src = spread(docs.select("doc_id", "text").where(F.col("text").rlike(r"[^\x00-\x7F]")), "doc_id")
-    counts = docs.sparkSession.sparkContext.broadcast(corpus_frequencies(src))
-    return src.mapInPandas(_restore(counts), "doc_id long, restored string, pieces long, lost boolean").where("pieces > 0")
+    pieces = checkpoint(piece_counts(src))
+    words = checkpoint(word_counts(pieces))
+    model = docs.sparkSession.sparkContext.broadcast(sign_counts(words))
+    wanted = _wanted(pieces, model)
+    garbled = checkpoint(_garbled(wanted, words, None, model))
+    lossy = wanted.where(F.size("lost") > 0)
+    if lossy.limit(1).count():  # lost bytes are read as words of pieces that are not garbled themselves
+        best = _best_words(lossy, word_counts(pieces.join(garbled, "piece", "left_anti")))
+        garbled = checkpoint(garbled.join(lossy, "piece", "left_anti").unionByName(_garbled(lossy, words, best, model)))
+    keyed = src.withColumn("t", F.sha2("text", 256))
+    held = F.array_distinct(F.filter(F.split("text", "[ \t\r\n]+"), lambda w: w.rlike(r"[^\x00-\x7F]")))
+    found = keyed.select("t", F.explode(held).alias("piece")).distinct().join(garbled, "piece").groupBy("t").agg(F.collect_list(F.struct("piece", "restored")).alias("found"))
+    return keyed.join(found, "t").select("doc_id", "text", "found").mapInPandas(_restore, "doc_id long, restored string, pieces long, lost boolean")

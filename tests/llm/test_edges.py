@@ -262,3 +262,14 @@ def test_tokenizer_counts(spark):
     path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     df = spark.createDataFrame([(1, "s", "hello world"), (2, "s", None)], "doc_id long, source string, text string")
     assert [r["tokens"] for r in mixing.source_tokens(df, mixing.tokenizer_tokens(path)).orderBy("doc_id").collect()] == [2, 0]
+
+
+def test_garbled_words_are_judged_alike_in_a_corpus_of_any_size(spark):
+    good, other = ["wartość", "Índia", "Möllgård"], ["für", "été", "größe"]
+    bad = [good[0].encode("iso8859-2").decode("latin-1"), "Ã�ndia", "M�llg�rd"]
+    texts = [f"see {w} now" for w in [*good, good[0]]] + [f"see {w} now" for w in bad]
+    for repeats in (1, 2000):  # 6,000 to 12 million other words beyond ASCII
+        filler = spark.range(2000).selectExpr("id + 1000 AS doc_id", f"repeat('{' '.join(other)} ', {repeats}) AS text")
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(filler)
+        got = {r["doc_id"]: r["restored"] for r in mojibake.restore_texts(df).collect()}
+        assert got == {4 + i: f"see {w} now" for i, w in enumerate(good)}, repeats
