@@ -337,15 +337,27 @@ def _best(root: Node) -> Node:
     return best
 
 
+def _holds_blocks(node: Node) -> bool:
+    return node.kind in ("heading", "code", "row") or any(_holds_blocks(c) for c in node.children)
+
+
+def _flat(node: Node) -> str:
+    """The text of a table cell and of all that it holds, in one line."""
+    text = f"$${node.text}$$" if node.kind == "formula" else node.text
+    return " ".join(x for x in (text, *(_flat(c) for c in node.children)) if x)
+
+
 def _write(node: Node, out: list[str]) -> None:
     if node.kind == "heading" and node.text:
         out.append(f"# {node.text}")
     elif node.kind == "item" and node.text:
         out.append(f"- {node.text}")
     elif node.kind == "row" and (node.text or node.children):
-        cells = [c.text or " ".join(x.text for x in c.children) for c in node.children]
-        out.append(" | ".join(x for x in [node.text, *cells] if x))
-        return
+        if not any(_holds_blocks(c) for c in node.children):
+            out.append(" | ".join(x for x in [node.text, *(_flat(c) for c in node.children)] if x))
+            return
+        if node.text:  # a table for layout
+            out.append(node.text)
     elif node.kind == "code":
         out.append(f"```\n{node.text}\n```")
     elif node.kind == "formula":

@@ -156,3 +156,10 @@ def test_lost_bytes_are_read_as_any_byte():
     assert d.text("Ã�zzz") == ("Ã�zzz", 1, True)
     d = mojibake.Decoder({"Índia": 3, "Éndia": 9})
     assert d.text("Ã�ndia")[0] == "Éndia"  # the likelier word of two that fit
+
+
+def test_table_cells_keep_all_they_hold():
+    row = "<table><tr><td><p>first cell</p></td><td><div><p>second</p><ul><li>an item</li></ul></div></td><td>plain</td></tr></table>"
+    assert markup.clean_text(row) == "first cell | second an item | plain"
+    layout = "<table><tr><td><h2>Results</h2><div><p>It works.</p></div></td><td><table><tr><td><p>a</p></td><td>b</td></tr></table></td></tr></table>"
+    assert markup.clean_text(layout) == "# Results\nIt works.\na | b"
