@@ -37,6 +37,7 @@ _NAMES = set(BLOCK_TAGS.split()) | set(INLINE_TAGS.split())
 _BLOCKS = set(BLOCK_TAGS.split())
 _VOID = {"br", "hr", "img", "input", "link", "meta", "wbr", "base", "embed", "param", "source"}
 _DROPPED = {"script", "style", "ref", "references", "head", "svg", "iframe", "button", "select", "nav"}
+_FLAT = {"ref", "button", "select"}
 
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*(?:-[A-Za-z]+)*(?::[A-Za-z][\w-]*)?)((?:\s[^<>]*?)?)(/?)>")
 _COMMENT = re.compile(r"<!--.*?-->|<!DOCTYPE[^>]*>|<!\[CDATA\[|\]\]>", re.S | re.I)
@@ -85,6 +86,26 @@ def _tags(text: str):
             yield m, name
 
 
+def _unclosed(tags: list) -> set[int]:
+    """Starts of the opening tags of dropped elements that are never closed, so that the text behind them stays.
+
+    Elements that cannot hold their own kind end at the next of their kind, too.
+    """
+    out, closes, opens = set(), set(), set()
+    for m, _ in reversed(tags):
+        name = m[2].lower()
+        if name.split(":")[-1] not in _DROPPED or m[4]:
+            continue
+        if m[1]:
+            closes.add(name)
+            opens.discard(name)
+        else:
+            if name not in closes or name in opens and name in _FLAT:
+                out.add(m.start())
+            opens.add(name)
+    return out
+
+
 def markup_kinds(text: str | None) -> list[str]:
     """The notations of which the text holds at least one piece, sorted; empty for plain, empty and null text."""
     if not text:
@@ -182,7 +203,9 @@ class _Parser:
             if joined.strip():
                 self.lines(joined, here)
 
-        for m, name in _tags(text):
+        tags = list(_tags(text))
+        unclosed = _unclosed(tags)
+        for m, name in tags:
             part, at = text[at : m.start()], m.end()
             if skip:
                 if m[1] and name == skip:
@@ -191,7 +214,7 @@ class _Parser:
             buffer.append(html.unescape(part))
             name = name.split(":")[-1]
             if name in _DROPPED and not m[4]:
-                if not m[1]:
+                if not m[1] and m.start() not in unclosed:
                     skip = m[2].lower()
                 continue
             if name == "br":

@@ -163,3 +163,10 @@ def test_table_cells_keep_all_they_hold():
     assert markup.clean_text(row) == "first cell | second an item | plain"
     layout = "<table><tr><td><h2>Results</h2><div><p>It works.</p></div></td><td><table><tr><td><p>a</p></td><td>b</td></tr></table></td></tr></table>"
     assert markup.clean_text(layout) == "# Results\nIt works.\na | b"
+
+
+def test_unclosed_dropped_elements_lose_no_text():
+    for name in ("ref", "nav", "head", "select", "button", "svg", "iframe", "script", "style"):
+        assert markup.clean_text(f"We find <b>much</b><{name}> and more behind.") == "We find much and more behind.", name
+        assert markup.clean_text(f"We find <b>much</b><{name}>dropped</{name}> and more.") == "We find much and more.", name
+    assert markup.clean_text("One <ref>open, two <ref>gone</ref> three <ref name='x'/> four.") == "One open, two three four."
