@@ -284,7 +284,7 @@ def _shingle_rows(fields: list[str], width: int):
 
 
 def near_duplicates(
-    df: DataFrame, key: str, fields: list[str], *, width: int = 5, similarity: float = 0.8, tables: int = 14, slack: int = 1, limit: int | None = None
+    df: DataFrame, key: str, fields: list[str], *, width: int = 5, similarity: float = 0.8, tables: int = 32, slack: int = 1, limit: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(classes, links) of records whose word sequences of `width` words agree in a share of at least `similarity`.
 

@@ -170,3 +170,20 @@ def test_unclosed_dropped_elements_lose_no_text():
         assert markup.clean_text(f"We find <b>much</b><{name}> and more behind.") == "We find much and more behind.", name
         assert markup.clean_text(f"We find <b>much</b><{name}>dropped</{name}> and more.") == "We find much and more.", name
     assert markup.clean_text("One <ref>open, two <ref>gone</ref> three <ref name='x'/> four.") == "One open, two three four."
+
+
+def test_near_duplicates_with_a_block_inserted(spark):
+    from equirank.llm import neardup
+
+    rng = np.random.default_rng(7)
+    vocabulary, data, want = [f"w{i}" for i in range(20_000)], [], set()
+    for i in range(400):
+        a, block = list(rng.choice(vocabulary, 60)), list(rng.choice(vocabulary, 50))
+        b = a[:25] + block + a[25:]
+        s, t = ({tuple(x[j : j + 3]) for j in range(len(x) - 2)} for x in (a, b))
+        if len(s & t) >= 0.5 * len(s | t):
+            want.add((f"a{i:03}", f"b{i:03}"))
+        data += [(f"a{i:03}", " ".join(a)), (f"b{i:03}", " ".join(b))]
+    df = spark.createDataFrame(data, "paper_id string, title string")
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(*neardup.near_duplicates(df, "paper_id", ["title"], width=3, similarity=0.5), 3).collect()}
+    assert got <= want and len(want) > 350 and len(got) >= 0.99 * len(want)
