@@ -56,7 +56,7 @@ def _form(cp: int) -> tuple[str, str | None] | None:
     cat = unicodedata.category(c)
     if c in LOOK_ALIKES:
         return LOOK_ALIKES[c], LOOKALIKE
-    if cat == "Cf" or cp in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0xFE00 <= cp <= 0xFE0F:
+    if cat == "Cf" or cp in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF:
         return "", INVISIBLE
     if cat == "Zs" and c != " ":
         return " ", SPACE
@@ -74,7 +74,7 @@ def _form(cp: int) -> tuple[str, str | None] | None:
 def _mapping_rows() -> list[tuple[str, str, str | None, bool]]:
     out = []
     for cp in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= cp <= 0xDFFF or 0xE0000 < cp:
+        if 0xD800 <= cp <= 0xDFFF or 0xF0000 <= cp:  # surrogates and the private planes
             continue
         form = _form(cp)
         if form:

@@ -273,3 +273,11 @@ def test_garbled_words_are_judged_alike_in_a_corpus_of_any_size(spark):
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(filler)
         got = {r["doc_id"]: r["restored"] for r in mojibake.restore_texts(df).collect()}
         assert got == {4 + i: f"see {w} now" for i, w in enumerate(good)}, repeats
+
+
+def test_invisible_tags_and_variation_selectors_beyond_the_first_planes(spark):
+    values = ["a\U000e0001b\U000e0041\U000e007fc", "x\U000e0100y", "\U000e01ef", "𝐀 plain"]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, value string")
+    got = {r["id"]: (r["normalized"], r["kinds"]) for r in lookalike.normalize_values(df, ["id"]).collect()}
+    assert {i: got[i] for i in (0, 1, 2)} == {0: ("abc", ["invisible"]), 1: ("xy", ["invisible"]), 2: ("", ["invisible"])}
+    assert [lookalike.unify(v) for v in values[:3]] == ["abc", "xy", ""]
