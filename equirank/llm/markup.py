@@ -42,7 +42,7 @@ _FLAT = {"ref", "button", "select"}
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*(?:-[A-Za-z]+)*(?::[A-Za-z][\w-]*)?)((?:\s[^<>]*?)?)(/?)>")
 _COMMENT = re.compile(r"<!--.*?-->|<!DOCTYPE[^>]*>|<!\[CDATA\[|\]\]>", re.S | re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
-_MATH = re.compile(r"\$\$(.+?)\$\$|(?<![\\$])\$(?![\s$])([^$\n]{0,200}?[^\s$\\])\$(?![$\d])", re.S)
+_MATH = re.compile(r"\$\$(.+?)\$\$|(?<![\\$])\$(?![\s$])((?:[^$\n]|\n(?![ \t]*\n))*?[^\s$\\])\$(?![$\d])", re.S)
 _DISPLAY = re.compile(r"\\\[(.+?)\\\]|\\\((.+?)\\\)|\\begin\{(equation|align|math|displaymath|gather|eqnarray)(\*?)\}(.+?)\\end\{\3\4\}", re.S)
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n]*\n(.*?)(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
 _TICKS = re.compile(r"(?<!`)`(?!`)([^`\n]+)`(?!`)")
@@ -86,6 +86,17 @@ def _tags(text: str):
             yield m, name
 
 
+def _formulas(text: str):
+    """Matches of the formulas between dollars; a dollar that closes none may open the next."""
+    at = 0
+    while m := _MATH.search(text, at):
+        if m[1] or is_formula(m[2]):
+            yield m
+            at = m.end()
+        else:
+            at = m.end() - 1
+
+
 def _unclosed(tags: list) -> set[int]:
     """Starts of the opening tags of dropped elements that are never closed, so that the text behind them stays.
 
@@ -117,7 +128,7 @@ def markup_kinds(text: str | None) -> list[str]:
         found.add("html")
     if "\\" in text and _COMMAND.search(text):
         found.add("latex")
-    if "$" in text and any(m[1] or is_formula(m[2]) for m in _MATH.finditer(text)):
+    if "$" in text and next(_formulas(text), None):
         found.add("latex")
     ticks = "`" in text
     if ticks and _QUOTES.search(text):
@@ -188,9 +199,11 @@ class _Parser:
         text = _LATEX_CODE.sub(lambda m: self.keep("code", m[2]), text)
         text = re.sub(r"(?is)<pre\b[^>]*>(.*?)</pre>", lambda m: self.keep("code", html.unescape(_TAG.sub("", m[1]))), text)
         text = _DISPLAY.sub(lambda m: self.keep("formula", (m[1] or m[2] or m[5]).strip()), text)
-        text = _MATH.sub(
-            lambda m: self.keep("formula", m[1].strip()) if m[1] else self.keep("math", m[2]) if is_formula(m[2]) else m[0], text
-        )
+        parts, at = [], 0
+        for m in _formulas(text):
+            parts += [text[at : m.start()], self.keep("formula", m[1].strip()) if m[1] else self.keep("math", re.sub(r"\s*\n\s*", " ", m[2]))]
+            at = m.end()
+        text = "".join([*parts, text[at:]])
         text = re.sub(r"(?is)<code\b[^>]*>(.*?)</code>", lambda m: self.keep("ticks", html.unescape(_TAG.sub("", m[1]))), text)
         text = _TICKS.sub(lambda m: self.keep("ticks", m[1]), text)
         text = _COMMENT.sub(" ", text)

@@ -187,3 +187,12 @@ def test_near_duplicates_with_a_block_inserted(spark):
     df = spark.createDataFrame(data, "paper_id string, title string")
     got = {tuple(r) for r in neardup.near_duplicate_pairs(*neardup.near_duplicates(df, "paper_id", ["title"], width=3, similarity=0.5), 3).collect()}
     assert got <= want and len(want) > 350 and len(got) >= 0.99 * len(want)
+
+
+def test_long_and_wrapped_inline_formulas_are_kept():
+    long = "x = " + " + ".join(f"\\frac{{a_{i}}}{{b_{i}}}" for i in range(30))
+    assert len(long) > 200 and markup.clean_text(f"We set ${long}$ here.") == f"We set ${long}$ here."
+    assert markup.clean_text("We set $y = \\frac{a}{b}\n+ c$ here.") == "We set $y = \\frac{a}{b} + c$ here."
+    assert markup.markup_kinds("It costs $4 here. " + "word " * 60 + "and now US$5 there") == []
+    assert markup.markup_kinds("one $x = 1\n\nnext y$ end") == []
+    assert markup.clean_text("from (A$)($x^2$) on") == "from (A$)($x^2$) on"
