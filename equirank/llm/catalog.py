@@ -37,8 +37,8 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicate_groups(*_works(spark, sf)).withColumnRenamed("key", "paper_id")
 
 
-ORACLE["p1_found"] = r"""
-WITH t AS (
+_P1 = r"""
+WITH RECURSIVE t AS (
   SELECT DISTINCT paper_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[\p{L}\p{N}]+') AS w
   FROM fairsearch_arxiv WHERE paper_id IS NOT NULL),
 s AS (
@@ -47,11 +47,20 @@ s AS (
 n AS (SELECT paper_id, w, count(*) AS n FROM s GROUP BY 1, 2),
 c AS (
   SELECT a.paper_id AS pa, a.w AS wa, b.paper_id AS pb, b.w AS wb, count(*) AS c
-  FROM s a JOIN s b ON a.g = b.g AND a.paper_id < b.paper_id GROUP BY 1, 2, 3, 4)
-SELECT DISTINCT pa AS paper_id_a, pb AS paper_id_b
-FROM c JOIN n x ON x.paper_id = pa AND x.w = wa JOIN n y ON y.paper_id = pb AND y.w = wb
-WHERE c * 2 >= x.n + y.n - c
+  FROM s a JOIN s b ON a.g = b.g AND a.paper_id < b.paper_id GROUP BY 1, 2, 3, 4),
+p AS (
+  SELECT DISTINCT pa, pb, wa, wb FROM c JOIN n x ON x.paper_id = pa AND x.w = wa JOIN n y ON y.paper_id = pb AND y.w = wb
+  WHERE c * 2 >= x.n + y.n - c)
 """
+ORACLE["p1_found"] = _P1 + "SELECT DISTINCT pa AS paper_id_a, pb AS paper_id_b FROM p"
+# texts of one paper may be near each other too, so that links of texts are not those of papers
+ORACLE["p1_groups"] = _P1.replace("a.paper_id < b.paper_id", "(a.paper_id < b.paper_id OR a.paper_id = b.paper_id AND a.w < b.w)") + """,
+l AS (SELECT DISTINCT least(wa, wb) AS u, greatest(wa, wb) AS v FROM p WHERE wa <> wb),
+e AS (SELECT pa AS a, pb AS b FROM p UNION SELECT pb, pa FROM p UNION SELECT x.paper_id, y.paper_id FROM t x JOIN t y ON x.w = y.w AND len(x.w) > 0),
+r AS (SELECT DISTINCT paper_id AS a, paper_id AS b FROM t UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+d AS (SELECT w, count(*) AS n FROM (SELECT u AS w FROM l UNION ALL SELECT v FROM l) GROUP BY 1),
+k AS (SELECT paper_id, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_links FROM t LEFT JOIN d USING (w) GROUP BY 1)
+SELECT paper_id, work, n_links FROM (SELECT a AS paper_id, min(b) AS work FROM r GROUP BY 1) JOIN k USING (paper_id)"""
 
 
 # 2. sample of target proportions

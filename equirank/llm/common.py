@@ -110,6 +110,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_skewed(rows: DataFrame, unique: DataFrame, key: str, hot: int = 1_000_000) -> DataFrame:
+    """rows left join unique, which holds each key once; keys with more than `hot` rows are salted and met in several tasks.
+
+    At most (number of rows) / `hot` keys come to the driver.
+    """
+    crowded = rows.groupBy(key).count().where(F.col("count") > hot).collect()
+    if not crowded:
+        return rows.join(unique, key, "left")
+    spark = rows.sparkSession
+    ways = spark.createDataFrame([(r[key], -(-r["count"] // hot)) for r in crowded], f"{key} {rows.schema[key].dataType.simpleString()}, _ways int")
+    rest = [F.xxhash64(*[c for c in rows.columns if c != key])] if len(rows.columns) > 1 else [F.monotonically_increasing_id()]
+    left = rows.join(F.broadcast(ways), key, "left").withColumn("_salt", F.pmod(rest[0], F.coalesce("_ways", F.lit(1))).cast("int")).drop("_ways")
+    right = unique.join(F.broadcast(ways), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1))).drop("_ways")
+    return left.join(right, [key, "_salt"], "left").drop("_salt")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node of each connected component.
 

@@ -1,13 +1,21 @@
 """Problem 1: near-duplicate records, by anchor points of a covering code.
 
-A record's distinct words are projected to `tables` blocks of 23 bits (each bit
-is the sign of a sum of pseudo-random +1/-1 over the words), so word-level edits,
-insertions and reordering flip few bits. The anchors of a block are the 4,096
-words of the perfect binary Golay code of length 23 and covering radius 3: each
-block has exactly one home anchor. A record visits every anchor within
-radius + `slack` of its block; two records meet where one visits the other's
-home. Records are compared per anchor on 256 sign bits over their word sequences,
-and what remains is verified by the exact share of common word sequences.
+The fingerprint of a record is a word of 32-bit symbols: the minima of its word
+sequences under pseudo-random orders, so that two records agree in each symbol
+with a chance equal to the share of sequences they have in common. Symbols are
+taken in blocks of k + 1. The anchors of a block are the code words of the
+parity-check code of dimension k over the integers modulo 2^32: the words whose
+symbols sum to 0. Its covering radius is 1, and every word lies within that
+radius of k + 1 anchors (correct any one symbol by the syndrome). A record is
+replicated to all of them; two records whose blocks differ in at most one symbol
+always share an anchor. Records that meet are compared per anchor on 16 further
+symbols, and what remains is verified by the exact share of common sequences.
+
+k is the length of the code: the number of anchors is 2^(32 k), and unrelated
+records meet with a chance that falls geometrically with k. k follows from the
+number of records and from how often sequences recur in them, and the number of
+blocks from k, so that the recall is the same for every k while the comparisons
+of a record stay bounded as the table grows.
 
 Exact copies (equal word sequences) are collapsed to one class before that.
 """
@@ -15,261 +23,196 @@ Exact copies (equal word sequences) are collapsed to one class before that.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
-from itertools import combinations
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpoint, connected_components, mix, shingles, spread, text_key, words
+from .common import WordHashes, checkpoint, connected_components, hash64, join_skewed, mix, shingles, spread, text_key, words
 
-BITS, RADIUS, ANCHORS = 23, 3, 4096
-#: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the Golay code.
-GENERATOR = 0b110001110101
-LANES = 4  # 64-bit lanes of fingerprint that travel with a record
-#: Most home records of one anchor in one task; anchors with more are split.
-HOT = 20_000
-#: Pairs that a task holds before it passes them on.
-PAIRS_HELD = 500_000
+#: Symbols that records which meet are compared on, of 4 bits each in one 64-bit lane, and the least share of wanted pairs that must pass.
+LANE, PASS = 16, 0.9
+#: Most members of an anchor in one task, about; anchors with more are split. They are told by one in WATCHED of the records.
+HOT, WATCHED = 20_000, 256
+#: A comparison at an anchor costs about this share of a replica.
+COMPARISON = 0.01
+#: Records from which the recurrence of sequences is estimated, about, and the dimensions that are considered.
+SAMPLE, DIMENSIONS = 20_000, (2, 3, 4, 5, 6)
+DRAWN = 24  # symbols of each of them
 
 
-def _syndrome(v: np.ndarray) -> np.ndarray:
-    v = v.astype(np.int64, copy=True)
-    for i in range(BITS - 1, 10, -1):
-        v ^= ((v >> i) & 1) * (GENERATOR << (i - 11))
-    return v
+def _at_least(hits: int, n: int, p: float) -> float:
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(hits, n + 1))
 
 
-@lru_cache(maxsize=4)
-def _code(slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per syndrome: the error pattern to the home anchor; starts and list of the patterns to all anchors in reach."""
-    masks = np.array(
-        [sum(1 << i for i in c) for w in range(RADIUS + slack + 1) for c in combinations(range(BITS), w)], dtype=np.int64
-    )
-    weight = np.bitwise_count(masks.astype(np.uint64))
-    syndrome = _syndrome(masks)
-    near = weight <= RADIUS
-    home = np.zeros(1 << 11, dtype=np.int64)
-    home[syndrome[near]] = masks[near]
-    order = np.argsort(syndrome, kind="stable")
-    starts = np.searchsorted(syndrome[order], np.arange((1 << 11) + 1))
-    return home, starts, masks[order]
+@dataclass(frozen=True)
+class Code:
+    """Blocks of k + 1 symbols; records that meet must agree in `agree` of the symbols of the lane."""
 
+    k: int
+    blocks: int
+    agree: int
 
-def bit_counts(bits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of consecutive groups of rows of 0/1 bytes (width a multiple of 8; no group empty).
+    @property
+    def length(self) -> int:
+        return self.k + 1
 
-    Eight bytes are added at once as one integer, at most 255 rows before they are widened.
-    """
-    pieces = -(-sizes // 255)
-    first = np.cumsum(pieces) - pieces
-    step = np.arange(pieces.sum()) - np.repeat(first, pieces)
-    starts = np.repeat(np.cumsum(sizes) - sizes, pieces) + 255 * step
-    sums = np.add.reduceat(bits.view(np.uint64), starts, axis=0).view(np.uint8)
-    return sums if len(sums) == len(sizes) else np.add.reduceat(sums, first, axis=0, dtype=np.int64)
-
-
-class Fingerprints:
-    """Sign fingerprints of word sets; the rows of bits are kept per word up to a bound."""
-
-    def __init__(self, tables: int, bound: int = 50_000) -> None:
-        self.bits, self.bound = tables * BITS, bound
-        self.seeds = -(-self.bits // 128)
-        self.clear()
-
-    def clear(self) -> None:
-        self.row: dict[str, int] = {}
-        self.signs = np.empty((0, self.seeds * 128), dtype=np.uint8)
-
-    def __call__(self, docs: list[list[str]]) -> np.ndarray:
-        """One row of 0/1 per document; all 0 for a document without words."""
-        out = np.zeros((len(docs), self.bits), dtype=np.uint8)
-        for start in range(0, len(docs), 256):
-            part = docs[start : start + 256]
-            if len(self.row) > self.bound:
-                self.clear()
-            row, index, sizes, fresh = self.row, [], [], []
-            for tokens in part:
-                unique = set(tokens)
-                sizes.append(len(unique))
-                for t in unique:
-                    at = row.get(t)
-                    if at is None:
-                        at = row[t] = len(row)
-                        fresh.append(t)
-                    index.append(at)
-            if fresh:
-                raw = b"".join(
-                    xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"), seed=s) for t in fresh for s in range(self.seeds)
-                )
-                self.signs = np.vstack([self.signs, np.unpackbits(np.frombuffer(raw, dtype=np.uint8)).reshape(len(fresh), -1)])
-            sizes = np.array(sizes)
-            full = np.flatnonzero(sizes)
-            if len(full):
-                counts = bit_counts(self.signs[np.array(index)], sizes[full])[:, : self.bits]
-                out[start + full] = counts.astype(np.int64) * 2 > sizes[full][:, None]
-        return out
+    @property
+    def symbols(self) -> int:
+        return self.blocks * self.length
 
+    @property
+    def replicas(self) -> int:
+        return self.blocks * self.length
 
-def _texts(pdf: pd.DataFrame, fields: list[str]) -> list[list[str]]:
-    joined = pdf[fields[0]].fillna("")
-    for f in fields[1:]:
-        joined = joined + " " + pdf[f].fillna("")
-    return [words(t) for t in joined]
 
+def code_for(k: int, similarity: float, miss: float) -> Code:
+    """The code of dimension k that misses a pair of just that similarity with a chance of at most `miss`."""
+    same = similarity + (1 - similarity) / 16
+    agree = max(c for c in range(LANE + 1) if _at_least(c, LANE, same) >= PASS)
+    met = _at_least(k, k + 1, similarity) * _at_least(agree, LANE, same)
+    blocks = 1 if met >= 1 - miss else math.ceil(math.log(miss) / math.log(1 - met))
+    return Code(k, max(blocks, 1 + -(-LANE // (k + 1)), -(-DRAWN // (k + 1))), agree)
 
-#: Tell the 64-bit lanes of one shingle apart.
-_LANE = np.array([(0xA0761D6478BD642F * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(LANES)], dtype=np.uint64)
 
-
-def sequence_prints(sets: list[np.ndarray]) -> np.ndarray:
-    """LANES x 64 sign bits per set of shingles, as 64-bit integers; zeros for an empty set."""
-    out = np.zeros((len(sets), LANES), dtype=np.int64)
-    sizes = np.array([len(s) for s in sets])
-    starts = np.r_[0, np.cumsum(sizes)]
+def minima(sets: list[np.ndarray], count: int) -> np.ndarray:
+    """One row of `count` 32-bit symbols per set of shingles: its minimum under each order; zeros for an empty set."""
+    out = np.zeros((len(sets), count), dtype=np.uint32)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    i = np.arange(1, count + 1, dtype=np.uint64)
+    factor, plus = ((mix(i * np.uint64(c)) >> np.uint64(32)).astype(np.uint32) for c in (0xD6E8FEB86659FD93, 0xA5A3564E27F8862F))
+    factor |= np.uint32(1)
+    full = np.flatnonzero(sizes)
+    ends = np.cumsum(sizes[full])
     lo = 0
-    while lo < len(sets):
-        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + 30_000, "right")) - 1)
-        part = np.concatenate(sets[lo:hi])
-        full = np.flatnonzero(sizes[lo:hi])
-        if len(full):
-            n = sizes[lo:hi][full]
-            if hi - lo == 1:  # a very long text, in pieces
-                counts = sum(bit_counts(_signs(part[at : at + 30_000]), np.array([len(part[at : at + 30_000])])).astype(np.int64) for at in range(0, len(part), 30_000))
-            else:
-                counts = bit_counts(_signs(part), n).astype(np.int64)
-            out[lo + full] = np.packbits(counts * 2 > n[:, None], axis=1).view(">i8").astype(np.int64)
+    while lo < len(full):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 60_000, "right")))
+        rows = full[lo:hi]
+        # shingles are well-mixed hashes; the multiplication and the shift order them anew for each symbol
+        high = (np.concatenate([sets[r] for r in rows]) >> np.uint64(32)).astype(np.uint32)
+        starts = np.cumsum(sizes[rows]) - sizes[rows]
+        for k in range(count):
+            h = high * factor[k] + plus[k]
+            h ^= h >> np.uint32(16)
+            h *= np.uint32(0x7FEB352D)
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0x846CA68B)
+            h ^= h >> np.uint32(16)
+            out[rows, k] = np.minimum.reduceat(h, starts)
         lo = hi
     return out
 
 
-def _signs(shingle: np.ndarray) -> np.ndarray:
-    lanes = mix(shingle[:, None] ^ _LANE[None, :])
-    return np.unpackbits(lanes.view(np.uint8).reshape(len(shingle), -1), axis=1)
-
-
-def allowed_difference(similarity: float) -> int:
-    """Bits in which two sets of that Jaccard similarity differ at most, three standard deviations above what is expected for sets of one size."""
-    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    n = LANES * 64
-    return math.ceil(n * p + 3 * math.sqrt(n * p * (1 - p)))
-
+def _texts(pdf: pd.DataFrame, fields: list[str]) -> list[list[str]]:
+    joined = pdf[fields[0]].fillna("")
+    for f in fields[1:]:
+        joined = joined + " " + pdf[f].fillna("")
+    return [words(t) for t in joined]
 
-def _sketch(fields: list[str], key: str, tables: int, width: int):
-    weights = (1 << np.arange(BITS)).astype(np.int64)
 
+def _sketch(fields: list[str], width: int, count: int):
     def run(batches):
-        prints, hashes = Fingerprints(tables), WordHashes()
+        hashes = WordHashes()
         for pdf in batches:
-            docs = _texts(pdf, fields)
-            hashed = [hashes(d) for d in docs]
-            blocks = prints(docs).reshape(len(docs), tables, BITS).astype(np.int64) @ weights
+            hashed = [hashes(d) for d in _texts(pdf, fields)]
+            symbols = minima([shingles(h, width) for h in hashed], count)
             yield pd.DataFrame(
                 {
-                    "key": pdf[key].to_numpy(),
-                    "class_key": [text_key(h) for h in hashed],
-                    "size": [len(d) for d in docs],
-                    "blocks": list(blocks.astype(np.int32)),
-                    "print": list(sequence_prints([shingles(h, width) for h in hashed])),
+                    "key": pdf["key"].to_numpy(),
+                    # a text without words is no copy of another
+                    "class_key": [text_key(h) if len(h) else hash64(f"without words: {k}") - (1 << 63) for h, k in zip(hashed, pdf["key"])],
+                    "size": [len(h) for h in hashed],
+                    "symbols": list(symbols.view(np.int32)),
                 }
             )
 
     return run
 
 
-def _visits(tables: int, slack: int, split: dict[int, int]):
-    """Rows (anchor, slice, visitor, class_key, l0..): one per anchor in reach."""
+def _anchors(symbols: np.ndarray, code: Code) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(anchor, lane) columns of all replicas: per block, the anchors within the covering radius."""
+    nibbles = (symbols * np.uint32(0x9E3779B1) >> np.uint32(28)).astype(np.uint64)
+    for b in range(code.blocks):
+        at = np.arange(b * code.length, (b + 1) * code.length)
+        word = symbols[:, at]
+        syndrome = word.sum(axis=1, dtype=np.uint32)
+        lane = np.zeros(len(symbols), np.uint64)
+        for i, place in enumerate((at[-1] + 1 + np.arange(LANE)) % code.symbols):
+            lane |= nibbles[:, place] << np.uint64(4 * i)
+        for j in range(code.length):
+            anchor = np.full(len(symbols), b, np.uint64)
+            for i in range(code.length):
+                symbol = word[:, i] - syndrome if i == j else word[:, i]
+                anchor = mix(anchor ^ (symbol.astype(np.uint64) << np.uint64(16)))
+            yield anchor.view(np.int64), lane.view(np.int64)
+
+
+def _replicate(code: Code):
+    """Rows (anchor, class_key, lane): each record at each anchor within the covering radius of its blocks."""
 
     def run(batches):
-        home, starts, masks = _code(slack)
-        table = np.arange(tables, dtype=np.int64) << 12
         for pdf in batches:
             if not len(pdf):
                 continue
-            for at in range(0, len(pdf), 2000):
-                part = pdf.iloc[at : at + 2000]
-                blocks = np.stack(part["blocks"].to_numpy()).astype(np.int64)
-                n = len(blocks)
-                syn = _syndrome(blocks.ravel())
-                count = starts[syn + 1] - starts[syn]
-                cell = np.repeat(np.arange(n * tables), count)
-                offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                reached = (blocks.ravel()[cell] ^ masks[starts[syn][cell] + offset]) >> 11
-                own = (blocks.ravel() ^ home[syn]) >> 11
-                anchor = table[cell % tables] + reached
-                visitor = reached != own[cell]
-                doc = cell // tables
-                keys = part["class_key"].to_numpy().astype(np.int64)
-                lanes = np.stack(part["print"].to_numpy()).astype(np.int64)
-                slice_ = np.zeros(len(anchor), dtype=np.int64)
-                if split:
-                    ways = np.array([split.get(int(a), 1) for a in anchor])
-                    many = np.flatnonzero(ways > 1)
-                    if len(many):
-                        # A home record stays in one slice; each slice also holds it as a visitor of the other homes.
-                        slice_[many] = np.where(visitor[many], 0, keys[doc[many]] % ways[many])
-                        reps = ways[many]
-                        src = np.repeat(many, reps)
-                        to = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                        extra = to != slice_[src]
-                        src, to = src[extra], to[extra]
-                        anchor, doc = np.r_[anchor, anchor[src]], np.r_[doc, doc[src]]
-                        visitor, slice_ = np.r_[visitor, np.ones(len(src), bool)], np.r_[slice_, to]
-                out = {"anchor": anchor.astype(np.int32), "slice": slice_.astype(np.int32), "visitor": visitor, "class_key": keys[doc]}
-                for i in range(LANES):
-                    out[f"l{i}"] = lanes[doc, i]
-                yield pd.DataFrame(out)
+            symbols = np.stack(pdf["symbols"].to_numpy()).view(np.uint32)[:, : code.symbols]
+            keys = pdf["class_key"].to_numpy()
+            for anchor, lane in _anchors(symbols, code):
+                yield pd.DataFrame({"anchor": anchor, "class_key": keys, "lane": lane})
 
     return run
 
 
-def _compare(limit: int):
-    """Sorted rows of anchors, homes first: pairs (a, b), a < b, whose fingerprints differ in `limit` bits at most."""
+def _agreeing(x: Column, y: Column) -> Column:
+    """In how many of the 4-bit symbols two lanes agree."""
+    differ = x.bitwiseXOR(y)
+    differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 2))
+    differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(0x1111111111111111))
+    return F.lit(LANE) - F.bit_count(differ)
 
-    def run(batches):
-        now, homes, prints = None, np.empty(0, np.int64), np.empty((LANES, 0), np.uint64)
-        for pdf in batches:
-            place = pdf["anchor"].to_numpy().astype(np.int64) * (1 << 24) + pdf["slice"].to_numpy()
-            visitor, keys = pdf["visitor"].to_numpy(), pdf["class_key"].to_numpy()
-            lanes = np.stack([pdf[f"l{i}"].to_numpy().view(np.uint64) for i in range(LANES)])
-            cuts = np.flatnonzero(np.diff(place)) + 1
-            found_a, found_b, held = [], [], 0
-            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(place)]):
-                if lo == hi:
-                    continue
-                if place[lo] != now:
-                    now, homes, prints = place[lo], np.empty(0, np.int64), np.empty((LANES, 0), np.uint64)
-                new = lo + np.count_nonzero(~visitor[lo:hi])
-                homes = np.r_[homes, keys[lo:new]]
-                prints = np.concatenate([prints, lanes[:, lo:new]], axis=1)
-                if not len(homes):
-                    continue
-                step = max(1, 2_000_000 // len(homes))
-                for s in range(lo, hi, step):
-                    e = min(hi, s + step)
-                    far = np.zeros((e - s, len(homes)), np.uint16)
-                    for i in range(LANES):
-                        far += np.bitwise_count(lanes[i, s:e, None] ^ prints[i][None, :])
-                    x, y = np.nonzero(far <= limit)
-                    a, b = keys[s:e][x], homes[y]
-                    other = a != b
-                    found_a.append(np.minimum(a, b)[other])
-                    found_b.append(np.maximum(a, b)[other])
-                    held += len(found_a[-1])
-                    if held > PAIRS_HELD:
-                        yield _pairs_found(found_a, found_b)
-                        found_a, found_b, held = [], [], 0
-            if held:
-                yield _pairs_found(found_a, found_b)
 
-    return run
+def _compare(replicas: DataFrame, watched: DataFrame, agree: int) -> DataFrame:
+    """(a, b), a < b: records that share an anchor and agree in enough symbols of the lane.
 
-
-def _pairs_found(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
-    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+    `watched` holds the replicas of one in WATCHED records; anchors that are crowded
+    in it are split: a member stays in one slice on one side and is in all slices of
+    its anchor on the other, so that each pair meets in exactly one task.
+    """
+    crowded = watched.groupBy("anchor").count().where(F.col("count") * WATCHED > HOT)
+    crowded = checkpoint(crowded.select("anchor", F.ceil(F.col("count") * WATCHED / HOT).cast("int").alias("ways")))
+    left, right = replicas, replicas
+    on = ["anchor"]
+    if crowded.limit(1).count():
+        known = replicas.join(crowded, "anchor", "left").withColumn("ways", F.coalesce("ways", F.lit(1)))
+        left = known.withColumn("slice", F.pmod(F.xxhash64("class_key"), "ways").cast("int")).drop("ways")
+        right = known.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).drop("ways")
+        on = ["anchor", "slice"]
+    x, y = left.alias("x"), right.alias("y")
+    met = (F.col("x.class_key") < F.col("y.class_key")) & (_agreeing(F.col("x.lane"), F.col("y.lane")) >= agree)
+    same = F.lit(True)
+    for c in on:
+        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    return x.join(y, same & met).select(F.col("x.class_key").alias("a"), F.col("y.class_key").alias("b")).distinct()
+
+
+def recurrence(symbols: np.ndarray, k: int) -> float:
+    """The share of pairs of records that agree in k symbols, from the rows of a sample."""
+    n, met, tried = len(symbols), 0.0, 0
+    for lo in range(0, symbols.shape[1] - k + 1, k):
+        _, counts = np.unique(np.ascontiguousarray(symbols[:, lo : lo + k]).view([("", symbols.dtype)] * k), return_counts=True)
+        met += float((counts.astype(float) * (counts - 1)).sum())
+        tried += 1
+    return met / max(1.0, tried * n * (n - 1.0))
+
+
+def choose_dimension(symbols: np.ndarray, records: int, similarity: float, miss: float) -> int:
+    """The k of the least work: replicas, and comparisons that follow from the recurrence in the sample and the number of records."""
+    if len(symbols) < 2:
+        return DIMENSIONS[0]
+    work = {k: code_for(k, similarity, miss).replicas * (1 + COMPARISON * records * recurrence(symbols, k)) for k in DIMENSIONS}
+    return min(work, key=work.get)
 
 
 def _shingle_rows(fields: list[str], width: int):
@@ -284,7 +227,7 @@ def _shingle_rows(fields: list[str], width: int):
 
 
 def near_duplicates(
-    df: DataFrame, key: str, fields: list[str], *, width: int = 5, similarity: float = 0.8, tables: int = 32, slack: int = 1, limit: int | None = None
+    df: DataFrame, key: str, fields: list[str], *, width: int = 5, similarity: float = 0.8, miss: float = 1e-4, dimension: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(classes, links) of records whose word sequences of `width` words agree in a share of at least `similarity`.
 
@@ -292,46 +235,41 @@ def near_duplicates(
     equal words share a class. links: (a, b, similarity) between two classes, a < b,
     once each. Null fields count as empty; a record whose key is null takes no part.
     Records with fewer than `width` words have no sequences and link to nothing, but
-    equal ones still share a class. Extra columns are ignored, an empty table gives
-    two empty ones.
+    equal ones share a class; a record without words has a class of its own. Extra
+    columns are ignored, an empty table gives two empty ones.
 
-    `limit` is the number of the 256 bits over word sequences in which a pair may
-    differ before it is dropped unverified; it follows from the similarity.
+    `miss` bounds the chance that a pair of just that similarity is not compared;
+    it falls quickly above. `dimension` is the code's k; by default it follows from
+    the number of records and a sample of about SAMPLE of them, which decides
+    nothing else.
     """
-    limit = allowed_difference(similarity) if limit is None else limit
     src = df.select(F.col(key).alias("key"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]).where("key is not null")
     names = [f"f{i}" for i in range(len(fields))]
-    key_type = src.schema["key"].dataType.simpleString()
-    sketched = checkpoint(
-        spread(src).mapInPandas(
-            _sketch(names, "key", tables, width), f"key {key_type}, class_key long, size int, blocks array<int>, print array<long>"
-        )
-    )
-    classes = sketched.select("key", "class_key", "size").distinct()
-    reps = sketched.where(F.col("size") >= width).groupBy("class_key").agg(F.first("blocks").alias("blocks"), F.first("print").alias("print"))
+    schema = f"key {src.schema['key'].dataType.simpleString()}, class_key long, size int, symbols array<int>"
+    sketch = lambda count: checkpoint(spread(src).mapInPandas(_sketch(names, width, count), schema))
+    usual = code_for(dimension or 3, similarity, miss).symbols
+    sketched = sketch(usual)
+    long_enough = F.col("size") >= width
+
+    records = sketched.where(long_enough).count()
+    share = min(1.0, SAMPLE / max(1, records))
+    drawn = sketched.where(long_enough & (F.xxhash64("class_key") / F.lit(2.0**64) + 0.5 < share))
+    if dimension is None:
+        rows = drawn.select("class_key", F.slice("symbols", 1, DRAWN).alias("s")).distinct().limit(2 * SAMPLE).collect()
+        dimension = choose_dimension(np.array([r["s"] for r in rows], dtype=np.int32).reshape(len(rows), DRAWN), records, similarity, miss)
+    code = code_for(dimension, similarity, miss)
+    if code.symbols > usual:
+        sketched = sketch(code.symbols)
+    watched = sketched.where(long_enough & (F.pmod(F.xxhash64("class_key"), F.lit(WATCHED)) == 0)).dropDuplicates(["class_key"])
 
-    # Anchors with many homes: at most tables x 4,096 rows, whatever the input.
-    @F.pandas_udf("array<int>")
-    def home(s: pd.Series) -> pd.Series:
-        return pd.Series(list(_homes(s, tables, slack)))
+    classes = sketched.select("key", "class_key", "size").distinct()
+    one = sketched.where(long_enough).groupBy("class_key").agg(F.first("symbols").alias("symbols"))
+    replicate = lambda rows: rows.select("class_key", "symbols").mapInPandas(_replicate(code), "anchor long, class_key long, lane long")
+    candidates = checkpoint(_compare(replicate(one), replicate(watched), code.agree))
 
-    hot = (
-        sketched.where(F.col("size") >= width).select(F.explode(home("blocks")).alias("anchor"))
-        .groupBy("anchor").count().where(F.col("count") > HOT).collect()
-    )
-    split = {r["anchor"]: -(-r["count"] // HOT) for r in hot}
-
-    lanes = ", ".join(f"l{i} long" for i in range(LANES))
-    visits = reps.mapInPandas(_visits(tables, slack, split), f"anchor int, slice int, visitor boolean, class_key long, {lanes}")
-    candidates = checkpoint(
-        visits.repartition(F.col("anchor"), F.col("slice"))
-        .sortWithinPartitions("anchor", "slice", "visitor")
-        .mapInPandas(_compare(limit), "a long, b long")
-        .distinct()
-    )
     ids = candidates.select(F.col("a").alias("class_key")).union(candidates.select(F.col("b").alias("class_key"))).distinct()
     # One key stands for each class; only those texts are read again.
-    wanted = sketched.join(ids, "class_key", "left_semi").groupBy("class_key").agg(F.min("key").alias("key")).select("key").distinct()
+    wanted = sketched.groupBy("class_key").agg(F.min("key").alias("key")).join(ids, "class_key", "left_semi").select("key").distinct()
     rows = checkpoint(
         src.join(wanted, "key", "left_semi")
         .mapInPandas(_shingle_rows(names, width), "class_key long, shingles array<long>")
@@ -350,13 +288,6 @@ def near_duplicates(
     return classes, links
 
 
-def _homes(blocks: pd.Series, tables: int, slack: int) -> np.ndarray:
-    v = np.stack(blocks.to_numpy()).astype(np.int64)
-    home, _, _ = _code(slack)
-    own = (v ^ home[_syndrome(v.ravel()).reshape(v.shape)]) >> 11
-    return (own + (np.arange(tables) << 12)).astype(np.int32)
-
-
 def near_duplicate_pairs(classes: DataFrame, links: DataFrame, width: int) -> DataFrame:
     """(key_a, key_b), key_a < key_b: all pairs of different keys in linked classes or in one class of at least `width` words."""
     classes = classes.where(F.col("size") >= width)
@@ -377,17 +308,19 @@ def near_duplicate_pairs(classes: DataFrame, links: DataFrame, width: int) -> Da
 
 
 def near_duplicate_groups(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, work, n_links): one row per key with the smallest class of its work and the number of links of its class.
+    """(key, work, n_links): one row per key with the smallest key of its work and the number of links of its texts.
 
-    A key with several texts takes the smallest of their works.
+    A work is all that links, equal texts and keys given with several texts connect.
+    Copies are not paired with each other: they share their class.
     """
-    links = checkpoint(links)
-    works = connected_components(links)
+    links, classes = checkpoint(links.select("a", "b")), checkpoint(classes)
+    several = classes.groupBy("key").agg(F.min("class_key").alias("b"), F.max("class_key").alias("a")).where("a <> b")
+    same_key = classes.join(several.select("key", "b"), "key").where("class_key <> b").select(F.col("class_key").alias("a"), "b")
+    components = connected_components(links.unionByName(same_key)).select(F.col("node").alias("class_key"), "component")
     ends = links.select(F.col("a").alias("class_key")).union(links.select(F.col("b").alias("class_key")))
     degree = ends.groupBy("class_key").agg(F.count("*").alias("n_links"))
-    return (
-        classes.join(works.withColumnRenamed("node", "class_key"), "class_key", "left")
-        .join(degree, "class_key", "left")
-        .groupBy("key")
-        .agg(F.min(F.coalesce("component", "class_key")).alias("work"), F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    )
+    first = classes.groupBy("class_key").agg(F.min("key").alias("first")).join(components, "class_key", "left").join(degree, "class_key", "left")
+    first = checkpoint(first.select("class_key", "first", F.coalesce("component", "class_key").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    works = first.groupBy("component").agg(F.min("first").alias("work"))
+    named = join_skewed(first, works, "component").select("class_key", "work", "n_links")
+    return join_skewed(classes, named, "class_key").groupBy("key").agg(F.min("work").alias("work"), F.sum("n_links").alias("n_links"))

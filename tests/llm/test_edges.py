@@ -48,9 +48,25 @@ def test_hot_anchors_are_split_without_loss(spark, monkeypatch):
     run = lambda: rows(neardup.near_duplicate_pairs(*neardup.near_duplicates(df, "paper_id", ["title", "abstract"], width=3, similarity=0.5), 3))
     whole = run()
     monkeypatch.setattr(neardup, "HOT", 7)
+    monkeypatch.setattr(neardup, "WATCHED", 1)
     assert run() == whole and len(whole) > 1500
 
 
+def test_works_join_the_texts_of_one_key(spark):
+    other = "completely different words about matrices and kernels in a long sentence without anything shared at all"
+    data = [("b", ABSTRACT), ("b", other), ("c", other + " now"), ("a", ABSTRACT + " again"), ("e", ""), ("f", None), ("g", "two words"), ("h", "Two, words!")]
+    df = papers(spark, [(k, t, None, 1, "x", 0) for k, t in data])
+    classes, links = neardup.near_duplicates(df, "paper_id", ["title", "abstract"], width=3, similarity=0.5)
+    got = {r["key"]: (r["work"], r["n_links"]) for r in neardup.near_duplicate_groups(classes, links).collect()}
+    assert got == {"a": ("a", 1), "b": ("a", 2), "c": ("a", 1), "e": ("e", 0), "f": ("f", 0), "g": ("g", 0), "h": ("g", 0)}
+
+
+def test_skewed_join_equals_the_plain_one(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(100)] + [(f"k{i}", i) for i in range(20)] + [(None, 1)], "k string, n int")
+    right = spark.createDataFrame([("hot", "h"), ("k3", "three"), ("k99", "none")], "k string, v string")
+    assert rows(common.join_skewed(left, right, "k", hot=10)) == rows(left.join(right, "k", "left"))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (7, 7), (5, 200), (200, 5)]
     got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}

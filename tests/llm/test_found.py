@@ -172,21 +172,68 @@ def test_unclosed_dropped_elements_lose_no_text():
     assert markup.clean_text("One <ref>open, two <ref>gone</ref> three <ref name='x'/> four.") == "One open, two three four."
 
 
-def test_near_duplicates_with_a_block_inserted(spark):
+def edited_pairs(kind, n=400, seed=7):
+    """Pairs of made texts with one kind of edit, their share of common three-word sequences just at or above one half."""
+    rng = np.random.default_rng([seed, *kind.encode()])
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    for i in range(n):
+        a = list(rng.choice(vocabulary, 150))
+        order = rng.permutation(150)
+        for m in range(150, 0, -1):  # the largest edit that keeps the pair
+            new = [f"x{j}" for j in range(m)]
+            at = int(rng.integers(0, 150))
+            b = {
+                "replaced": a[:at] + new + a[at + m :], "appended": a + new, "inserted": a[:at] + new + a[at:], "deleted": a[:at] + a[at + m :],
+                "scattered": [new[j] if j < m else w for j, w in zip(order, a)],
+                "reordered": [w for part in np.random.default_rng(i).permutation(m) for w in a[150 * part // m : 150 * (part + 1) // m]],
+            }[kind]
+            s, t = ({tuple(x[j : j + 3]) for j in range(len(x) - 2)} for x in (a, b))
+            if len(s & t) >= 0.5 * len(s | t):
+                break
+        yield f"{kind}{i:03}", " ".join(a), " ".join(b)
+
+
+def test_near_duplicates_of_each_kind_of_edit_at_the_threshold(spark):
     from equirank.llm import neardup
 
-    rng = np.random.default_rng(7)
-    vocabulary, data, want = [f"w{i}" for i in range(20_000)], [], set()
-    for i in range(400):
-        a, block = list(rng.choice(vocabulary, 60)), list(rng.choice(vocabulary, 50))
-        b = a[:25] + block + a[25:]
-        s, t = ({tuple(x[j : j + 3]) for j in range(len(x) - 2)} for x in (a, b))
-        if len(s & t) >= 0.5 * len(s | t):
-            want.add((f"a{i:03}", f"b{i:03}"))
-        data += [(f"a{i:03}", " ".join(a)), (f"b{i:03}", " ".join(b))]
+    kinds = ("replaced", "appended", "inserted", "deleted", "scattered", "reordered")
+    data = [row for kind in kinds for k, a, b in edited_pairs(kind, 150) for row in ((f"{k}a", a), (f"{k}b", b))]
     df = spark.createDataFrame(data, "paper_id string, title string")
-    got = {tuple(r) for r in neardup.near_duplicate_pairs(*neardup.near_duplicates(df, "paper_id", ["title"], width=3, similarity=0.5), 3).collect()}
-    assert got <= want and len(want) > 350 and len(got) >= 0.99 * len(want)
+    want = {(data[i][0], data[i + 1][0]) for i in range(0, len(data), 2)}
+    for dimension in (2, 3):
+        near = neardup.near_duplicates(df, "paper_id", ["title"], width=3, similarity=0.5, dimension=dimension)
+        got = {tuple(r) for r in neardup.near_duplicate_pairs(*near, 3).collect()}
+        assert got <= want
+        for kind in kinds:
+            lost = {p for p in want - got if p[0].startswith(kind)}
+            assert len(lost) <= 2, (dimension, kind, len(lost))  # 150 pairs at the threshold
+
+
+def test_dimension_follows_the_records_and_keeps_comparisons_bounded():
+    from equirank.llm import neardup
+
+    rng = np.random.default_rng(3)
+    symbols = rng.zipf(1.3, (5000, 24)).clip(max=2**30).astype(np.int32)
+    chosen = [neardup.choose_dimension(symbols, n, 0.5, 1e-4) for n in (10**3, 10**5, 10**7, 10**9)]
+    assert chosen == sorted(chosen) and chosen[0] == 2 and chosen[-1] > 2
+    for k in neardup.DIMENSIONS:
+        code = neardup.code_for(k, 0.5, 1e-4)
+        met = neardup._at_least(k, k + 1, 0.5) * neardup._at_least(code.agree, neardup.LANE, 0.5 + 0.5 / 16)
+        assert (1 - met) ** code.blocks <= 1e-4 and code.symbols >= code.length + neardup.LANE
+
+
+def test_anchors_are_code_words_within_the_covering_radius():
+    from equirank.llm import neardup
+
+    rng, code = np.random.default_rng(4), neardup.code_for(2, 0.5, 1e-4)
+    x = rng.integers(0, 2**32, (50, code.symbols), dtype=np.uint32)
+    y = x.copy()
+    for b in range(code.blocks):  # any one symbol of each block differs
+        y[:, b * 3 + b % 3] ^= np.uint32(12345)
+    at = lambda s: np.stack([a for a, _ in neardup._anchors(s, code)], axis=1).reshape(50, code.blocks, 3)
+    a, b = at(x), at(y)
+    assert all(set(a[i, j]) & set(b[i, j]) for i in range(50) for j in range(code.blocks))
+    assert not any(set(a[i].ravel()) & set(a[i + 1].ravel()) for i in range(49))
 
 
 def test_long_and_wrapped_inline_formulas_are_kept():
