@@ -140,7 +140,16 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "fairsearch_arxiv").select("vec_id", "embedding")
     near = knn.nearest(rows, "vec_id", "embedding", queries=F.col("vec_id") % 20 == 0)
-    return near.select(F.col("key").alias("vec_id"), F.col("other").alias("neighbour_id"), "cosine", "rank")
+    return near.select(F.col("key").alias("vec_id"), F.col("other").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"), "rank")
+
+
+_P4 = r"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM fairsearch_arxiv WHERE embedding IS NOT NULL),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 12) AS cosine FROM v a JOIN v b ON a.vec_id <> b.vec_id{asking}),
+n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM s)
+"""
+ORACLE["p4_found"] = _P4.format(asking="") + "SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM n WHERE rank <= 10 AND cosine >= 0.9"
+ORACLE["p4_neighbours"] = _P4.format(asking=" WHERE a.vec_id % 20 = 0") + "SELECT a AS vec_id, b AS neighbour_id, round(cosine, 6) AS cosine, rank FROM n WHERE rank <= 10"
 
 
 # 5. look-alike text

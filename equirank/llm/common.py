@@ -110,20 +110,34 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_skewed(rows: DataFrame, unique: DataFrame, key: str, hot: int = 1_000_000) -> DataFrame:
+def join_skewed(rows: DataFrame, unique: DataFrame, keys: str | list[str], hot: int = 1_000_000) -> DataFrame:
     """rows left join unique, which holds each key once; keys with more than `hot` rows are salted and met in several tasks.
 
     At most (number of rows) / `hot` keys come to the driver.
     """
-    crowded = rows.groupBy(key).count().where(F.col("count") > hot).collect()
+    keys = [keys] if isinstance(keys, str) else keys
+    crowded = rows.groupBy(*keys).count().where(F.col("count") > hot).collect()
     if not crowded:
-        return rows.join(unique, key, "left")
-    spark = rows.sparkSession
-    ways = spark.createDataFrame([(r[key], -(-r["count"] // hot)) for r in crowded], f"{key} {rows.schema[key].dataType.simpleString()}, _ways int")
-    rest = [F.xxhash64(*[c for c in rows.columns if c != key])] if len(rows.columns) > 1 else [F.monotonically_increasing_id()]
-    left = rows.join(F.broadcast(ways), key, "left").withColumn("_salt", F.pmod(rest[0], F.coalesce("_ways", F.lit(1))).cast("int")).drop("_ways")
-    right = unique.join(F.broadcast(ways), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_ways", F.lit(1)) - 1))).drop("_ways")
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+        return rows.join(unique, keys, "left")
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    ways = rows.sparkSession.createDataFrame([(*(r[k] for k in keys), -(-r["count"] // hot)) for r in crowded], f"{schema}, _ways int")
+    n, rest = F.coalesce("_ways", F.lit(1)), [c for c in rows.columns if c not in keys]
+    salt = F.xxhash64(*rest) if rest else F.monotonically_increasing_id()
+    left = rows.join(F.broadcast(ways), keys, "left").withColumn("_salt", F.pmod(salt, n).cast("int")).drop("_ways")
+    right = unique.join(F.broadcast(ways), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_ways")
+    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+
+
+def partition_slots(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions an integer that hash-partitioning by an integer column puts there, so that n groups get one partition each."""
+    found: dict[int, int] = {}
+    lo, step = 0, 16 * n + 64
+    while len(found) < n:
+        at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at")
+        rows = spark.range(lo, lo + step, 1, 1).groupBy(at).agg(F.min("id").alias("slot")).collect()
+        found = {r["at"]: r["slot"] for r in rows} | found
+        lo += step
+    return [found[i] for i in range(n)]
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:

@@ -27,10 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, join_skewed, partition_slots
 
 #: Vectors of one cell, leaves of a local tree, and the sample that the splits are fitted on.
 CELL, LEAF, SAMPLE = 16_384, 256, 20_000
+#: Visitors of a cell in one task; a cell with more is copied to further tasks that share them.
+VISITORS = 65_536
 
 
 def _gamma_share(a: float, x: float) -> float:
@@ -376,19 +378,28 @@ def nearest(
     homes = checkpoint(reps.mapInPandas(_assign(size, directions, tree), "cell int, key long, v binary, query boolean"))
     cells = 1 << depth
     answers = "kind int, cell int, key long, other long, value double"
-    own = checkpoint(
-        homes.repartition(cells, "cell").sortWithinPartitions("cell").mapInPandas(_own_cell(size, directions, tree, k, test, far), answers)
-    )
+    # one partition per cell: hashing the numbers of the cells would leave some partitions empty and crowd others
+    spark = df.sparkSession
+    slots = spark.createDataFrame(list(enumerate(partition_slots(spark, cells))), "cell int, slot int")
+    at_home = homes.join(F.broadcast(slots), "cell").repartition(cells, "slot")
+    own = checkpoint(at_home.sortWithinPartitions("cell").mapInPandas(_own_cell(size, directions, tree, k, test, far), answers))
     local = own.where("kind = 0").select("key", "other", "value")
     # the visits are kept without vectors, which are joined to them on the way to the cells
-    visits = own.where("kind = 1").select("cell", "kind", "key", "value").join(homes.select("key", "v"), "key")
-    placed = homes.select("cell", F.lit(0).alias("kind"), "key", F.lit(0.0).alias("value"), "v").unionByName(
-        visits.select("cell", "kind", "key", "value", "v")
+    asked_for = own.where("kind = 1").select("cell", "kind", "key", "value")
+    visits = asked_for.join(homes.select("key", "v"), "key")
+    ways = [(r["cell"], -(-r["count"] // VISITORS)) for r in asked_for.groupBy("cell").count().collect()]  # one row per cell
+    tasks = sum(w for _, w in ways)
+    free = iter(partition_slots(spark, tasks))
+    desks = spark.createDataFrame([(c, [next(free) for _ in range(w)]) for c, w in ways], "cell int, slots array<int>")
+    residents = homes.join(F.broadcast(desks), "cell").select("cell", F.lit(0).alias("kind"), "key", F.lit(0.0).alias("value"), "v", F.explode("slots").alias("slot"))
+    guests = visits.join(F.broadcast(desks), "cell").select(
+        "cell", "kind", "key", "value", "v", F.get("slots", F.pmod(F.xxhash64("key"), F.size("slots")).cast("int")).alias("slot")
     )
-    visited = placed.repartition(cells, "cell").sortWithinPartitions("cell", "kind").mapInPandas(
+    visited = residents.unionByName(guests).repartition(max(1, tasks), "slot").sortWithinPartitions("cell", "kind").mapInPandas(
         _visited_cell(size, directions, k, test), "key long, other long, value double"
     )
-    pairs = local.unionByName(visited)
+    # rounded, so that ties do not depend on the order of summation
+    pairs = local.unionByName(visited).withColumn("value", F.round("value", 12))
     if min_cosine is not None:
         pairs = pairs.where(F.col("value") >= min_cosine - 1e-12)
 
@@ -403,8 +414,9 @@ def nearest(
         .join(groups.select(F.col("rep").alias("key"), "g1", "g2"), "key").drop("key")
     )
     mine = F.slice(F.filter("list", lambda x: x["other"] != F.col("key")), 1, k)
+    # a vector that many rows share has many askers
     return (
-        asking.join(listed, ["g1", "g2"]).select("key", F.posexplode(mine).alias("rank", "x"))
+        join_skewed(asking, listed, ["g1", "g2"]).where("list is not null").select("key", F.posexplode(mine).alias("rank", "x"))
         .select("key", F.col("x.other").alias("other"), F.col("x.value").alias("cosine"), (F.col("rank") + 1).alias("rank"))
     )
 
