@@ -42,6 +42,8 @@ COMPARISON = 0.01
 #: Records from which the recurrence of sequences is estimated, about, and the dimensions that are considered.
 SAMPLE, DIMENSIONS = 20_000, (2, 3, 4, 5, 6)
 DRAWN = 24  # symbols of each of them
+#: Bits of the filter that tells which texts are taken apart again.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
 def _at_least(hits: int, n: int, p: float) -> float:
@@ -215,10 +217,39 @@ def choose_dimension(symbols: np.ndarray, records: int, similarity: float, miss:
     return min(work, key=work.get)
 
 
-def _shingle_rows(fields: list[str], width: int):
+class KeyFilter:
+    """A Bloom filter of the column `key`: tells by the hash of a key whether it may be among them.
+
+    Built by partial aggregates; its size is bounded by MOST_BITS whatever the number
+    of keys. Beyond that more others pass, which costs time and no result.
+    """
+
+    def __init__(self, keys: DataFrame) -> None:
+        at = keys.agg(F.approx_count_distinct("key")).first()[0]
+        self.size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * at).bit_length()))
+        place = F.explode(F.array(*[self._place(F.xxhash64("key"), i) + 1 for i in (0, 1)]))
+        marked = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+        parts = np.zeros((self.size >> 15, 1 << 12), np.uint8)
+        for r in marked.toLocalIterator():
+            parts[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
+        self.bits = keys.sparkSession.sparkContext.broadcast(parts.ravel())
+
+    def _place(self, h: Column, i: int) -> Column:
+        return F.shiftrightunsigned(h, 7 + 25 * i).bitwiseAND(F.lit(self.size - 1))
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        bits, out = self.bits.value, np.ones(len(h), bool)
+        for i in (0, 1):
+            place = (h.view(np.uint64) >> np.uint64(7 + 25 * i)) & np.uint64(self.size - 1)
+            out &= (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def _shingle_rows(fields: list[str], width: int, among: KeyFilter):
     def run(batches):
         hashes = WordHashes()
         for pdf in batches:
+            pdf = pdf[among(pdf["h"].to_numpy())]
             docs = [hashes(d) for d in _texts(pdf, fields)]
             rows = [shingles(h, width).view(np.int64) for h in docs]
             yield pd.DataFrame({"class_key": [text_key(h) for h in docs], "shingles": rows})
@@ -246,33 +277,28 @@ def near_duplicates(
     src = df.select(F.col(key).alias("key"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]).where("key is not null")
     names = [f"f{i}" for i in range(len(fields))]
     schema = f"key {src.schema['key'].dataType.simpleString()}, class_key long, size int, symbols array<int>"
-    sketch = lambda count: checkpoint(spread(src).mapInPandas(_sketch(names, width, count), schema))
-    usual = code_for(dimension or 3, similarity, miss).symbols
-    sketched = sketch(usual)
-    long_enough = F.col("size") >= width
-
-    records = sketched.where(long_enough).count()
-    share = min(1.0, SAMPLE / max(1, records))
-    drawn = sketched.where(long_enough & (F.xxhash64("class_key") / F.lit(2.0**64) + 0.5 < share))
+    sketch = lambda rows, count: rows.mapInPandas(_sketch(names, width, count), schema)
     if dimension is None:
-        rows = drawn.select("class_key", F.slice("symbols", 1, DRAWN).alias("s")).distinct().limit(2 * SAMPLE).collect()
-        dimension = choose_dimension(np.array([r["s"] for r in rows], dtype=np.int32).reshape(len(rows), DRAWN), records, similarity, miss)
+        records = src.count()
+        drawn = src.where(F.xxhash64("key", F.lit(1)) / F.lit(2.0**64) + 0.5 < SAMPLE / max(1, records))
+        rows = sketch(spread(drawn), DRAWN).where(F.col("size") >= width).select("class_key", "symbols").limit(2 * SAMPLE).distinct().collect()
+        symbols = np.array([r["symbols"] for r in rows], dtype=np.int32).reshape(len(rows), DRAWN)
+        dimension = choose_dimension(symbols, records, similarity, miss)
     code = code_for(dimension, similarity, miss)
-    if code.symbols > usual:
-        sketched = sketch(code.symbols)
-    watched = sketched.where(long_enough & (F.pmod(F.xxhash64("class_key"), F.lit(WATCHED)) == 0)).dropDuplicates(["class_key"])
+    sketched = checkpoint(sketch(spread(src), code.symbols))
 
     classes = sketched.select("key", "class_key", "size").distinct()
-    one = sketched.where(long_enough).groupBy("class_key").agg(F.first("symbols").alias("symbols"))
-    replicate = lambda rows: rows.select("class_key", "symbols").mapInPandas(_replicate(code), "anchor long, class_key long, lane long")
+    long_enough = sketched.where(F.col("size") >= width).select("class_key", "symbols")
+    one = long_enough.groupBy("class_key").agg(F.first("symbols").alias("symbols"))
+    watched = long_enough.where(F.pmod(F.xxhash64("class_key"), F.lit(WATCHED)) == 0).dropDuplicates(["class_key"])
+    replicate = lambda rows: rows.mapInPandas(_replicate(code), "anchor long, class_key long, lane long")
     candidates = checkpoint(_compare(replicate(one), replicate(watched), code.agree))
 
     ids = candidates.select(F.col("a").alias("class_key")).union(candidates.select(F.col("b").alias("class_key"))).distinct()
-    # One key stands for each class; only those texts are read again.
-    wanted = sketched.groupBy("class_key").agg(F.min("key").alias("key")).join(ids, "class_key", "left_semi").select("key").distinct()
+    # One key stands for each class; only those texts are taken apart again, and no text is shuffled.
+    wanted = sketched.groupBy("class_key").agg(F.min("key").alias("key")).join(ids, "class_key", "left_semi").select("key")
     rows = checkpoint(
-        src.join(wanted, "key", "left_semi")
-        .mapInPandas(_shingle_rows(names, width), "class_key long, shingles array<long>")
+        src.withColumn("h", F.xxhash64("key")).mapInPandas(_shingle_rows(names, width, KeyFilter(wanted)), "class_key long, shingles array<long>")
         .join(ids, "class_key", "left_semi")
         .groupBy("class_key").agg(F.first("shingles").alias("shingles"))
     )
