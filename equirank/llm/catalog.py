@@ -101,6 +101,17 @@ c AS (
   GROUP BY t.cell_id)
 """
 ORACLE["p2_found"] = _P2 + "SELECT cell_id FROM c WHERE available < needed"
+_SEATS = _P2.replace("SELECT t.cell_id, count(p.paper_id) AS available,", "SELECT t.cell_id, any_value(t.target_bp) AS target, any_value(t.min_rows) AS floor, count(p.paper_id) AS available,") + """,
+k AS (SELECT cell_id, k, k <= floor AS first, CASE WHEN k > floor THEN (k - 0.5) / target END AS priority FROM (SELECT *, unnest(range(1, available + 1)) AS k FROM c) WHERE k <= floor OR target > 0),
+o AS (SELECT *, row_number() OVER (ORDER BY first DESC, priority, cell_id) AS n FROM k),
+q AS (SELECT cell_id, count(*) AS seats FROM o WHERE first OR n <= (SELECT s FROM s) GROUP BY 1)
+"""
+ORACLE["p2_report"] = _SEATS + """SELECT cell_id, available, CAST(needed AS BIGINT) AS needed, coalesce(seats, 0)::BIGINT AS seats, greatest(0, needed - available)::BIGINT AS missing,
+  (SELECT s FROM s)::BIGINT AS asked FROM c LEFT JOIN q USING (cell_id)"""
+ORACLE["p2_sample"] = _SEATS + """, r AS (
+  SELECT p.paper_id, t.cell_id, t.target_bp, row_number() OVER (PARTITION BY t.cell_id ORDER BY md5('0:' || p.paper_id), p.paper_id) AS rank FROM sample_targets t
+  JOIN p ON p.code = lower(trim(t.category)) AND p.label = lower(trim(t.institution_label)) AND p.year BETWEEN t.year_from AND t.year_to)
+SELECT paper_id, cell_id, rank, CASE WHEN target_bp > 0 THEN (rank - 0.5) / target_bp END AS priority FROM r JOIN q USING (cell_id) WHERE rank <= seats"""
 
 
 # 3. canonical values
@@ -233,7 +244,7 @@ def p8_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mix_plan(_counted(spark, sf), read(spark, sf, "mix_targets")).where("not reachable").select("source")
+    return p8_report(spark, sf).where("not reachable").select("source")
 
 
 @query

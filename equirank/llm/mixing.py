@@ -64,7 +64,7 @@ def mix_plan(counted: DataFrame, targets: DataFrame) -> DataFrame:
     short of the target or the source has no documents.
     """
     totals = counted.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("available"))
-    every = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"))
+    every = totals.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("t"))  # of the few sources: the texts are counted once
     facts = (
         targets.join(totals, "source", "left").withColumn("t", every.scalar())
         .withColumn("docs", F.coalesce("docs", F.lit(0))).withColumn("available", F.coalesce("available", F.lit(0)))
@@ -74,7 +74,7 @@ def mix_plan(counted: DataFrame, targets: DataFrame) -> DataFrame:
     short = F.col("max_repeats") * F.col("available") * F.lit(10000) < F.col("target_bp") * F.col("t")
     return facts.withColumn("times", times).select(
         "source", "docs", "available", "target", F.floor("times").alias("whole"), (F.col("times") - F.floor("times")).alias("rest"),
-        (~(short | (F.col("docs") == 0))).alias("reachable"), "t",
+        (~(short | (F.col("docs") == 0))).alias("reachable"), "t", "target_bp", "max_repeats",
     )
 
 
@@ -108,37 +108,33 @@ def fly(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return np.array(p)
 
 
-def _fly_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("doc_id", kind="stable")
-    seed = int(pdf["doc_id"].iloc[0]) & 0x7FFFFFFF
-    pdf["p"] = fly(pdf["p"].to_numpy(), pdf["tokens"].to_numpy(), np.random.default_rng([seed, len(pdf)]))
-    return pdf[["doc_id", "source", "tokens", "p"]]
+def _blocks(land: bool, seed: int):
+    """The flight of one block; with `land` its last undecided documents are drawn."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id", kind="stable")
+        rng = np.random.default_rng([seed, int(pdf["doc_id"].iloc[0]) & 0x7FFFFFFF, len(pdf)])
+        p = fly(pdf["p"].to_numpy(), pdf["tokens"].to_numpy(), rng)
+        if land:
+            p = np.where((p > EPS) & (p < 1 - EPS), rng.random(len(p)) < p, p).astype(float)
+        return pdf[["doc_id", "source", "tokens"]].assign(p=p)
 
-def _land_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = _fly_block(pdf)
-    rng = np.random.default_rng([7, len(out)])
-    p = out["p"].to_numpy()
-    out["p"] = np.where((p > EPS) & (p < 1 - EPS), rng.random(len(p)) < p, p).astype(float)
-    return out
+    return run
 
 
-def mix(counted: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, source, tokens, copies): the documents of the mix, with how often each is used (1 at least).
-
-    Documents of sources without a target are not used. doc_id must be unique.
-    """
-    plan = mix_plan(counted, targets).where("docs > 0")
-    rows = checkpoint(counted.join(plan.select("source", "whole", "rest", "docs"), "source"))
+def _draw(counted: DataFrame, targets: DataFrame, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(plan, drawn): the plan and the documents of the mix with their copies; texts are counted once."""
+    counted = checkpoint(counted)
+    plan = checkpoint(mix_plan(counted, targets))
+    rows = counted.join(plan.where("docs > 0").select("source", "whole", "rest"), "source")
     schema = "doc_id long, source string, tokens long, p double"
-    sure = rows.select("doc_id", "source", "tokens", "whole", "rest").withColumn("one", F.lit(0.0))
     open_ = rows.where(f"rest > {EPS}").select("doc_id", "source", "tokens", F.col("rest").alias("p"))
     decided, level = None, 0
     while True:
         most = open_.groupBy("source").count().agg(F.max("count")).first()[0] or 0
         blocks = max(1, math.ceil(most / block))
-        placed = open_.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(blocks)))
-        flown = checkpoint(placed.groupBy("source", "block").applyInPandas(_land_block if blocks == 1 else _fly_block, schema))
+        placed = open_.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(level), F.lit(seed)), F.lit(blocks)))
+        flown = checkpoint(placed.groupBy("source", "block").applyInPandas(_blocks(blocks == 1, seed), schema))
         done = flown.where("p in (0.0, 1.0)")
         decided = done if decided is None else decided.union(done)
         if blocks == 1:
@@ -146,19 +142,33 @@ def mix(counted: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame
         open_, level = flown.where("p not in (0.0, 1.0)"), level + 1
     extra = decided.where("p = 1.0").select("doc_id", F.lit(1).alias("extra"))
     copies = F.col("whole") + F.coalesce("extra", F.lit(0))
-    return sure.join(extra, "doc_id", "left").select("doc_id", "source", "tokens", copies.cast("int").alias("copies")).where("copies > 0")
+    drawn = rows.join(extra, "doc_id", "left").select("doc_id", "source", "tokens", copies.cast("int").alias("copies")).where("copies > 0")
+    return plan, drawn
+
+
+def mix(counted: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
+    """(doc_id, source, tokens, copies): the documents of the mix, with how often each is used (1 at least).
+
+    Documents of sources without a target are not used. doc_id must be unique.
+    """
+    return _draw(counted, targets, block, seed)[1]
+
 
+def mix_report(counted: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int = 0) -> DataFrame:
+    """(source, target_share, real_share, docs, tokens, reachable): the shares of the mix as drawn.
 
-def mix_report(counted: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, real_share, docs, tokens, reachable): the shares of the mix as drawn."""
-    drawn = mix(counted, targets)
-    used = drawn.groupBy("source").agg(F.sum("copies").alias("docs"), F.sum(F.col("copies") * F.col("tokens")).alias("tokens"))
+    A source is out of reach if it has no documents, or if the mix holds each of
+    them max_repeats times and still fewer tokens than its target.
+    """
+    plan, drawn = _draw(counted, targets, block, seed)
+    used = drawn.groupBy("source").agg(F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("tokens")).alias("tokens"))
     every = used.agg(F.sum("tokens").alias("all"))
+    tokens = F.coalesce("tokens", F.lit(0))
+    spent = (tokens == F.col("max_repeats") * F.col("available")) & (tokens * F.lit(10000) < F.col("target_bp") * F.col("t"))
     return (
-        mix_plan(counted, targets).select("source", (F.try_divide("target", "t")).alias("target_share"), "reachable")
-        .join(used, "source", "left").withColumn("all", every.scalar())
+        plan.join(used, "source", "left").withColumn("all", every.scalar())
         .select(
-            "source", "target_share", F.coalesce(F.try_divide(F.col("tokens"), F.col("all")), F.lit(0.0)).alias("real_share"),
-            F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "reachable",
+            "source", F.try_divide("target", "t").alias("target_share"), F.coalesce(F.try_divide(tokens, F.col("all")), F.lit(0.0)).alias("real_share"),
+            F.coalesce("copies", F.lit(0)).alias("docs"), tokens.alias("tokens"), (~(spent | (F.col("docs") == 0))).alias("reachable"),
         )
     )

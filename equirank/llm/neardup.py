@@ -250,6 +250,8 @@ def _shingle_rows(fields: list[str], width: int, among: KeyFilter):
         hashes = WordHashes()
         for pdf in batches:
             pdf = pdf[among(pdf["h"].to_numpy())]
+            if not len(pdf):
+                continue
             docs = [hashes(d) for d in _texts(pdf, fields)]
             rows = [shingles(h, width).view(np.int64) for h in docs]
             yield pd.DataFrame({"class_key": [text_key(h) for h in docs], "shingles": rows})

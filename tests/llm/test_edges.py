@@ -104,6 +104,31 @@ def test_sample_ranks_hot_cells_in_blocks(spark, monkeypatch):
     assert sorted(r["rank"] for r in got) == list(range(1, 61))
 
 
+def test_overlapping_cells_and_minima_beyond_the_size(spark):
+    latest = sampling.latest_papers(spark.createDataFrame([(i, f"p{i:03}", "a", "u", 2000) for i in range(80)], "vec_id long, paper_id string, category string, institution_label string, year int"))
+    targets = spark.createDataFrame([(1, "a", "u", 1990, 2010, 5000, 4), (2, "a", "u", 2000, 2000, 5000, 4), (3, None, "u", None, 2000, None, None)], CELLS)
+    report = {r["cell_id"]: r.asDict() for r in sampling.quota_report(latest, targets).collect()}
+    sample = sampling.quota_sample(latest, targets).collect()
+    assert report[1]["available"] + report[2]["available"] == 80 and report[3]["available"] == 0  # each paper in one cell
+    assert len(sample) == 16 == len({r["paper_id"] for r in sample}) and {c: sum(r["cell_id"] == c for r in sample) for c in (1, 2)} == {c: report[c]["seats"] for c in (1, 2)}
+    greedy = spark.createDataFrame([(1, "a", "u", 1990, 2010, 10000, 30)], CELLS)
+    r = sampling.quota_report(latest, greedy).first()
+    assert (r["asked"], r["seats"], r["needed"], r["missing"]) == (16, 30, 30, 0) == (16, sampling.quota_sample(latest, greedy).count(), 30, 0)
+
+
+def test_shares_of_the_mix_as_drawn(spark):
+    rng = np.random.default_rng(6)
+    data = [(i, f"s{i % 4}", "w " * int(rng.integers(1, 300))) for i in range(4000)]
+    counted = mixing.source_tokens(spark.createDataFrame(data, "doc_id long, source string, text string"))
+    targets = spark.createDataFrame([("s0", 4000, 3), ("s1", 3000, 2), ("s2", 2000, 1), ("s3", 1000, 1), ("s4", 0, 9)], "source string, target_bp int, max_repeats int")
+    plan = {r["source"]: r for r in mixing.mix_plan(counted, targets).collect()}
+    for seed in (0, 5):
+        for r in mixing.mix_report(counted, targets, block=200, seed=seed).collect():
+            assert abs(r["tokens"] - plan[r["source"]]["target"]) <= 2 * 300 and r["reachable"] == plan[r["source"]]["reachable"] == (r["source"] != "s4")
+    assert sorted(mixing.mix(counted, targets, seed=1).collect()) == sorted(mixing.mix(counted.repartition(3), targets, seed=1).collect())
+    assert sorted(mixing.mix(counted, targets, seed=1).collect()) != sorted(mixing.mix(counted, targets, seed=2).collect())
+
+
 def test_divisor_seats_by_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(50):
@@ -117,7 +142,7 @@ def test_divisor_seats_by_brute_force():
                 break
             if k > want[cell]:
                 want[cell] += 1
-        assert sum(got.values()) == sum(want.values()) and all(abs(got[i] - want[i]) <= 1 for i in got)
+        assert got == want
 
 
 # 3
