@@ -176,7 +176,9 @@ def p5_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p5_forms(spark, sf).where(F.size("kinds") > 0).select(*_FIELD)
+    # what the operator changed; an accent that has no composed form stays, and is a case too
+    found = (F.size("kinds") > 0) & (F.col("changed") | F.array_contains("kinds", lookalike.MARK))
+    return p5_forms(spark, sf).where(found).select(*_FIELD)
 
 
 # 6. markup residue

@@ -1,7 +1,7 @@
 """Problem 5: one form for text that looks the same.
 
-Values with a character beyond ASCII are exploded to positioned code points.
-A table of mappings is joined to them: compatibility forms (full-width,
+Values with a character beyond ASCII are exploded to positioned code points;
+stretches of pure ASCII between them stay whole. A table of mappings is joined to them: compatibility forms (full-width,
 half-width, ligatures), spaces, invisible characters, canonical decompositions
 and look-alike letters of other scripts. Combining marks are ordered by their
 class behind their base, pairs are recomposed, and the strings are rebuilt.
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,8 +90,13 @@ def mapping(spark: SparkSession) -> DataFrame:
 _CLASS = "[" + "".join(LOOK_ALIKES) + "]"
 _SURE = "[" + "".join(c for c in LOOK_ALIKES if c not in ROUGH) + "]"
 #: Letters of a word, with what may hide between them.
-_WORD = r"[\p{L}\p{M}\p{Cf}]+"
-_BETWEEN = r"[^\p{L}\p{M}\p{Cf}]+"
+_WORD = r"\p{L}\p{M}\p{Cf}"
+_ODD_LETTER, _ODD_OTHER = rf"[{_WORD}&&[^\x00-\x7F]]", rf"[^\x00-\x7F{_WORD}]"
+#: A value in pieces: words that go beyond ASCII, other single characters that do, and the stretches between.
+_PIECES = rf"([{_WORD}]*{_ODD_LETTER}[{_WORD}]*|{_ODD_OTHER}|[\x00-\x7F]+?(?=(?<![{_WORD}])[{_WORD}]*{_ODD_LETTER}|{_ODD_OTHER}|\z))"
+#: Characters of a piece that are gathered at once.
+CHUNK = 1024
+
 
 def _true_other(word: Column) -> Column:
     """The word holds a letter of another script that is no look-alike."""
@@ -99,48 +104,50 @@ def _true_other(word: Column) -> Column:
 
 
 def normalize_values(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """keys + (value, normalized, kinds): values with their one form and the kinds of characters that were changed.
+    """keys + (normalized, kinds, changed): values with their one form, the kinds of characters that were found, and whether the form differs.
 
     Values without a character beyond ASCII, empty and null ones keep their form and
     skip the character work; kinds is empty for values that hold none of the kinds.
+    A combining accent without a composed form is found but stays as it is.
     The keys must name each row once; extra columns and repeated values are allowed.
+    Characters are gathered by pieces of CHUNK first, so that the state of a long
+    text is about as large as the text.
     """
     spark = df.sparkSession
-    plain = df.where(F.col(value).isNull() | ~F.col(value).rlike(r"[^\x00-\x7F]"))
-    rest = spread(df.where(F.col(value).rlike(r"[^\x00-\x7F]")), *keys)
-    # Words alternate with what lies between them; each piece decides on its own how look-alikes are read.
-    pieces = F.regexp_extract_all(value, F.lit(rf"({_WORD}|{_BETWEEN})"), F.lit(1))
+    beyond = F.coalesce(F.col(value).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    plain = df.where(~beyond).select(*keys, F.col(value).alias("normalized"), F.array().cast("array<string>").alias("kinds"), F.lit(False).alias("changed"))
+    rest = spread(df.where(beyond).select(*keys, F.col(value).alias("_value")), *keys)
     narrow = lambda c: F.translate(c, _wide(), _thin())  # noqa: E731  full-width letters are Latin letters here
     # What is known of a value or a piece is settled before it is exploded, so that long texts are looked at once.
     by_value = rest.select(
-        *keys, pieces.alias("pieces"), (~_true_other(F.col(value)) & narrow(F.col(value)).rlike(r"\p{IsLatin}")).alias("latin_value")
-    )
-    around = F.transform(
-        "pieces",
-        lambda p, i: F.struct(p.alias("piece"), F.concat(F.coalesce(F.right(F.get(F.col("pieces"), i - 1), F.lit(1)), F.lit(" ")), F.coalesce(F.left(F.get(F.col("pieces"), i + 1), F.lit(1)), F.lit(" "))).alias("by")),
+        *keys, F.xxhash64("_value").alias("_was"), F.regexp_extract_all("_value", F.lit(_PIECES), F.lit(1)).alias("_pieces"),
+        (~_true_other(F.col("_value")) & narrow(F.col("_value")).rlike(r"\p{IsLatin}")).alias("_latin"),
     )
-    by_piece = by_value.select(*keys, "latin_value", F.posexplode(around).alias("at", "p")).select(*keys, "latin_value", "at", "p.piece", "p.by")
-    thin = narrow(F.col("piece"))
+    side = lambda i, cut: F.coalesce(cut(F.get(F.col("_pieces"), i), F.lit(1)), F.lit(" "))
+    around = F.transform("_pieces", lambda p, i: F.struct(p.alias("piece"), F.concat(side(i - 1, F.right), side(i + 1, F.left)).alias("by")))
+    by_piece = by_value.select(*keys, "_was", "_latin", F.posexplode(around).alias("_at", "_p"))
+    piece = F.col("_p.piece")
+    thin = narrow(piece)
     latin = thin.rlike(r"\p{IsLatin}")
     others = F.size(F.regexp_extract_all(thin, F.lit(f"({_CLASS})"), F.lit(1)))
     alone = (
-        F.col("latin_value") & ~latin & ~_true_other(F.col("piece")) & thin.rlike(_SURE) & (thin.rlike(r"\p{IsCyrillic}") | (others > 1) | (thin.rlike(r"\p{Lu}") & ~F.col("by").contains("-")))
+        F.col("_latin") & ~latin & ~_true_other(piece) & thin.rlike(_SURE) & (thin.rlike(r"\p{IsCyrillic}") | (others > 1) | (thin.rlike(r"\p{Lu}") & ~F.col("_p.by").contains("-")))
     )
-    settled = by_piece.select(*keys, "at", (latin | alone).alias("as_latin"), F.split("piece", "").alias("chars"))
-    exploded = settled.select(*keys, "at", "as_latin", F.posexplode("chars").alias("pos", "ch"))
-    mapped = exploded.join(F.broadcast(mapping(spark)), "ch", "left")  # bounded by the character set
-    swap = (F.col("kind") == LOOKALIKE) & F.col("as_latin")
-    target = F.when(F.col("kind").isNull() & F.col("target").isNull(), F.col("ch")).when(
-        (F.col("kind") == LOOKALIKE) & ~F.col("as_latin"), F.col("ch")
-    ).otherwise(F.col("target"))
-    kind = F.when((F.col("kind") == LOOKALIKE) & ~swap, None).otherwise(F.col("kind"))
-    row = F.struct("at", "pos", target.alias("t"))
-    gathered = mapped.select(*keys, row.alias("r"), kind.alias("kind")).groupBy(*keys).agg(
-        F.collect_list("r").alias("r"), F.collect_set("kind").alias("kinds")
+    signs = F.when(piece.rlike(r"[^\x00-\x7F]"), F.split(piece, "")).otherwise(F.array(piece))
+    exploded = by_piece.select(*keys, "_was", "_at", (latin | alone).alias("_swap"), signs.alias("_signs")).select(
+        *keys, "_was", "_at", "_swap", F.posexplode("_signs").alias("_pos", "ch")
     )
-    joined = F.array_join(F.transform(F.array_sort("r"), lambda x: x["t"]), "")
-    rebuilt = gathered.select(*keys, recompose(joined).alias("normalized"), F.array_sort("kinds").alias("kinds"))
-    return plain.select(*keys, F.col(value).alias("normalized"), F.array().cast("array<string>").alias("kinds")).unionByName(rebuilt)
+    mapped = exploded.join(F.broadcast(mapping(spark)), "ch", "left")  # bounded by the character set
+    kept = (F.col("kind") == LOOKALIKE) & ~F.col("_swap")
+    target = F.when(kept | (F.col("kind").isNull() & F.col("target").isNull()), F.col("ch")).otherwise(F.col("target"))
+    held = mapped.select(*keys, "_was", "_at", F.floor(F.col("_pos") / CHUNK).alias("_chunk"), F.struct("_pos", target.alias("t")).alias("_r"), F.when(~kept, F.col("kind")).alias("_kind"))
+    # one shuffle for both steps
+    pieces = held.repartition(*keys).groupBy(*keys, "_was", "_at", "_chunk").agg(F.collect_list("_r").alias("_r"), F.collect_set("_kind").alias("_kinds"))
+    pieces = pieces.select(*keys, "_was", F.struct("_at", "_chunk", F.array_join(F.transform(F.array_sort("_r"), lambda x: x["t"]), "").alias("t")).alias("_r"), "_kinds")
+    gathered = pieces.groupBy(*keys, "_was").agg(F.collect_list("_r").alias("_r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_kinds")))).alias("kinds"))
+    joined = F.array_join(F.transform(F.array_sort("_r"), lambda x: x["t"]), "")
+    rebuilt = gathered.select(*keys, "_was", recompose(joined).alias("normalized"), "kinds")
+    return plain.unionByName(rebuilt.select(*keys, "normalized", "kinds", (F.xxhash64("normalized") != F.col("_was")).alias("changed")))
 
 
 def _wide() -> str:
@@ -204,16 +211,12 @@ def recompose(texts: pd.Series) -> pd.Series:
 
 
 def corpus_fields(papers: DataFrame, authorships: DataFrame) -> DataFrame:
-    """(source_table, row_id, field_name, value): the titles, author names and affiliations."""
-    def part(df: DataFrame, table: str, key: str, field: str) -> DataFrame:
-        return df.select(F.lit(table).alias("source_table"), F.col(key).alias("row_id"), F.lit(field).alias("field_name"), F.col(field).alias("value"))
-
-    parts = [
-        part(papers, "fairsearch_arxiv", "vec_id", "title"),
-        part(authorships, "authorships", "authorship_id", "author_name"),
-        part(authorships, "authorships", "authorship_id", "raw_affiliation"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """(source_table, row_id, field_name, value): the titles, author names and affiliations; each table is read once."""
+    def part(df: DataFrame, table: str, key: str, *fields: str) -> DataFrame:
+        values = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("x")
+        return df.select(F.lit(table).alias("source_table"), F.col(key).alias("row_id"), values).select("source_table", "row_id", "x.field_name", "x.value")
+
+    return part(papers, "fairsearch_arxiv", "vec_id", "title").unionByName(part(authorships, "authorships", "authorship_id", "author_name", "raw_affiliation"))
 
 
 def unify(text: str) -> str:

@@ -247,6 +247,20 @@ def test_garbled_edges(spark):
     assert mojibake.restore_texts(df.limit(0)).count() == 0
 
 
+def test_forms_equal_those_of_single_values(spark, sf, monkeypatch):
+    texts = {v for f, t in (("title", "fairsearch_arxiv"), ("author_name", "authorships"), ("raw_affiliation", "authorships")) for (v,) in common.read(spark, sf, t).select(f).collect()}
+    rng, signs = np.random.default_rng(9), list("ab -А́̂ｆﬁ​  оλяΑ，—é\n文字")
+    texts |= {"".join(rng.choice(signs, int(rng.integers(0, 40)))) for _ in range(400)} | {"слово " * 3000, "文" * 5000, "x" * 20_000 + "é", ("wоrd " + "é" * 70) * 50}
+    values = sorted(t for t in texts if t is not None)
+    df = spark.createDataFrame(list(enumerate(values)), "id int, value string")
+    for chunk in (lookalike.CHUNK, 3):
+        monkeypatch.setattr(lookalike, "CHUNK", chunk)
+        got = {r["id"]: r for r in lookalike.normalize_values(df, ["id"]).collect()}
+        assert len(got) == len(values)
+        for i, v in enumerate(values):
+            assert got[i]["normalized"] == lookalike.unify(v) and got[i]["changed"] == (got[i]["normalized"] != v), v
+
+
 # 7
 
 
