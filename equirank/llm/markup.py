@@ -6,7 +6,8 @@ of the other notations. Paragraphs pass points for their length and commas to
 their container and half of them to the container above; a container's points
 are discounted by the share of its text that is links. The best container is
 kept with those siblings that have enough points, read as prose or carry
-structure. It is written as plain text: "# " headings, "- " items, fenced code,
+structure. What the parser takes for markup on the way is noted with its
+notation; a text of which it takes nothing holds no markup. The tree is written as plain text: "# " headings, "- " items, fenced code,
 "$...$" formulas, " | " between table cells.
 """
 
@@ -20,6 +21,7 @@ from html.entities import html5
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .common import spread
 
@@ -72,6 +74,13 @@ _QUOTE = re.compile(r"^[ \t]*>+[ \t]+(?=\S)", re.M)
 MAYBE = r"[<&\\$`#*_~\[{|=]|''|(?m)^[ \t]*([-+•>]|\d{1,3}[.)])[ \t]|(?m)^-{3,}"
 
 
+_PRE = re.compile(r"(?is)<pre\b[^>]*>(.*?)</pre>")
+_CODE = re.compile(r"(?is)<code\b[^>]*>(.*?)</code>")
+_SECTION = re.compile(r"\\(?:sub)*section\*?\{([^{}]*)\}|\\(?:chapter|paragraph|title)\*?\{([^{}]*)\}")
+_ENVIRONMENT = re.compile(r"\\begin\{\w+\*?\}(?:\[[^\]]*\])?|\\end\{\w+\*?\}")
+_LATEX_ITEM = re.compile(r"\\item\b[ \t]*(?:\[[^\]]*\])?")
+
+
 def is_formula(content: str) -> bool:
     """What stands between dollar signs is a formula, not text between two prices."""
     if re.match(r"\d[\d.,]*(?:\s|$)", content):
@@ -117,47 +126,6 @@ def _unclosed(tags: list) -> set[int]:
     return out
 
 
-def markup_kinds(text: str | None) -> list[str]:
-    """The notations of which the text holds at least one piece, sorted; empty for plain, empty and null text."""
-    if not text:
-        return []
-    found = set()
-    if "<" in text and (_COMMENT.search(text) or next(_tags(text), None)):
-        found.add("html")
-    if "&" in text and any(m[0][1] == "#" or m[0][1:] in html5 for m in _ENTITY.finditer(text)):
-        found.add("html")
-    if "\\" in text and _COMMAND.search(text):
-        found.add("latex")
-    if "$" in text and next(_formulas(text), None):
-        found.add("latex")
-    ticks = "`" in text
-    if ticks and _QUOTES.search(text):
-        found.add("latex")
-    if ticks and (_FENCE.search(text) or _TICKS.search(text) or "```" in text):
-        found.add("markdown")
-    if "#" in text and _HEADING.search(text):
-        found.add("markdown")
-    if ("*" in text or "_" in text) and (_BOLD.search(text) or _ITALIC.search(text)):
-        found.add("markdown")
-    if "~~" in text and _STRIKE.search(text):
-        found.add("markdown")
-    if "](" in text and _MD_LINK.search(text) or "]:" in text and _MD_REF.search(text):
-        found.add("markdown")
-    if "|" in text and _ROW.search(text) and (len(_ROW.findall(text)) > 1 or _RULE.search(text)):
-        found.add("markdown")
-    if _ITEM.search(text) or _QUOTE.search(text) or len(_NUMBERED.findall(text)) > 1 or _RULE.search(text):
-        found.add("markdown")
-    if "[[" in text and _WIKI_LINK.search(text) or "[http" in text and _WIKI_URL.search(text):
-        found.add("wiki")
-    if "{{" in text and _TEMPLATE.search(text) or "{|" in text and _WIKI_TABLE.search(text):
-        found.add("wiki")
-    if "''" in text and _WIKI_QUOTES.search(_QUOTES.sub(" ", text) if ticks else text):
-        found.add("wiki")
-    if "=" in text and _WIKI_HEADING.search(text):
-        found.add("wiki")
-    return sorted(found)
-
-
 class Node:
     """A block: kind and its children or its text."""
 
@@ -181,32 +149,61 @@ _STRUCTURE = {"heading", "item", "code", "formula", "row"}
 _GUARD = "\ue000{}\ue001"
 _GUARDED = re.compile("\ue000(\\d+)\ue001")
 _LINK_ON, _LINK_OFF = "\ue002", "\ue003"
+#: Marks of items and headings of LaTeX and underlined headings in the lines.
+_ITEM_MARK, _HEADING_MARK = "\ue004", "\ue005"
 
 
 class _Parser:
+    """The tree of a text and the notations (`kinds`) of which it holds at least one piece."""
+
     def __init__(self, text: str) -> None:
         self.kept: list[tuple[str, str]] = []
+        self.kinds: set[str] = set()
         self.root = Node("container", None)
-        self.parse(re.sub("[\ue000-\ue003]", "", text))
+        self.parse(re.sub("[\ue000-\ue005]", "", text))
 
-    def keep(self, kind: str, content: str) -> str:
+    def keep(self, kind: str, content: str, notation: str) -> str:
         self.kept.append((kind, content))
+        self.kinds.add(notation)
         mark = _GUARD.format(len(self.kept) - 1)
         return f"\n{mark}\n" if kind in ("code", "formula") else mark
 
+    def replace(self, notation: str, pattern: re.Pattern, by, text: str) -> str:
+        text, n = pattern.subn(by, text)
+        if n:
+            self.kinds.add(notation)
+        return text
+
+    def unescape(self, text: str) -> str:
+        if "&" not in text:
+            return text
+        if any(m[0][1] == "#" or m[0][1:] in html5 for m in _ENTITY.finditer(text)):
+            self.kinds.add("html")
+        return html.unescape(text)
+
     def parse(self, text: str) -> None:
-        text = _FENCE.sub(lambda m: self.keep("code", m[2]), text)
-        text = _LATEX_CODE.sub(lambda m: self.keep("code", m[2]), text)
-        text = re.sub(r"(?is)<pre\b[^>]*>(.*?)</pre>", lambda m: self.keep("code", html.unescape(_TAG.sub("", m[1]))), text)
-        text = _DISPLAY.sub(lambda m: self.keep("formula", (m[1] or m[2] or m[5]).strip()), text)
-        parts, at = [], 0
-        for m in _formulas(text):
-            parts += [text[at : m.start()], self.keep("formula", m[1].strip()) if m[1] else self.keep("math", re.sub(r"\s*\n\s*", " ", m[2]))]
-            at = m.end()
-        text = "".join([*parts, text[at:]])
-        text = re.sub(r"(?is)<code\b[^>]*>(.*?)</code>", lambda m: self.keep("ticks", html.unescape(_TAG.sub("", m[1]))), text)
-        text = _TICKS.sub(lambda m: self.keep("ticks", m[1]), text)
-        text = _COMMENT.sub(" ", text)
+        if "`" in text:
+            text = _FENCE.sub(lambda m: self.keep("code", m[2], "markdown"), text)
+            if "```" in text:
+                self.kinds.add("markdown")
+        if "\\" in text:
+            text = _LATEX_CODE.sub(lambda m: self.keep("code", m[2], "latex"), text)
+        if "<" in text:
+            text = _PRE.sub(lambda m: self.keep("code", html.unescape(_TAG.sub("", m[1])), "html"), text)
+        if "\\" in text:
+            text = _DISPLAY.sub(lambda m: self.keep("formula", (m[1] or m[2] or m[5]).strip(), "latex"), text)
+        if "$" in text:
+            parts, at = [], 0
+            for m in _formulas(text):
+                parts += [text[at : m.start()], self.keep("formula", m[1].strip(), "latex") if m[1] else self.keep("math", re.sub(r"\s*\n\s*", " ", m[2]), "latex")]
+                at = m.end()
+            text = "".join([*parts, text[at:]])
+        if "<" in text:
+            text = _CODE.sub(lambda m: self.keep("ticks", html.unescape(_TAG.sub("", m[1])), "html"), text)
+        if "`" in text:
+            text = _TICKS.sub(lambda m: self.keep("ticks", m[1], "markdown"), text)
+        if "<" in text or "]]>" in text:
+            text = self.replace("html", _COMMENT, " ", text)
         at, here, skip = 0, self.root, None
         buffer: list[str] = []
 
@@ -216,7 +213,9 @@ class _Parser:
             if joined.strip():
                 self.lines(joined, here)
 
-        tags = list(_tags(text))
+        tags = list(_tags(text)) if "<" in text else []
+        if tags:
+            self.kinds.add("html")
         unclosed = _unclosed(tags)
         for m, name in tags:
             part, at = text[at : m.start()], m.end()
@@ -224,7 +223,7 @@ class _Parser:
                 if m[1] and name == skip:
                     skip = None
                 continue
-            buffer.append(html.unescape(part))
+            buffer.append(self.unescape(part))
             name = name.split(":")[-1]
             if name in _DROPPED and not m[4]:
                 if not m[1] and m.start() not in unclosed:
@@ -251,21 +250,25 @@ class _Parser:
                     if back.parent is not None:
                         here = back.parent
         if not skip:
-            buffer.append(html.unescape(text[at:]))
+            buffer.append(self.unescape(text[at:]))
         flush()
 
     def lines(self, text: str, parent: Node) -> None:
         """The blocks of the line-based notations."""
-        text = re.sub(r"\\(?:sub)*section\*?\{([^{}]*)\}|\\(?:chapter|paragraph|title)\*?\{([^{}]*)\}", lambda m: f"\n# {m[1] or m[2]}\n", text)
-        text = re.sub(r"\\begin\{\w+\*?\}(?:\[[^\]]*\])?|\\end\{\w+\*?\}", "\n", text)
-        text = re.sub(r"\\item\b[ \t]*(?:\[[^\]]*\])?", "\n- ", text)
-        text = _SETEXT.sub(lambda m: f"# {m[1]}", text) if "\n" in text else text
-        text = _MD_REF.sub("", text)
+        if "\\" in text:
+            text = self.replace("latex", _SECTION, lambda m: f"\n{_HEADING_MARK}{m[1] or m[2]}\n", text)
+            text = self.replace("latex", _ENVIRONMENT, "\n", text)
+            text = self.replace("latex", _LATEX_ITEM, f"\n{_ITEM_MARK}", text)
+        if "\n" in text:
+            text = self.replace("markdown", _SETEXT, lambda m: f"{_HEADING_MARK}{m[1]}", text)
+        if "]:" in text:
+            text = self.replace("markdown", _MD_REF, "", text)
         block: list[str] = []
+        rows = numbers = 0
 
         def close() -> None:
             if block:
-                self.add("paragraph", " ".join(block), parent)
+                self.add("paragraph", "\n".join(block), parent)
                 block.clear()
 
         for line in text.split("\n"):
@@ -279,21 +282,34 @@ class _Parser:
                 kind, content = self.kept[int(guarded[1])]
                 Node(kind, parent, content.strip("\n"))
                 continue
-            heading = _HEADING.match(line) or _WIKI_HEADING.match(line)
-            if heading:
+            heading, wiki = _HEADING.match(line), _WIKI_HEADING.match(line)
+            if bare[0] in (_HEADING_MARK, _ITEM_MARK):
+                close()
+                self.add("heading" if bare[0] == _HEADING_MARK else "item", bare[1:], parent)
+            elif heading or wiki:
                 close()
-                self.add("heading", heading[2], parent)
-            elif _RULE.match(line) or _WIKI_TABLE.match(line):
+                self.kinds.add("markdown" if heading else "wiki")
+                self.add("heading", (heading or wiki)[2], parent)
+            elif (rule := _RULE.match(line)) or _WIKI_TABLE.match(line):
                 close()
+                self.kinds.add("markdown" if rule else "wiki")
             elif _ROW.match(line):
                 close()
+                rows += 1
                 self.add("row", " | ".join(c.strip() for c in bare.strip("|").split("|")), parent)
-            elif _ITEM.match(line) or _NUMBERED.match(line):
+            elif (item := _ITEM.match(line)) or _NUMBERED.match(line):
                 close()
+                numbers += not item
+                if item:
+                    self.kinds.add("markdown")
                 self.add("item", _NUMBERED.sub("", _ITEM.sub("", line)), parent)
             else:
+                if _QUOTE.match(line):
+                    self.kinds.add("markdown")
                 block.append(_QUOTE.sub("", line).strip())
         close()
+        if rows > 1 or numbers > 1:
+            self.kinds.add("markdown")
 
     def add(self, kind: str, text: str, parent: Node) -> None:
         text = self.inline(text)
@@ -309,16 +325,23 @@ class _Parser:
 
     def inline(self, text: str) -> str:
         link = lambda s: f"{_LINK_ON}{s}{_LINK_OFF}"
-        text = _TEMPLATE.sub("", text)
-        text = _WIKI_LINK.sub(lambda m: "" if re.match(r"(?i)\s*(category|file|image)\s*:", m[1]) else link(m[2] or m[1]), text)
-        text = _WIKI_URL.sub(lambda m: link(m[1] or ""), text)
-        text = _MD_LINK.sub(lambda m: link(m[1]), text)
-        text = _QUOTES.sub(lambda m: f'"{m[1]}"', text)
-        text = _WIKI_QUOTES.sub(lambda m: m[1], text)
-        text = _BOLD.sub(lambda m: m[1] or m[2], text)
-        text = _ITALIC.sub(lambda m: m[1] or m[2], text)
-        text = _STRIKE.sub(lambda m: m[1], text)
+        if "{{" in text:
+            text = self.replace("wiki", _TEMPLATE, "", text)
+        if "[" in text:
+            text = self.replace("wiki", _WIKI_LINK, lambda m: "" if re.match(r"(?i)\s*(category|file|image)\s*:", m[1]) else link(m[2] or m[1]), text)
+            text = self.replace("wiki", _WIKI_URL, lambda m: link(m[1] or ""), text)
+            text = self.replace("markdown", _MD_LINK, lambda m: link(m[1]), text)
+        if "''" in text:
+            text = self.replace("latex", _QUOTES, lambda m: f'"{m[1]}"', text)
+            text = self.replace("wiki", _WIKI_QUOTES, lambda m: m[1], text)
+        if "*" in text or "_" in text:
+            text = self.replace("markdown", _BOLD, lambda m: m[1] or m[2], text)
+            text = self.replace("markdown", _ITALIC, lambda m: m[1] or m[2], text)
+        if "~~" in text:
+            text = self.replace("markdown", _STRIKE, lambda m: m[1], text)
         if "\\" in text:
+            if _COMMAND.search(text):
+                self.kinds.add("latex")
             text = _latex_inline(text)
         return _GUARDED.sub(lambda m: self.guarded(int(m[1])), text)
 
@@ -404,11 +427,14 @@ def _write(node: Node, out: list[str]) -> None:
         _write(child, out)
 
 
-def clean_text(text: str | None) -> str | None:
-    """The text without markup, its structure kept; null stays null, text without markup stays as it is."""
-    if not markup_kinds(text):
-        return text
-    root = _Parser(text).root
+def clean(text: str | None) -> tuple[str | None, list[str]]:
+    """(the text without markup, its structure kept; the notations found, sorted). Null stays null, text without markup stays as it is."""
+    if not text:
+        return text, []
+    parsed = _Parser(text)
+    if not parsed.kinds:
+        return text, []
+    root = parsed.root
     _score(root)
     best = _best(root)
     # from the best container upwards, siblings with points, prose or structure stay
@@ -421,32 +447,37 @@ def clean_text(text: str | None) -> str | None:
         best = parent
     out: list[str] = []
     _write(best, out)
-    return "\n".join(out)
+    return "\n".join(out), sorted(parsed.kinds)
 
 
-def _clean_rows(keys: list[str]):
-    def run(batches):
-        for pdf in batches:
-            kinds = pdf["value"].map(markup_kinds)
-            cleaned = [clean_text(v) if k else v for v, k in zip(pdf["value"], kinds)]
-            yield pdf[keys].assign(clean=cleaned, kinds=list(kinds))
+def clean_text(text: str | None) -> str | None:
+    return clean(text)[0]
+
+
+def markup_kinds(text: str | None) -> list[str]:
+    return clean(text)[1]
+
 
-    return run
+@F.pandas_udf(StructType([StructField("clean", StringType()), StructField("kinds", ArrayType(StringType()))]))
+def _clean(values: pd.Series) -> pd.DataFrame:
+    read = [clean(v) for v in values]
+    return pd.DataFrame({"clean": [c for c, _ in read], "kinds": [k for _, k in read]})
 
 
 def clean_values(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """keys + (clean, kinds): texts without markup and the notations found in them.
 
     kinds is empty for text without markup, which keeps its form; null and empty
-    texts stay as they are. Texts that hold no character of any markup never leave
-    the JVM. Repeated keys and extra columns do no harm.
+    texts stay as they are. The table is read once, and texts that hold no character
+    of any markup never leave the JVM. Repeated keys and extra columns do no harm.
     """
-    maybe = F.coalesce(F.col("value").rlike(MAYBE), F.lit(False))
-    src = df.select(*keys, F.col(value).alias("value"))
-    types = ", ".join(f"{k} {src.schema[k].dataType.simpleString()}" for k in keys)
-    plain = src.where(~maybe).select(*keys, F.col("value").alias("clean"), F.array().cast("array<string>").alias("kinds"))
-    rest = spread(src.where(maybe), *keys).mapInPandas(_clean_rows(keys), f"{types}, clean string, kinds array<string>")
-    return plain.unionByName(rest)
+    maybe = F.coalesce(F.col("_value").rlike(MAYBE), F.lit(False))
+    src = spread(df.select(*keys, F.col(value).alias("_value")), *keys)
+    read = src.withColumn("_maybe", maybe).withColumn("_read", _clean(F.when(F.col("_maybe"), F.col("_value"))))
+    return read.select(
+        *keys, F.when(F.col("_maybe"), F.col("_read.clean")).otherwise(F.col("_value")).alias("clean"),
+        F.when(F.col("_maybe"), F.col("_read.kinds")).otherwise(F.array().cast("array<string>")).alias("kinds"),
+    )
 
 
 def paper_fields(papers: DataFrame) -> DataFrame:
