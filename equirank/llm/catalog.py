@@ -229,6 +229,8 @@ l AS (SELECT doc_id, item_id, count(*) AS c FROM d JOIN e USING (g) GROUP BY 1,
 """
 ORACLE["p7_found"] = _P7 + "SELECT doc_id, item_id FROM l JOIN n USING (item_id) WHERE c >= 0.4 * n"
 ORACLE["p7_leaks"] = _P7 + "SELECT doc_id, item_id, c::DOUBLE / n AS containment FROM l JOIN n USING (item_id) WHERE c >= 0.4 * n"
+ORACLE["p7_items"] = _P7 + """, k AS (SELECT item_id, count(*) AS n_docs, max(c::DOUBLE / n) AS most FROM l JOIN n USING (item_id) WHERE c >= 0.4 * n GROUP BY 1)
+SELECT item_id, category, coalesce(n_docs, 0) AS n_docs, coalesce(most, 0.0)::DOUBLE AS most FROM eval_items LEFT JOIN k USING (item_id)"""
 
 
 # 8. mix of sources

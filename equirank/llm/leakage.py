@@ -8,9 +8,14 @@ h = t q in all, K functions miss the passage with a chance of at most
 exp(-K t q / (u + q)). K follows from that for each partition. Passages whose
 minima match are verified by their exact shingle containment in the document.
 
-Passages are the query side: they are taken in blocks of at most `block` items
-and each block goes to all tasks, with a check of its size; the documents are
-read once per block and never shuffled.
+Passages fall into partitions by size too: K depends on a partition of documents
+and one of passages, never on a short passage elsewhere. Passages so short that
+they would need more than MOST_FUNCTIONS are found by a lookup of each of their
+shingles, with the same exact verification.
+
+Passages are the query side: they are taken in blocks of bounded size (minima and
+shingles together), each block goes to all tasks, and the documents are read once
+per block and never shuffled.
 """
 
 from __future__ import annotations
@@ -24,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, mix, shingles, spread, words
 
-#: Items whose shingles and minima are held by a task at once, and the most words they may have together.
-BLOCK_ITEMS, BLOCK_WORDS = 5_000, 2_000_000
+#: Minima and shingles of passages that a task holds at once; a passage with more is a block of its own.
+BLOCK_ENTRIES = 4_000_000
+#: Most MinHash functions; passages that would need more are looked up by their shingles.
+MOST_FUNCTIONS = 640
 #: Shingles of the largest partition; the work on a document grows with its length, not with the square of it.
 SEGMENT = 512
 
@@ -56,58 +63,86 @@ def _minima(parts: list[np.ndarray], count: int) -> np.ndarray:
     return out
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+class _Index:
+    """Sorted 64-bit keys with their owners, behind a table of bits that tells most absent keys at once."""
+
+    def __init__(self, keys: np.ndarray, owners: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owners = keys[order], owners[order]
+        self.shift = np.uint64(64 - max(16, (8 * len(keys)).bit_length()))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.seen[self._slot(keys)] = True
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def hits(self, probe: np.ndarray):
+        """(position in `probe`, owners) of each key that is there."""
+        maybe = np.flatnonzero(self.seen[self._slot(probe)])
+        left, right = np.searchsorted(self.keys, probe[maybe], "left"), np.searchsorted(self.keys, probe[maybe], "right")
+        for i in np.flatnonzero(right > left):
+            yield maybe[i], self.owners[left[i] : right[i]]
+
+
+def size_level(n: int) -> int:
+    """The partition of sets of n shingles: n lies above 2^(level - 1) and up to 2^level."""
+    return (n - 1).bit_length()
+
+
+def entries_of(n: int, share: float, miss: float) -> int:
+    """Minima and shingles that a passage of n shingles takes up at most."""
+    need = functions_needed(SEGMENT, n, share, miss)
+    return n + (need if need <= MOST_FUNCTIONS else 0)
 
 
 def _search(items: list[tuple[int, np.ndarray]], width: int, share: float, miss: float):
-    shortest = min(len(s) for _, s in items)
+    ids, sets = np.array([i for i, _ in items]), [s for _, s in items]
+    lengths = np.array([len(s) for s in sets])
+    groups: dict[int, list[int]] = {}
+    for i, n in enumerate(lengths):
+        groups.setdefault(size_level(int(n)), []).append(i)
+    shortest = {g: int(lengths[rows].min()) for g, rows in groups.items()}
+    looked_up = [i for g, rows in groups.items() if functions_needed(SEGMENT, shortest[g], share, miss) > MOST_FUNCTIONS for i in rows]
+    sketched = {g: np.array(rows) for g, rows in groups.items() if rows[0] not in set(looked_up)}
 
     def run(batches):
         hashes = WordHashes()
-        ids = np.array([i for i, _ in items])
-        sets = [s for _, s in items]
-        all_shingles = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.argsort(all_shingles, kind="stable")
-        all_shingles, owner = all_shingles[order], owner[order]
-        lengths = np.array([len(s) for s in sets])
-        known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-        def index(count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            if count not in known:
-                sketch = _minima(sets, count)
-                key = (np.arange(count, dtype=np.uint64)[None, :] << np.uint64(32)) | sketch
-                who = np.broadcast_to(np.arange(len(sets))[:, None], key.shape)
-                o = np.argsort(key.ravel(), kind="stable")
-                seen = np.zeros(1 << 22, dtype=bool)
-                seen[_slot(key.ravel())] = True
-                known[count] = key.ravel()[o], who.ravel()[o], seen
-            return known[count]
+        owner = np.repeat(np.arange(len(sets)), lengths)
+        whole = _Index(np.concatenate(sets), owner)
+        short = _Index(np.concatenate([sets[i] for i in looked_up]), np.repeat(looked_up, lengths[looked_up])) if looked_up else None
+        known: dict[tuple[int, int], _Index] = {}
+
+        def index(group: int, count: int) -> _Index:
+            if (group, count) not in known:
+                rows = sketched[group]
+                key = (np.arange(count, dtype=np.uint64)[None, :] << np.uint64(32)) | _minima([sets[i] for i in rows], count)
+                known[group, count] = _Index(key.ravel(), np.repeat(rows, count))
+            return known[group, count]
 
         for pdf in batches:
             docs, found = pdf["doc_id"].to_numpy(), []
             held = [shingles(hashes(words(t)), width) for t in pdf["text"]]
             parts = [(d, s[a : a + SEGMENT]) for d, s in enumerate(held) for a in range(0, len(s), SEGMENT)]
-            level = np.array([(len(s) - 1).bit_length() for _, s in parts], dtype=int)
+            level = np.array([size_level(len(s)) for _, s in parts], dtype=int)
             matched: dict[int, set[int]] = {}
-            for n in np.unique(level):
-                count = functions_needed(1 << int(n), shortest, share, miss)
-                keys, who, seen = index(count)
+            for n in np.unique(level) if sketched else ():
+                counts = {g: functions_needed(1 << int(n), shortest[g], share, miss) for g in sketched}
+                most = max(counts.values())
                 rows = np.flatnonzero(level == n)
-                step = max(1, 1_000_000 // count)
+                step = max(1, 1_000_000 // most)
                 for lo in range(0, len(rows), step):
                     part = rows[lo : lo + step]
-                    sketch = _minima([parts[r][1] for r in part], count)
-                    probe = ((np.arange(count, dtype=np.uint64)[None, :] << np.uint64(32)) | sketch).ravel()
-                    maybe = np.flatnonzero(seen[_slot(probe)])  # most minima occur in no passage
-                    left, right = np.searchsorted(keys, probe[maybe], "left"), np.searchsorted(keys, probe[maybe], "right")
-                    for i in np.flatnonzero(right > left):
-                        matched.setdefault(parts[part[maybe[i] // count]][0], set()).update(who[left[i] : right[i]].tolist())
+                    probe = (np.arange(most, dtype=np.uint64)[None, :] << np.uint64(32)) | _minima([parts[r][1] for r in part], most)
+                    for g, count in counts.items():
+                        for at, who in index(g, count).hits(probe[:, :count].ravel()):
+                            matched.setdefault(parts[part[at // count]][0], set()).update(who.tolist())
+            if short and parts:
+                ends = np.cumsum([len(s) for s in held])
+                for at, who in short.hits(np.concatenate(held)):
+                    matched.setdefault(int(np.searchsorted(ends, at, "right")), set()).update(who.tolist())
             for d, candidates in matched.items():
                 # exact containment: the document's shingles among those of the candidates
-                a, b = np.searchsorted(all_shingles, held[d], "left"), np.searchsorted(all_shingles, held[d], "right")
-                hit = [owner[x:y] for x, y in zip(a, b) if y > x]
+                hit = [who for _, who in whole.hits(held[d])]
                 if hit:
                     common = np.bincount(np.concatenate(hit), minlength=len(sets))
                     found += [(docs[d], ids[i], int(common[i]), int(lengths[i])) for i in sorted(candidates) if common[i] >= share * lengths[i] - 1e-9]
@@ -142,10 +177,11 @@ def leaked_items(docs: DataFrame, items: DataFrame, *, width: int = 5, share: fl
         s = shingles(h, width)
         if not len(s):
             continue
-        if len(block) >= BLOCK_ITEMS or total + len(h) > BLOCK_WORDS and block:
+        more = entries_of(len(s), share, miss)
+        if block and total + more > BLOCK_ENTRIES:
             out, block, total = search(block), [], 0
         block.append((r["item_id"], s))
-        total += len(h)
+        total += more
     if block:
         out = search(block)
     if out is None:

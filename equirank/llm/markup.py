@@ -46,7 +46,7 @@ _COMMENT = re.compile(r"<!--.*?-->|<!DOCTYPE[^>]*>|<!\[CDATA\[|\]\]>", re.S | re
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _MATH = re.compile(r"\$\$(.+?)\$\$|(?<![\\$])\$(?![\s$])((?:[^$\n]|\n(?![ \t]*\n))*?[^\s$\\])\$(?![$\d])", re.S)
 _DISPLAY = re.compile(r"\\\[(.+?)\\\]|\\\((.+?)\\\)|\\begin\{(equation|align|math|displaymath|gather|eqnarray)(\*?)\}(.+?)\\end\{\3\4\}", re.S)
-_FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n]*\n(.*?)(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
+_FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n]*\n(.*?)(?:^[ \t]*\1(?:[ \t]*$|[ \t]+(?=\S))|\Z)", re.S | re.M)
 _TICKS = re.compile(r"(?<!`)`(?!`)([^`\n]+)`(?!`)")
 _LATEX_CODE = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\}(?:\[[^\]]*\])?(?:\{[^}]*\})?(.*?)\\end\{\1\}", re.S)
 _COMMAND = re.compile(r"\\[A-Za-z]+\*?|\\[\"'`^~=.](?:\{?\\?[A-Za-z]|\{\})|\\[%&_#$\[\](){},;!\\]")

@@ -272,11 +272,32 @@ def test_leakage_edges(spark, monkeypatch):
     items = spark.createDataFrame([(1, passage, "q"), (2, None, "q"), (3, "too short", "q"), (4, "seventeen other words that never occur in any of the documents above are listed here", "q"), (5, passage, "q")], "item_id int, passage string, query string")
     want = [(1, 1), (1, 5), (2, 1), (2, 5), (6, 1), (6, 5), (7, 1), (7, 5)]
     assert rows(leakage.leaked_items(df, items).select("doc_id", "item_id")) == want
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 1)
+    monkeypatch.setattr(leakage, "BLOCK_ENTRIES", 1)
     assert rows(leakage.leaked_items(df, items).select("doc_id", "item_id")) == want
     assert leakage.leaked_items(df.limit(0), items).count() == 0 == leakage.leaked_items(df, items.limit(0)).count()
 
 
+def test_passages_of_all_sizes_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    passages = [" ".join(rng.choice(vocabulary, n)) for n in (5, 6, 9, 20, 33, 36, 40, 60, 64, 70, 130, 200, 300, 700, 1500) for _ in range(4)]
+    docs = []
+    for i in range(300):
+        p = passages[int(rng.integers(len(passages)))].split()
+        at, n = int(rng.integers(len(p))), max(5, int(len(p) * rng.uniform(0.3, 1)))
+        docs.append((i, " ".join([*rng.choice(vocabulary, int(rng.integers(0, 1500))), *p[at : at + n], *rng.choice(vocabulary, 40)])))
+    runs = lambda t: {tuple(w[j : j + 5]) for w in [t.split()] for j in range(len(w) - 4)}
+    want = {(d, i) for d, t in docs for s in [runs(t)] for i, p in enumerate(passages) if len(runs(p) & s) >= 0.4 * len(runs(p))}
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id int, passage string")
+    got = {tuple(r) for r in leakage.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), items).select("doc_id", "item_id").collect()}
+    assert got == want and len(want) > 80
+
+
+def test_a_short_passage_costs_the_others_nothing():
+    assert leakage.entries_of(1, 0.4, 1e-6) == 1 and leakage.entries_of(150, 0.4, 1e-6) < 320
+    assert leakage.functions_needed(leakage.SEGMENT, 33, 0.4, 1e-6) <= leakage.MOST_FUNCTIONS
+
+
 def test_enough_functions():
     for upper in (64, 512, 4096):
         n = leakage.functions_needed(upper, 60, 0.4, 1e-6)

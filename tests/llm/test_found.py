@@ -92,6 +92,32 @@ def test_markup_to_text():
     assert len(markup.clean_text(long)) > 290_000
 
 
+#: Structure as it is planted in the raw texts, and how it must read in the clean ones.
+STRUCTURE = {
+    "heading": (r"(?m)^(?:#{1,6}|={1,6}) *([^\n=<`$*_\[{\\]+?) *=*$|<h[1-6]>([^<\n`$*_\[{\\&]+)</h[1-6]>|\\(?:sub)*section\*?\{([^{}\n`$*_\[\\]+)\}", "# {}"),
+    "item": (r"(?m)^[-*+] +([^\n<`$*_\[{\\&]+)$|<li>([^<\n`$*_\[{\\&]+)</li>|\\item +([^\n\\`$*_\[{<&]+)", "- {}"),
+    "code": (r"(?<!`)`([^`\n]+)`(?!`)|<code>([^<\n&]+)</code>", "`{}`"),
+    "block of code": (r"(?ms)^```[^\n]*\n([^`]+?)\n```", "```\n{}\n```"),
+    "formula": (r"\$\$(.+?)\$\$|\\\[([^$]+?)\\\]", "$${}$$"),
+    "inline formula": (r"(?<![\w$\\])\$(\\[a-z]+[^$\n]*)\$(?![\w$])", "${}$"),
+}
+
+
+def test_structure_of_planted_markup_is_kept(spark):
+    df = common.read(spark, "/root/testdata/sf0.1", "fairsearch_arxiv").select("title", "abstract")
+    texts = {v for r in df.collect() for v in r if v}
+    seen, lost = dict.fromkeys(STRUCTURE, 0), []
+    for text in texts:
+        clean, kinds = markup.clean(text)
+        for what, (pattern, form) in STRUCTURE.items():
+            for found in re.findall(pattern, text) if kinds else ():
+                inner = next(x for x in found if x) if isinstance(found, tuple) else found
+                seen[what] += 1
+                if form.format(" ".join(inner.split()) if what in ("heading", "item") else inner.strip()) not in clean:
+                    lost.append((what, inner, text, clean))
+    assert all(n >= 10 for n in seen.values()) and not lost, (seen, lost[:2])
+
+
 def test_look_alikes():
     same = {
         "Сokvоsvrer": "Cokvosvrer", "Ｌａｂ ｆｏｒ": "Lab for", "Norkolﬁ": "Norkolfi", "été": "été", "a​b­c": "abc", "x y　z": "x y z",
