@@ -186,15 +186,63 @@ def test_automaton_by_brute_force():
 
     rng = np.random.default_rng(2)
     entries = {"".join(rng.choice(list("abc"), int(rng.integers(1, 8)))) for _ in range(120)}
-    trie = canonical.CharTrie()
-    for e in entries:
-        trie.add(e, e)
+    trie = canonical.Trie({e: (e,) for e in entries})
     for _ in range(150):
         q = "".join(rng.choice(list("abc"), int(rng.integers(0, 8))))
         for bound in (0, 1, 2, 3):
             assert dict((v, d) for d, v in trie.search(q, bound)) == {e: distance(q, e) for e in entries if distance(q, e) <= bound}
 
 
+def distances(word, matrix, lengths):
+    """Edit distances with transpositions of one word to rows of padded character codes."""
+    n, m = matrix.shape
+    d = [[np.full(n, i + j) for j in range(m + 1)] for i in range(len(word) + 1)]
+    for i in range(1, len(word) + 1):
+        for j in range(1, m + 1):
+            best = np.minimum(np.minimum(d[i - 1][j], d[i][j - 1]) + 1, d[i - 1][j - 1] + (matrix[:, j - 1] != ord(word[i - 1])))
+            if i > 1 and j > 1:
+                swapped = (matrix[:, j - 2] == ord(word[i - 1])) & (matrix[:, j - 1] == ord(word[i - 2]))
+                best = np.where(swapped, np.minimum(best, d[i - 2][j - 2] + 1), best)
+            d[i][j] = best
+    return np.stack(d[-1])[lengths, np.arange(n)]
+
+
+def test_a_hundred_thousand_entries(spark):
+    import time
+
+    rng = np.random.default_rng(12)
+    cities = sorted({"".join(rng.choice(list("abdeiklmnorstu"), int(rng.integers(7, 10)))) for _ in range(100_000)})
+    entries = [{"ref_id": i, "canonical_name": f"University of {c.title()}", "acronym": None, "local_name": None, "city": c.title()} for i, c in enumerate(cities)]
+    start = time.time()
+    index = canonical.Index(entries)
+    assert time.time() - start < 60 and len(entries) > 99_000
+    matrix = np.array([[ord(x) for x in c.ljust(9, "\0")] for c in cities])
+    lengths = np.array([len(c) for c in cities])
+    for i in range(25):
+        w = list(cities[int(rng.integers(len(cities)))])
+        for _ in range(i % 3):
+            w[int(rng.integers(len(w)))] = str(rng.choice(list("abdeiklmnorstuxyz")))
+        typed = "".join(w)
+        far = distances(typed, matrix, lengths)
+        ref, distance, tied, candidates = index.match(f"Dept. of Physics, Univ. of {typed.upper()}, Building 7")
+        assert set(candidates) == set(np.flatnonzero(far <= 2)) and len(candidates) == len(set(candidates))
+        if candidates:
+            nearest = np.flatnonzero(far == far.min())
+            assert (ref, distance, tied) == (nearest[0], far.min(), len(nearest) > 1)
+        else:
+            assert (ref, tied) == (-1, False)
+
+
+def test_ties_segments_and_spelling(spark, names):
+    rows_ = [(1, "institution", "Aster College", None, None, None, None), (2, "institution", "Astor College", None, None, None, None), (3, "institution", "A B C D E F", None, None, None, None), (4, "institution", "Nordkap Hochschule", None, None, None, None)]
+    known = spark.createDataFrame(rows_, NAMES)
+    typed = spark.createDataFrame([(1, "Astir College"), (2, "Aster Colege"), (3, "A, B; C | D (E) F"), (4, "Nordkap HS"), (5, "A, B; C | D (E)")], "row_id long, value string")
+    run = lambda **x: {r["row_id"]: (r["ref_id"], r["tied"], r["candidates"]) for r in canonical.map_to_canonical(typed, known, key="row_id", field="value", kind="institution", **x).collect()}
+    assert run() == {1: (1, True, [1, 2]), 2: (1, False, [1, 2]), 3: (3, False, [3]), 4: (-1, False, []), 5: (-1, False, [])}
+    german = canonical.Spelling(abbreviations={"hs": "hochschule"}, noise=())
+    assert run(spelling=german)[4] == (4, False, [4])
+
+
 # 4
 
 
