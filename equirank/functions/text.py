@@ -131,6 +131,26 @@ def judge_request(query: Column, papers: Column, abstract_chars: int = 800) -> C
     return F.concat(F.lit("Query: "), query, F.lit("\n\nPapers to judge:\n"), F.array_join(lines, "\n"))
 
 
-def stance_request(query: Column, titles: Column) -> Column:
-    """The list of papers of a query, to be labeled with stances by a model."""
-    return F.concat(F.lit("Query:\n"), query, F.lit("\n\nPapers:\n"), F.array_join(F.transform(titles, lambda t: F.concat(F.lit("- "), t)), "\n"))
+#: What a model is asked for; the names of the stances and fields are those that stance_answers() and summary_answers() read.
+STANCE_TASK = (
+    "State for each paper whether it supports the accepted position (PRO-CONSENSUS), challenges it (DISSENTING) or takes no clear side (NEUTRAL).\n"
+    'Answer in JSON only, one entry per paper: [{"title": "...", "stance": "PRO-CONSENSUS"}]'
+)
+SUMMARY_TASK = (
+    "State which share of the summary supports the accepted position and which share challenges it.\n"
+    'Answer in JSON only: {"pro_consensus_ratio": 0.0, "dissenting_ratio": 0.0}'
+)
+
+
+def stance_request(query: Column, papers: Column, task: str = STANCE_TASK) -> Column:
+    """The query, the task and the numbered papers of an array of (rank, title, abstract): the text sent to a model that labels stances."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    each = F.transform(
+        F.array_sort(papers), lambda p, i: F.concat(F.lit("\nPaper "), (i + 1).cast("string"), F.lit("\n"), blank(p["title"]), F.lit("\n"), blank(p["abstract"]), F.lit("\n"))
+    )
+    return F.concat(F.lit("Query:\n"), query, F.lit(f"\n\n{task}\n"), F.array_join(each, ""))
+
+
+def summary_request(query: Column, summary: Column, task: str = SUMMARY_TASK) -> Column:
+    """The query, a generated summary and the task: the text sent to a model that weighs the summary; a null summary is sent as empty."""
+    return F.concat(F.lit("Query:\n"), query, F.lit("\n\nSummary:\n"), F.coalesce(summary, F.lit("")), F.lit(f"\n\n{task}"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PRIV, UNDER = "privileged", "underrepresented"
@@ -16,6 +16,11 @@ def label_census(points: DataFrame, label: str = "label") -> DataFrame:
     return points.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
 
 
+def page_mix(run: DataFrame) -> DataFrame:
+    """(qid, label, n): the labels on each page of results; a hit without a label is unknown."""
+    return run.groupBy("qid", F.coalesce("label", F.lit("unknown")).alias("label")).agg(F.count("*").alias("n"))
+
+
 def corpus_base_rates(points: DataFrame) -> DataFrame:
     """(n_priv, n_under, priv_base_rate): counts of the labeled corpus, share of the privileged among them (null without any)."""
     n_priv, n_under = F.count_if(F.col("label") == PRIV), F.count_if(F.col("label") == UNDER)
@@ -79,24 +84,24 @@ def exposure_per_query(run: DataFrame) -> DataFrame:
 
 
 def exposure_summary(per_query: DataFrame, parity: DataFrame) -> DataFrame:
-    """Means of the rounded exposure and parity values."""
+    """Means of the rounded exposure and parity values; raises on a run without a query that has labeled hits."""
     joined = per_query.join(parity.select("qid", "priv_rate", "under_rate", "spd", "under_priv_ratio"), "qid")
     names = ("share_priv", "share_under", "exposure_difference", "exposure_ratio", "priv_rate", "under_rate", "spd", "under_priv_ratio")
-    return joined.agg(F.count("*").alias("n_queries"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in names])
+    n = F.when(F.count("*") == 0, F.raise_error(F.lit("no query has labeled hits")).cast("long")).otherwise(F.count("*"))
+    return joined.agg(n.alias("n_queries"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in names])
 
 
 def judged_with_run(qrels: DataFrame, run: DataFrame, labels: DataFrame) -> DataFrame:
-    """Judgments of queries that were run, with the current label of the paper (unknown without one) and whether it was retrieved."""
-    ran = run.select("qkey").distinct()
-    got = run.select("qkey", "doc_key").distinct().withColumn("retrieved", F.lit(1))
-    return (
-        qrels.join(ran, "qkey", "left_semi").join(labels.select("doc_key", F.col("label").alias("now")), "doc_key", "left").join(got, ["qkey", "doc_key"], "left")
-        .select("qkey", "doc_key", "relevance", F.coalesce("now", F.lit("unknown")).alias("label"), F.coalesce("retrieved", F.lit(0)).alias("retrieved"))
-    )
+    """All judgments, with the current label of the paper (unknown without one), whether it was retrieved, and whether its query was run."""
+    # the run enters once: the papers of each query as a set, which is bounded by the depth of the run
+    got = run.groupBy("qkey").agg(F.collect_set("doc_key").alias("got"))
+    held = qrels.join(labels.select("doc_key", F.col("label").alias("now")), "doc_key", "left").join(got, "qkey", "left")
+    retrieved = F.coalesce(F.array_contains("got", F.col("doc_key")), F.lit(False)).cast("int")
+    return held.select("qkey", "doc_key", "relevance", F.coalesce("now", F.lit("unknown")).alias("label"), retrieved.alias("retrieved"), F.col("got").isNotNull().alias("ran"))
 
 
 def confusion_rates(judged: DataFrame, cut: int = 2) -> DataFrame:
-    """(label, tpr, fpr, tp, fn, fp, tn) of the two groups; relevant means a grade of at least `cut`."""
+    """(label, tpr, fpr, tp, fn, fp, tn) of the two groups, from judgments of queries that were run; relevant means a grade of at least `cut`."""
     y, r = F.col("relevance") >= cut, F.col("retrieved") == 1
     counts = judged.where(is_labeled()).groupBy("label").agg(
         F.count_if(y & r).alias("tp"), F.count_if(y & ~r).alias("fn"), F.count_if(~y & r).alias("fp"), F.count_if(~y & ~r).alias("tn")
@@ -113,10 +118,16 @@ def equalized_odds(rates: DataFrame) -> DataFrame:
     return gaps.withColumn("eo_difference", F.greatest(F.abs("tpr_gap"), F.abs("fpr_gap")))
 
 
-def odds_counts(qrels: DataFrame, run: DataFrame, judged: DataFrame, cut: int = 2) -> DataFrame:
-    """(label, judged, relevant, retrieved) by group, with unlabeled judgments under unknown and queries that were not run counted."""
-    missing = qrels.select("qkey").distinct().join(run.select("qkey").distinct(), "qkey", "left_anti").agg(F.count("*").alias("skipped_queries"))
+def odds_counts(judged: DataFrame, cut: int = 2) -> DataFrame:
+    """(label, judged, relevant, retrieved, skipped_queries) by group over the queries that were run, unlabeled judgments under unknown.
+
+    skipped_queries, the judged queries that were not run, is the same in all rows.
+    Without a query that was run there are no rows.
+    """
     group = F.when(is_labeled(), F.col("label")).otherwise(F.lit("unknown"))
-    return judged.groupBy(group.alias("label")).agg(
-        F.count("*").alias("judged"), F.count_if(F.col("relevance") >= cut).alias("relevant"), F.count_if(F.col("retrieved") == 1).alias("retrieved")
-    ).withColumn("skipped_queries", missing.scalar())
+    rows = judged.groupBy(F.col("ran"), F.when(F.col("ran"), group).alias("label")).agg(
+        F.count("*").alias("judged"), F.count_if(F.col("relevance") >= cut).alias("relevant"), F.count_if(F.col("retrieved") == 1).alias("retrieved"),
+        F.countDistinct(F.when(~F.col("ran"), F.col("qkey"))).alias("n"),
+    )
+    skipped = F.coalesce(F.max(F.when(~F.col("ran"), F.col("n"))).over(Window.partitionBy()), F.lit(0))  # over at most four rows
+    return rows.withColumn("skipped_queries", skipped).where("ran").select("label", "judged", "relevant", "retrieved", "skipped_queries")

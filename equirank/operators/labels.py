@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,14 @@ def default_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, e) for t, names in R.TIERS.items() for e in names], "tier string, entry string")
 
 
+def few(names: DataFrame, most: int = 10_000) -> list[str]:
+    """A one-column table of look-alikes as a sorted list, for blank_look_alikes(); more than `most` are refused."""
+    rows = names.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} look-alikes")
+    return sorted(r[0] for r in rows)
+
+
 def is_institutional(name: Column, hosts: list[str] | None = None) -> Column:
     """The name holds none of the parts of names of places where papers are deposited; null for null."""
     low = F.lower(name)
@@ -89,14 +98,18 @@ def classify(papers: DataFrame, matched: DataFrame) -> DataFrame:
     return facts.select("paper_id", label.alias("label"), "trigger")
 
 
-
 def update_payload(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """Points with new institution_label and affiliations where a row of `labels` (paper_id, label, affiliations) has them; points without paper_id stay."""
+    """Points with the institution_label and affiliations of `labels` (paper_id, label, affiliations), written back in full.
+
+    A paper without a row there becomes unknown with no affiliations, so that no old
+    label stays; points without paper_id (null or empty) are left as they are.
+    """
     new = labels.select("paper_id", F.col("label").alias("new_label"), F.col("affiliations").alias("new_affiliations"))
+    named = F.coalesce(F.col("paper_id") != "", F.lit(False))
     return (
         points.join(new, "paper_id", "left")
-        .withColumn("institution_label", F.coalesce("new_label", "institution_label"))
-        .withColumn("affiliations", F.coalesce("new_affiliations", "affiliations", F.array().cast("array<string>")))
+        .withColumn("institution_label", F.when(named, F.coalesce("new_label", F.lit("unknown"))).otherwise(F.col("institution_label")))
+        .withColumn("affiliations", F.when(named, F.coalesce("new_affiliations", F.array().cast("array<string>"))).otherwise(F.col("affiliations")))
         .drop("new_label", "new_affiliations")
     )
 
@@ -138,32 +151,45 @@ def most_common(histogram: DataFrame, n: int = 40) -> DataFrame:
     return histogram.orderBy(F.desc(count), name).limit(n)
 
 
+def _letter_counts(texts: list[str], letters: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(texts), len(letters) + 1), dtype=np.uint8)
+    for row, text in zip(out, texts):
+        for c in text:
+            row[letters.get(c, -1)] = min(255, int(row[letters.get(c, -1)]) + 1)
+    return out
+
+
 def near_misses(histogram: DataFrame, rules: DataFrame, threshold: float = 0.75, min_length: int = 5) -> DataFrame:
     """(normalized, entry, ratio, n_mentions): names whose best sequence ratio to a rule entry reaches the threshold; ties keep the first entry by name.
 
-    The rules go to the tasks behind a check of their number; upper bounds on the
-    ratio by length and by common letters skip most comparisons.
+    The rules go to the tasks behind a check of their number. The letters that a name
+    has in common with an entry, wherever they stand, bound the ratio from above:
+    that bound is taken for all entries at once, and only entries that it lets
+    through are compared, the best bound first.
     """
     entries = sorted({r["entry"] for r in rules.select("entry").distinct().limit(MAX_RULES + 1).collect() if len(r["entry"]) >= min_length})
     if len(entries) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
 
     def best(batches):
+        letters = {c: i for i, c in enumerate(sorted(set("".join(entries))))}
+        # letters of no entry are counted last and never shared
+        counts, lengths = _letter_counts(entries, letters)[:, :-1], np.array([len(e) for e in entries])
         matcher = SequenceMatcher(None, autojunk=True)
         for pdf in batches:
             out = []
             for name, count in zip(pdf["normalized"], pdf["n_mentions"]):
+                bound = 2 * np.minimum(counts, _letter_counts([name], letters)[:, :-1]).sum(axis=1) / np.maximum(1, lengths + len(name))
                 top, entry = 0.0, None
-                for e in entries:
-                    if 2 * min(len(e), len(name)) < max(top, threshold) * (len(e) + len(name)):
-                        continue
-                    matcher.set_seqs(name, e)
-                    if matcher.quick_ratio() < max(top, threshold):
-                        continue
+                able = np.flatnonzero(bound >= threshold - 1e-9)
+                for i in able[np.argsort(-bound[able], kind="stable")]:
+                    if bound[i] < top - 1e-9:
+                        break
+                    matcher.set_seqs(name, entries[i])
                     ratio = matcher.ratio()
-                    if ratio > top:
-                        top, entry = ratio, e
-                if top >= threshold:
+                    if ratio > top or ratio == top and entries[i] < entry:
+                        top, entry = ratio, entries[i]
+                if entry is not None and top >= threshold:
                     out.append((name, entry, round(top, 6), count))
             yield pd.DataFrame(out, columns=["normalized", "entry", "ratio", "n_mentions"])
 

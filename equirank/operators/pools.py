@@ -8,13 +8,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pool_union(runs: list[DataFrame], k: int = 30) -> DataFrame:
-    """(qkey, doc_key, pos): the first k of each run in order of the runs, each paper at its first occurrence, numbered from 1."""
-    parts = [r.where(F.col("rank") <= k).select("qkey", "doc_key", F.lit(i).alias("run"), "rank") for i, r in enumerate(runs)]
-    first = reduce(DataFrame.unionByName, parts).groupBy("qkey", "doc_key").agg(F.min(F.struct("run", "rank")).alias("o"))
+def pool_of(ranked: DataFrame, k: int = 30) -> DataFrame:
+    """(qkey, doc_key, pos) of runs in one table (qkey, doc_key, run, rank): the first k of each run in order of the runs.
+
+    Each paper stands at its first occurrence, numbered from 1.
+    """
+    first = ranked.where(F.col("rank") <= k).groupBy("qkey", "doc_key").agg(F.min(F.struct("run", "rank")).alias("o"))
     return first.select("qkey", "doc_key", F.row_number().over(Window.partitionBy("qkey").orderBy("o.run", "o.rank", "doc_key")).alias("pos"))
 
 
+def pool_union(runs: list[DataFrame], k: int = 30) -> DataFrame:
+    """pool_of() of separate runs (qkey, doc_key, rank)."""
+    parts = [r.select("qkey", "doc_key", F.lit(i).alias("run"), "rank") for i, r in enumerate(runs)]
+    return pool_of(reduce(DataFrame.unionByName, parts), k)
+
+
 def unjudged(pool: DataFrame, cache: DataFrame) -> DataFrame:
     """Pool rows without a cached grade, by the pair of keys."""
     return pool.join(cache.select("qkey", "doc_key"), ["qkey", "doc_key"], "left_anti")

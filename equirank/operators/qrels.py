@@ -83,14 +83,20 @@ def auto_relevance(score: Column, overlap: Column, cuts: tuple[float, float, flo
 def auto_qrels(hits: DataFrame, payload: DataFrame, queries: DataFrame, cuts=(0.60, 0.50, 0.40), keep: int = 10) -> DataFrame:
     """(qkey, doc_key, rank, relevance, score, lexical_overlap): the first `keep` judged hits of each query, one per paper.
 
-    hits: (qkey, doc_key, score, rank); payload: (doc_key, title, abstract); queries: (qkey, query).
+    hits: (qkey, doc_key, score, rank); payload: (doc_key, title, abstract[, paper_id]); queries: (qkey, query).
+    With a paper_id in the payload a paper is told by it, or by its normalized title
+    where it is null or empty; hits with neither are skipped. Otherwise doc_key tells papers.
+    Hits without a grade do not stand in the way of a later one of the same paper.
     """
     blank = lambda c: F.coalesce(T.normalize_text(c), F.lit(""))
-    texts = hits.join(payload.select("doc_key", "title", "abstract"), "doc_key").join(queries.select("qkey", "query"), "qkey")
+    known = [c for c in ("paper_id",) if c in payload.columns]
+    texts = hits.join(payload.select("doc_key", "title", "abstract", *known), "doc_key").join(queries.select("qkey", "query"), "qkey")
+    paper = F.coalesce(F.nullif(F.col("paper_id"), F.lit("")), F.nullif(blank("title"), F.lit(""))) if known else F.col("doc_key")
     combined = T.strip(F.concat(blank("title"), F.lit(" "), blank("abstract")))
     overlap = T.overlap_ratio(T.tokenize("query"), T.tokenize(combined))
-    judged = texts.withColumn("lexical_overlap", overlap).withColumn("relevance", auto_relevance(F.col("score"), F.col("lexical_overlap"), cuts)).where("relevance is not null")
-    once = Window.partitionBy("qkey", "doc_key").orderBy("rank")
+    judged = texts.withColumn("lexical_overlap", overlap).withColumn("relevance", auto_relevance(F.col("score"), F.col("lexical_overlap"), cuts))
+    judged = judged.withColumn("paper", paper).where("relevance is not null and paper is not null")
+    once = Window.partitionBy("qkey", "paper").orderBy("rank")
     order = Window.partitionBy("qkey").orderBy("rank")
     return (
         judged.withColumn("o", F.row_number().over(once)).where("o = 1").withColumn("r", F.row_number().over(order)).where(F.col("r") <= keep)

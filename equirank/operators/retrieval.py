@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import usable
 
-#: Query vectors that go to the tasks at once (more queries are taken in further blocks), and scores held at once.
-QUERY_BLOCK, SCORES_AT_ONCE = 4_096, 4_000_000
+#: Bytes of query vectors and kept hits that a task holds at once (more queries are taken in further blocks), and scores held at once.
+QUERY_BYTES, HITS_HELD, SCORES_AT_ONCE = 32_000_000, 2_000_000, 4_000_000
 #: Scores are rounded to so many digits before ranking, so that ties do not depend on the order of summation.
 SCORE_DIGITS = 9
 
@@ -20,30 +20,51 @@ def _unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+class _Best:
+    """The k best (score, smaller id) per query among what was added, as long rows; compacted when they double."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.floor = k, np.full(queries, -np.inf)
+        self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """A matrix of scores, a row per id and a column per query."""
+        floor = self.floor
+        if len(ids) > self.k:
+            floor = np.maximum(floor, np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k])
+        at, q = np.nonzero(scores >= floor)
+        self.rows.append((q, ids[at], scores[at, q]))
+        self.held += len(q)
+        if self.held > max(2 * self.k * len(self.floor), 100_000):
+            self.compact()
+
+    def compact(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, ids, score = (np.concatenate(x) for x in zip(*self.rows)) if self.rows else (np.empty(0, int), np.empty(0, object), np.empty(0))
+        code = pd.factorize(ids, sort=True)[0]
+        order = np.lexsort((code, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        last = rank == self.k - 1
+        self.floor[q[last]] = score[last]
+        keep = rank < self.k
+        self.rows, self.held = [(q[keep], ids[keep], score[keep])], int(keep.sum())
+        return self.rows[0]
+
+
 def _score_batches(shared, k: int):
     """Per partition: the k + 1 best documents of each query (one may be excluded), kept over batches of bounded size."""
 
     def run(batches):
         qids, excluded, matrix = shared.value
         rows_at_once = max(1, SCORES_AT_ONCE // len(qids))
-        best, who = np.empty((0, len(qids))), np.empty((0, len(qids)), dtype=object)
+        best = _Best(len(qids), k + 1)
         for pdf in batches:
+            ids = pdf["doc_key"].to_numpy()
             for lo in range(0, len(pdf), rows_at_once):
-                part = pdf.iloc[lo : lo + rows_at_once]
-                ids = part["doc_key"].to_numpy()
-                scores = np.round(_unit(np.stack(part["v"].to_numpy())) @ matrix.T, SCORE_DIGITS)
-                by_id = np.argsort(ids, kind="stable")  # of equal scores the smaller id stays
-                scores, ids = scores[by_id], ids[by_id]
-                top = np.argsort(-scores, axis=0, kind="stable")[: k + 1]
-                best = np.concatenate([best, np.take_along_axis(scores, top, axis=0)])
-                who = np.concatenate([who, ids[top].astype(object)])
-                if len(best) > k + 1:
-                    _, order = np.unique(who, return_inverse=True)
-                    order = order.reshape(who.shape)
-                    keep = np.lexsort((order, -best), axis=0)[: k + 1]
-                    best, who = np.take_along_axis(best, keep, axis=0), np.take_along_axis(who, keep, axis=0)
-        q = np.broadcast_to(np.arange(len(qids)), best.shape).ravel()
-        d, score = who.ravel(), best.ravel()
+                v = _unit(np.stack(pdf["v"].iloc[lo : lo + rows_at_once].to_numpy()))
+                best.add(ids[lo : lo + rows_at_once], np.round(v @ matrix.T, SCORE_DIGITS))
+        q, d, score = best.compact()
         keep = np.array([excluded[a] is None or excluded[a] != b for a, b in zip(q, d)], dtype=bool)
         if keep.any():
             yield pd.DataFrame({"qid": qids[q[keep]], "doc_key": list(d[keep]), "score": score[keep]})
@@ -67,9 +88,11 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     spark, docs = corpus.sparkSession, corpus.where(usable(F.col("v"))).select("doc_key", "v")
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, doc_key {corpus.schema['doc_key'].dataType.simpleString()}, score double"
     out = spark.createDataFrame([], schema)
-    blocks = -(-asked.count() // (QUERY_BLOCK // 2))
+    facts = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("size")).first()
+    most = max(2, min(QUERY_BYTES // (8 * (facts["size"] or 1)), HITS_HELD // (k + 1)))
+    blocks = -(-facts["n"] // (most // 2))
     for b in range(blocks):
-        # a block is about half of QUERY_BLOCK, so that uneven hashing stays within it
+        # a block is about half of what is allowed, so that uneven hashing stays within it
         part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).orderBy("qid").toPandas()
         if len(part):
             excluded = [None if pd.isna(x) else x for x in part["exclude"]]

@@ -11,19 +11,24 @@ def graded(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return run.join(qrels.select("qkey", "doc_key", "relevance"), ["qkey", "doc_key"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
 
 
+def ideal(qrels: DataFrame, k: int = 10) -> DataFrame:
+    """(qkey, idcg): the gain of the best ranking of all judged papers of a query."""
+    best = Window.partitionBy("qkey").orderBy(F.desc("relevance"), "doc_key")
+    return qrels.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("qkey").agg(F.sum(F.col("relevance") / F.log2(F.col("r") + 1)).alias("idcg"))
+
+
 def ndcg_per_query(run: DataFrame, qrels: DataFrame, k: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
     """(qkey, dcg, idcg, ndcg): linear gain; the ideal ranks all judged papers; ndcg is null for an ideal of 0 and for queries with nothing retrieved.
 
     All judged queries appear.
     """
     dcg = graded(run.where(F.col("rank") <= k), qrels).groupBy(*keys, "qkey").agg(F.sum(F.col("relevance") / F.log2(F.col("rank") + 1)).alias("dcg"))
-    best = Window.partitionBy("qkey").orderBy(F.desc("relevance"), "doc_key")
-    ideal = qrels.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("qkey").agg(F.sum(F.col("relevance") / F.log2(F.col("r") + 1)).alias("idcg"))
+    best = ideal(qrels, k)
     if keys:
         arms = run.agg(F.collect_set(F.struct(*keys)).alias("arms")).scalar()  # the few arms of a sweep
-        ideal = ideal.withColumn("arm", F.explode(arms)).select(*[F.col(f"arm.{k}").alias(k) for k in keys], "qkey", "idcg")
+        best = best.withColumn("arm", F.explode(arms)).select(*[F.col(f"arm.{k}").alias(k) for k in keys], "qkey", "idcg")
     ndcg = F.when(F.col("idcg") > 0, F.try_divide(F.col("dcg"), F.col("idcg")))
-    return ideal.join(dcg, [*keys, "qkey"], "left").withColumn("ndcg", ndcg)
+    return best.join(dcg, [*keys, "qkey"], "left").withColumn("ndcg", ndcg)
 
 
 def reciprocal_rank(run: DataFrame, qrels: DataFrame, k: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:

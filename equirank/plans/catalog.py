@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import rules as R_
 from ..functions import text as T
 from ..operators import corpus as C
 from ..operators import fairness as P
 from ..operators import labels as L
+from ..operators import models as M
 from ..operators import pools as O
 from ..operators import qrels as Q
 from ..operators import retrieval as V
@@ -183,13 +185,30 @@ ag AS (SELECT a.lam, a.qkey, a.rank, q.relevance AS g, coalesce(q.relevance, 0)
 ad AS (
   SELECT lam, qkey, sum(relevance / log2(rank + 1)) AS dcg, coalesce(1 / min(rank) FILTER (WHERE relevance > 0), 0) AS rr FROM ag GROUP BY 1, 2),
 am AS (SELECT lam, round(avg(CASE WHEN idcg > 0 THEN dcg / idcg END), 4) AS mean_ndcg, round(avg(rr), 4) AS mrr FROM ad JOIN idcg USING (qkey) GROUP BY 1),
-ac AS (SELECT lam, round(count(g) / count(*), 4) AS coverage FROM ag GROUP BY 1)
+ac AS (SELECT lam, round(count(g) / count(*), 4) AS coverage FROM ag GROUP BY 1),
+er AS (
+  SELECT r.lam, l.label, q.relevance >= 2 AS y, a.doc_key IS NOT NULL AS got FROM (SELECT DISTINCT lam, qkey FROM arm) r JOIN qrels q USING (qkey)
+  JOIN labels l ON l.doc_key = q.doc_key LEFT JOIN arm a ON a.lam = r.lam AND a.qkey = r.qkey AND a.doc_key = q.doc_key),
+et AS (
+  SELECT lam, round(avg(CASE WHEN got THEN 1.0 ELSE 0 END) FILTER (WHERE y AND label = 'privileged'), 4) AS tpr_priv, round(avg(CASE WHEN got THEN 1.0 ELSE 0 END) FILTER (WHERE y AND label = 'underrepresented'), 4) AS tpr_under,
+    round(avg(CASE WHEN got THEN 1.0 ELSE 0 END) FILTER (WHERE NOT y AND label = 'privileged'), 4) AS fpr_priv, round(avg(CASE WHEN got THEN 1.0 ELSE 0 END) FILTER (WHERE NOT y AND label = 'underrepresented'), 4) AS fpr_under
+  FROM er GROUP BY 1)
 SELECT lam, round(hp / (b.n_priv * q), 6) AS priv_selection, round(hu / (b.n_under * q), 6) AS under_selection,
   round(hp / (b.n_priv * q) - hu / (b.n_under * q), 6) AS spd, round(CASE WHEN hu > 0 THEN (hp / (b.n_priv * q)) / (hu / (b.n_under * q)) END, 4) AS priv_under_ratio,
-  round(hp / n, 6) AS priv_share, coverage, mean_ndcg, mrr, lam >= 0.5 AS utility_trustworthy
-FROM pooled CROSS JOIN base b JOIN am USING (lam) JOIN ac USING (lam)""",
+  round(hp / n, 6) AS priv_share, tpr_priv, tpr_under, greatest(abs(round(tpr_priv - tpr_under, 4)), abs(round(fpr_priv - fpr_under, 4))) AS eo_difference,
+  coverage, CASE WHEN lam >= 0.5 THEN mean_ndcg END AS mean_ndcg, CASE WHEN lam >= 0.5 THEN mrr END AS mrr, lam >= 0.5 AS utility_trustworthy
+FROM pooled CROSS JOIN base b JOIN am USING (lam) JOIN ac USING (lam) JOIN et USING (lam)""",
 )
 
+
+@query
+def mmr_low_lambdas(spark: SparkSession, sf: str) -> DataFrame:
+    """Below the safe lambda utility is masked."""
+    return W.sweep(B.diverse_run(spark, sf, [0.2, 0.4, 0.5]), B.labels(spark, sf), B.qrels(spark, sf))
+
+
+ORACLE["mmr_low_lambdas"] = ORACLE["mmr_lambda_sweep"].replace("[0.5, 0.6, 0.7, 0.8, 0.9, 1.0]", "[0.2, 0.4, 0.5]")
+
 # fairness ---------------------------------------------------------------------
 
 
@@ -259,14 +278,13 @@ _oracle("exposure_summary", "SELECT count(*) AS n_queries, " + ", ".join(
 ) + " FROM exposure JOIN per_query USING (qid)")
 
 
-def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    run, rel = B.audit_run(spark, sf), B.qrels(spark, sf)
-    return rel, run, P.judged_with_run(rel, run, B.labels(spark, sf))
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    return P.judged_with_run(B.qrels(spark, sf), B.audit_run(spark, sf), B.labels(spark, sf))
 
 
 @query
 def confusion_rates(spark: SparkSession, sf: str) -> DataFrame:
-    return P.confusion_rates(_judged(spark, sf)[2])
+    return P.confusion_rates(_judged(spark, sf).where("ran"))
 
 
 _oracle("confusion_rates", "SELECT * FROM rated")
@@ -274,7 +292,7 @@ _oracle("confusion_rates", "SELECT * FROM rated")
 
 @query
 def equalized_odds(spark: SparkSession, sf: str) -> DataFrame:
-    return P.equalized_odds(P.confusion_rates(_judged(spark, sf)[2]))
+    return P.equalized_odds(P.confusion_rates(_judged(spark, sf).where("ran")))
 
 
 _oracle("equalized_odds", """,
@@ -286,7 +304,7 @@ SELECT *, round(tpr_priv - tpr_under, 4) AS tpr_gap, round(fpr_priv - fpr_under,
 
 @query
 def eo_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return P.odds_counts(*_judged(spark, sf))
+    return P.odds_counts(_judged(spark, sf))
 
 
 _oracle("eo_counts", """SELECT label, count(*) AS judged, count(*) FILTER (WHERE relevance >= 2) AS relevant, count(*) FILTER (WHERE retrieved = 1) AS retrieved,
@@ -380,6 +398,16 @@ def qrels_last_wins(spark: SparkSession, sf: str) -> DataFrame:
 _oracle("qrels_last_wins", "SELECT * FROM qrels")
 
 
+@query
+def live_doc_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The paper_id of a judged row, else its title, else when it was judged."""
+    rows = read(spark, sf, "qrels_flat").withColumn("at_us", F.unix_micros("judged_at"))
+    return rows.groupBy(Q.live_doc_key(["paper_id", "title", "at_us"]).alias("doc_key")).agg(F.count("*").alias("n"))
+
+
+ORACLE["live_doc_keys"] = "SELECT coalesce(paper_id, title, CAST(epoch_us(judged_at) AS VARCHAR)) AS doc_key, count(*) AS n FROM qrels_flat GROUP BY 1"
+
+
 @query
 def grade_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return O.grade_distribution(B.qrels(spark, sf))
@@ -425,9 +453,9 @@ _oracle("relevance_input", "SELECT qkey, string_agg(doc_key, ',' ORDER BY doc_ke
 
 
 def _pool(spark: SparkSession, sf: str) -> DataFrame:
-    base = B.run(spark, sf)
-    other = V.mmr(base, B.vectors(spark, sf), [0.5], B.POOL_K)
-    return O.pool_union([x.select(F.col("qid").alias("qkey"), "doc_key", "rank") for x in (base, other)], B.POOL_K)
+    # at lambda 1 the re-ranking is the plain order: both runs come from one search
+    both = V.mmr(B.run(spark, sf), B.vectors(spark, sf), [1.0, 0.5], B.POOL_K)
+    return O.pool_of(both.select(F.col("qid").alias("qkey"), "doc_key", (F.col("lam") < 1).cast("int").alias("run"), "rank"), B.POOL_K)
 
 
 @query
@@ -483,6 +511,15 @@ def auto_qrels(spark: SparkSession, sf: str) -> DataFrame:
     return Q.auto_qrels(hits, payload, queries, (0.60, 0.50, 0.40))
 
 
+@query
+def auto_qrels_by_title(spark: SparkSession, sf: str) -> DataFrame:
+    """Papers of an unknown year stand for points without paper_id, which their title tells apart."""
+    known = F.when(F.col("year") > 1900, F.col("paper_id"))
+    payload = B.papers(spark, sf, "title", "abstract", "year").select(F.col("paper_id").alias("doc_key"), "title", "abstract", known.alias("paper_id"))
+    hits = B.run(spark, sf).withColumnRenamed("qid", "qkey")
+    return Q.auto_qrels(hits, payload, hits.select("qkey", F.col("qkey").alias("query")).distinct(), (0.30, 0.25, 0.20))
+
+
 _TOKENS = r"list_distinct(list_filter(regexp_split_to_array(translate(lower({x}), ',.:;!?()[]{{}}\"''`/\\|-_', '                    '), '{ws}+'), lambda w: length(w) > 2))".replace(r"\\|", "\\|").replace(r'\"', '"')
 
 
@@ -500,6 +537,17 @@ j AS (SELECT *, CASE WHEN score >= 0.6 AND overlap >= 0.2 THEN 3 WHEN score >= 0
 r AS (SELECT *, row_number() OVER (PARTITION BY qkey ORDER BY rank) AS r FROM j WHERE relevance IS NOT NULL)
 SELECT qkey, doc_key, r AS rank, relevance, round(score, 4) AS score, round(overlap, 4) AS lexical_overlap FROM r WHERE r <= 10""")
 
+_oracle("auto_qrels_by_title", f""",
+t AS (
+  SELECT h.qkey, h.doc_key, h.score, h.rank, coalesce(CASE WHEN p.year > 1900 THEN p.paper_id END, nullif({_norm('p.title')}, '')) AS paper, {_tokens('h.qkey')} AS qt,
+    {_tokens("coalesce(p.title, '') || ' ' || coalesce(p.abstract, '')")} AS tt
+  FROM hits h JOIN papers p ON p.paper_id = h.doc_key),
+o AS (SELECT *, CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(qt, tt)) / len(qt) END AS overlap FROM t),
+j AS (SELECT *, CASE WHEN score >= 0.3 AND overlap >= 0.2 THEN 3 WHEN score >= 0.25 AND overlap >= 0.1 THEN 2 WHEN score >= 0.2 THEN 1 END AS relevance FROM o),
+u AS (SELECT *, row_number() OVER (PARTITION BY qkey, paper ORDER BY rank) AS n FROM j WHERE relevance IS NOT NULL AND paper IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY qkey ORDER BY rank) AS r FROM u WHERE n = 1)
+SELECT qkey, doc_key, r AS rank, relevance, round(score, 4) AS score, round(overlap, 4) AS lexical_overlap FROM r WHERE r <= 10""")
+
 # text -------------------------------------------------------------------------
 
 
@@ -513,7 +561,8 @@ ORACLE["normalize_text"] = f"SELECT id, epoch_us(ingested_at) AS at_us, {_norm('
 
 @query
 def tokenize(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(T.tokenize("text")), " ").alias("tokens"), F.size(T.tokenize("text")).alias("n"))
+    tokens = read(spark, sf, "documents").select("doc_id", T.tokenize("text").alias("t"))
+    return tokens.select("doc_id", F.array_join(F.array_sort("t"), " ").alias("tokens"), F.size("t").alias("n"))
 
 
 ORACLE["tokenize"] = f"SELECT doc_id, coalesce(list_aggregate(list_sort(t), 'string_agg', ' '), '') AS tokens, len(t) AS n FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)"
@@ -608,16 +657,48 @@ _oracle("judge_requests", r"""SELECT h.qkey AS qid, 'Query: ' || h.qkey || chr(1
   string_agg(chr(10) || '[' || rank || '] Title: ' || coalesce(p.title, '') || chr(10) || 'Abstract: ' || substring(coalesce(p.abstract, ''), 1, 800), chr(10) ORDER BY rank) AS request
 FROM hits h JOIN papers p ON p.paper_id = h.doc_key WHERE rank <= 10 GROUP BY 1""")
 
+
 @query
 def stance_requests(spark: SparkSession, sf: str) -> DataFrame:
-    titles = B.papers(spark, sf, "title").select(F.col("paper_id").alias("doc_key"), "title")
-    hits = B.run(spark, sf, B.TOP_K).join(titles, "doc_key").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("h"))
-    return hits.select("qid", T.stance_request(F.col("qid"), F.transform("h", lambda h: F.coalesce(h["title"], F.lit("")))).alias("request"))
+    payload = B.papers(spark, sf, "title", "abstract").withColumnRenamed("paper_id", "doc_key")
+    hits = B.run(spark, sf, B.TOP_K).join(payload, "doc_key")
+    return hits.groupBy("qid").agg(T.stance_request(F.col("qid"), F.collect_list(F.struct("rank", "title", "abstract"))).alias("request"))
+
 
+def _lines(text: str) -> str:
+    return " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in text.split("\n"))
 
-_oracle("stance_requests", r"""SELECT h.qkey AS qid, 'Query:' || chr(10) || h.qkey || chr(10) || chr(10) || 'Papers:' || chr(10) || string_agg('- ' || coalesce(p.title, ''), chr(10) ORDER BY rank) AS request
+
+_oracle("stance_requests", f"""SELECT h.qkey AS qid, 'Query:' || chr(10) || h.qkey || chr(10) || chr(10) || {_lines(T.STANCE_TASK)} || chr(10) ||
+  string_agg(chr(10) || 'Paper ' || rank || chr(10) || coalesce(p.title, '') || chr(10) || coalesce(p.abstract, '') || chr(10), '' ORDER BY rank) AS request
 FROM hits h JOIN papers p ON p.paper_id = h.doc_key WHERE rank <= 10 GROUP BY 1""")
 
+
+@query
+def summary_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Abstracts stand for generated summaries, titles for their queries."""
+    rows = read(spark, sf, "fairsearch_arxiv").where("title is not null")
+    return rows.select("vec_id", T.summary_request(F.col("title"), F.col("abstract")).alias("request"))
+
+
+ORACLE["summary_requests"] = f"""SELECT vec_id, 'Query:' || chr(10) || title || chr(10) || chr(10) || 'Summary:' || chr(10) || coalesce(abstract, '') || chr(10) || chr(10) || {_lines(T.SUMMARY_TASK)} AS request
+FROM fairsearch_arxiv WHERE title IS NOT NULL"""
+
+
+@query
+def summary_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of a chatty model made of the judgments, some with escapes that are no JSON, some without JSON."""
+    ratio = F.round(F.col("relevance") / 3, 2).cast("string")
+    answer = F.when(F.col("relevance") == 0, F.lit("I cannot tell.")).otherwise(
+        F.concat(F.lit("Sure:\n```json\n{\"note\": \"about $\\alpha$ and \\u12 it\\'s\", \"pro_consensus_ratio\": "), ratio, F.lit(", \"dissenting_ratio\": 0.25}\n``` as {asked}"))
+    )
+    rows = read(spark, sf, "qrels_flat").where("relevance is not null").select("query", F.unix_micros("judged_at").alias("at_us"), F.struct("query", "paper_id", F.unix_micros("judged_at").alias("at_us")).alias("id"), answer.alias("answer"))
+    return M.summary_answers(rows).select("id.*", "summary_pro_ratio", "summary_dissenting_ratio")
+
+
+ORACLE["summary_ratios"] = """SELECT query, paper_id, epoch_us(judged_at) AS at_us, round(relevance / 3, 2)::DOUBLE AS summary_pro_ratio, 0.25::DOUBLE AS summary_dissenting_ratio
+FROM qrels_flat WHERE relevance > 0"""
+
 # labels -----------------------------------------------------------------------
 
 #: The tier of the test rules: institutions of these countries.
@@ -629,9 +710,8 @@ def _rules(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     names = read(spark, sf, "canonical_values").where("kind = 'institution'")
     normal = L.normalized_names(names.select(F.col("canonical_name").alias("name"))).join(names.withColumnRenamed("canonical_name", "name"), "name")
     rules = normal.where(F.col("country").isin(*TIER_COUNTRIES)).select(F.col("country").alias("tier"), F.col("normalized").alias("entry"))
-    alike = [r["normalized"] for r in normal.where("normalized like 'city university of %'").select("normalized").orderBy("normalized").collect()]
-    keep = {r["entry"] for r in rules.collect()}
-    return rules, [a for a in alike if a not in keep]
+    alike = normal.where("normalized like 'city university of %'").select("normalized").distinct().join(rules.select(F.col("entry").alias("normalized")), "normalized", "left_anti")
+    return rules, L.few(alike)
 
 
 def _cache(spark: SparkSession, sf: str) -> DataFrame:
@@ -763,11 +843,48 @@ def payload_update(spark: SparkSession, sf: str) -> DataFrame:
     return L.update_payload(points, labels).withColumn("affiliations", F.array_join("affiliations", "|"))
 
 
-ORACLE["payload_update"] = _LABELS + """SELECT f.vec_id, f.paper_id, coalesce(c.label, f.institution_label) AS institution_label,
-  coalesce(list_aggregate(coalesce(a.affiliations, f.affiliations, []), 'string_agg', '|'), '') AS affiliations
+ORACLE["payload_update"] = _LABELS + """SELECT f.vec_id, f.paper_id, CASE WHEN f.paper_id <> '' THEN coalesce(c.label, 'unknown') ELSE f.institution_label END AS institution_label,
+  CASE WHEN f.paper_id <> '' THEN coalesce(list_aggregate(coalesce(a.affiliations, []), 'string_agg', '|'), '') ELSE list_aggregate(f.affiliations, 'string_agg', '|') END AS affiliations
 FROM fairsearch_arxiv f LEFT JOIN classified c USING (paper_id) LEFT JOIN cache a USING (paper_id)"""
 
 
+def _probes(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of the cache, each with an entry of the default rules, a look-alike or a host behind it, by its length."""
+    known = [e for names in R_.TIERS.values() for e in names] + R_.LOOK_ALIKES + R_.HOSTS
+    names = read(spark, sf, "affiliation_cache").select(F.explode("affiliations").alias("name")).where("name is not null").distinct()
+    more = F.element_at(F.array(*[F.lit(k) for k in known]), (F.length("name") * 7 + F.length(F.regexp_replace("name", "[^aeiou]", "")) * 3) % len(known) + 1)
+    return names.select(F.concat("name", F.lit(", "), F.initcap(more)).alias("name")).distinct()
+
+
+_PROBES = f"""
+WITH known AS (SELECT {[e for names in R_.TIERS.values() for e in names] + R_.LOOK_ALIKES + R_.HOSTS} AS k),
+raw AS (SELECT DISTINCT n AS name FROM (SELECT unnest(affiliations) AS n FROM affiliation_cache) WHERE n IS NOT NULL),
+probe AS (SELECT DISTINCT name || ', ' || k[CAST((length(name) * 7 + length(regexp_replace(name, '[^aeiou]', '', 'g')) * 3) % len(k) + 1 AS INT)] AS low FROM raw CROSS JOIN known)
+"""
+
+
+@query
+def default_rule_triggers(spark: SparkSession, sf: str) -> DataFrame:
+    """The default tiers and look-alikes on all distinct names; tiers go in the order of their names."""
+    return L.match_rules(_probes(spark, sf), L.default_rules(spark)).select(F.lower("name").alias("name"), "trigger")
+
+
+ORACLE["default_rule_triggers"] = _PROBES + f""",
+rules AS (SELECT unnest({[t for t, names in R_.TIERS.items() for _ in names]}) AS tier, unnest({[e for names in R_.TIERS.values() for e in names]}) AS entry),
+norm AS (SELECT low, {_fold('low')} AS n FROM probe),
+blanked AS (SELECT low, list_reduce(list_prepend(n, {R_.LOOK_ALIKES}), lambda a, b: replace(a, b, ' ')) AS t FROM norm)
+SELECT lower(any_value(low)) AS name, arg_min(r.entry, r.tier || '|' || r.entry) AS trigger
+FROM blanked b LEFT JOIN rules r ON contains(b.t, r.entry) AND regexp_matches(b.t, '\\b' || r.entry || '\\b') GROUP BY low"""
+
+
+@query
+def default_hosts(spark: SparkSession, sf: str) -> DataFrame:
+    return _probes(spark, sf).select(F.lower("name").alias("name"), L.is_institutional(F.col("name")).alias("institutional"))
+
+
+ORACLE["default_hosts"] = _PROBES + f"SELECT lower(low) AS name, len(list_filter({R_.HOSTS}, lambda h: contains(lower(low), h))) = 0 AS institutional FROM probe"
+
+
 @query
 def missingness_by_stratum(spark: SparkSession, sf: str) -> DataFrame:
     points = read(spark, sf, "fairsearch_arxiv").select(B.label_of().alias("label"), "year")
@@ -880,8 +997,7 @@ FROM e LEFT JOIN g ON g.paper_id = split_part(e.paper_id, 'v', 1)"""
 
 @query
 def result_label_mix(spark: SparkSession, sf: str) -> DataFrame:
-    mix = B.with_labels(B.run(spark, sf, B.TOP_K), spark, sf)
-    return mix.groupBy("qid", "label").agg(F.count("*").alias("n"))
+    return P.page_mix(B.with_labels(B.run(spark, sf, B.TOP_K), spark, sf))
 
 
 _oracle("result_label_mix", "SELECT qkey AS qid, label, count(*) AS n FROM labeled WHERE rank <= 10 GROUP BY 1, 2")

@@ -321,6 +321,108 @@ def test_models_are_supplied_and_resumed(spark, tmp_path):
     assert M.resume_model(requests, ["qid"], model, schema, path) == 0
 
 
+def failing(folder, bad=(), error="boom", times=10**9):
+    """(model, asked): a model that writes down what it is asked and fails on batches with a bad key, as often as told."""
+    path, bad = f"{folder}/asked", set(bad)
+
+    def asked():
+        with open(path) as f:
+            return f.read().split()
+
+    def model(pdf):
+        with open(path, "a") as f:
+            f.write(",".join(pdf["qid"]) + "\n")
+        with open(path) as f:
+            n = len(f.read().split())
+        if bad & set(pdf["qid"]) and n <= times:
+            raise RuntimeError(error)
+        return pdf[["qid"]].assign(answer="yes")
+
+    return model, asked
+
+
+def test_answered_batches_are_kept_when_a_later_one_fails(spark, tmp_path):
+    requests = spark.createDataFrame([(f"q{i:02}",) for i in range(20)], "qid string")
+    path, schema = str(tmp_path / "answers"), "qid string, answer string"
+    waves = {}
+    for (q,) in requests.collect():  # which wave asks for which request
+        waves.setdefault(requests.where(F.col("qid") == q).select(F.pmod(F.xxhash64("qid"), F.lit(4))).first()[0], []).append(q)
+    third, _ = failing(tmp_path, bad=waves[2][:1])
+    with pytest.raises(PySparkException):
+        M.resume_model(requests, ["qid"], third, schema, path, batch=5, at_once=1)
+    kept = {r["qid"] for r in spark.read.parquet(path).collect()}
+    assert kept == {*waves[0], *waves[1]}
+    (tmp_path / "asked").unlink()
+    fine, asked = failing(tmp_path)
+    assert M.resume_model(requests, ["qid"], fine, schema, path, batch=5, at_once=1) == 20 - len(kept)
+    assert sorted(q for line in asked() for q in line.split(",")) == sorted({*waves[2], *waves[3]})
+    assert M.resume_model(requests, ["qid"], failing(tmp_path, bad=["q00"])[0], schema, path) == 0
+
+
+def test_retries_and_requests_left_for_later(spark, tmp_path):
+    import pandas as pd
+
+    waits = []
+    busy = M.retried(failing(tmp_path, bad=["a"], error="status 429", times=2)[0], attempts=4, wait=lambda e, n: waits.append(M.wait_after(e, n)) or 0.0)
+    assert list(busy(pd.DataFrame({"qid": ["a"]}))["answer"]) == ["yes"] and waits == [60.0, 60.0]
+    assert [M.wait_after(RuntimeError("503"), n) for n in (0, 1, 9)] == [30.0, 60.0, 120.0] and M.wait_after(RuntimeError("x"), 2) == 8.0
+    never, _ = failing(tmp_path, bad=["a"])
+    with pytest.raises(RuntimeError):
+        M.retried(never, attempts=2, wait=lambda e, n: 0.0)(pd.DataFrame({"qid": ["a"]}))
+    assert M.retried(never, attempts=2, wait=lambda e, n: 0.0, later=True)(pd.DataFrame({"qid": ["a"]})) is None
+    calls = []
+
+    def spent(pdf):
+        calls.append(1)
+        raise M.Exhausted("no budget")
+
+    later = M.retried(spent, later=True)
+    assert later(pd.DataFrame()) is None and later(pd.DataFrame()) is None and len(calls) == 1
+    with pytest.raises(M.Exhausted):
+        M.retried(spent)(pd.DataFrame())
+    # what fails stays open, the rest is kept
+    requests = spark.createDataFrame([("a",), ("b",), ("c",)], "qid string")
+    path = str(tmp_path / "answers")
+    model = M.retried(never, attempts=1, later=True)
+    assert M.resume_model(requests, ["qid"], model, "qid string, answer string", path, batch=1) == 2
+    assert {r["qid"] for r in spark.read.parquet(path).collect()} == {"b", "c"}
+
+
+def test_near_misses_equal_the_plain_loop(spark):
+    from difflib import SequenceMatcher
+
+    entries = sorted(r["entry"] for r in L.default_rules(spark).select("entry").distinct().collect() if len(r["entry"]) > 4)
+    rng = np.random.default_rng(2)
+    names = {e.replace("university", "univrsity") for e in entries} | {e[::-1] for e in entries[:20]} | {"".join(rng.permutation(list(e))) for e in entries} | {"zürich eth", "x" * 300, "", "nyu"}
+    want = set()
+    for n in names:
+        ratio, entry = max(((SequenceMatcher(None, n, e).ratio(), e) for e in entries), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+        if ratio >= 0.75:
+            want.add((n, entry, round(ratio, 6)))
+    hist = spark.createDataFrame([(n, 1) for n in names], "normalized string, n_mentions long")
+    assert {tuple(r)[:3] for r in L.near_misses(hist, L.default_rules(spark)).collect()} == want and len(want) > 30
+
+
+def test_labels_are_written_back_in_full(spark):
+    points = spark.createDataFrame([(1, "p", "privileged", ["old"]), (2, "q", "privileged", ["old"]), (3, None, "privileged", ["old"]), (4, "", None, None)], "vec_id int, paper_id string, institution_label string, affiliations array<string>")
+    new = spark.createDataFrame([("p", "underrepresented", ["new"])], "paper_id string, label string, affiliations array<string>")
+    got = {r["vec_id"]: (r["institution_label"], r["affiliations"]) for r in L.update_payload(points, new).collect()}
+    assert got == {1: ("underrepresented", ["new"]), 2: ("unknown", []), 3: ("privileged", ["old"]), 4: (None, None)}
+
+
+def test_titles_tell_papers_without_id_apart(spark):
+    hits = spark.createDataFrame([("q", f"d{i}", s, i) for i, s in enumerate((0.9, 0.9, 0.3, 0.9, 0.9, 0.9), start=1)], "qkey string, doc_key string, score double, rank int")
+    payload = spark.createDataFrame([("d1", "A  b", "x", None), ("d2", "A b", "y", ""), ("d3", "other", "x", "p"), ("d4", "else", "x", "p"), ("d5", None, "x", None), ("d6", "A b", "x", "r")], "doc_key string, title string, abstract string, paper_id string")
+    queries = spark.createDataFrame([("q", "words")], "qkey string, query string")
+    assert [(r["doc_key"], r["rank"]) for r in Q.auto_qrels(hits, payload, queries).orderBy("rank").collect()] == [("d1", 1), ("d4", 2), ("d6", 3)]
+
+
+def test_exposure_needs_a_query(spark):
+    run = spark.createDataFrame([], "qid string, label string, rank int")
+    with pytest.raises(PySparkException):
+        P.exposure_summary(P.exposure_per_query(run), P.parity_per_query(run)).collect()
+
+
 def test_model_answers(spark):
     text = '```json\n[{"title": "T", "stance": "NEUTRAL"}]\n```'
     stances = spark.createDataFrame([("1", text), ("2", "sorry"), ("3", None)], "id string, answer string")
@@ -334,6 +436,6 @@ def test_topk_over_blocks_equals_one(spark, monkeypatch):
     corpus = spark.createDataFrame([(f"d{i:03}", [float(x) for x in rng.integers(-2, 3, 4)] + [1.0]) for i in range(300)], "doc_key string, v array<double>").repartition(3)
     queries = spark.createDataFrame([(f"q{i}", [float(x) for x in rng.integers(-2, 3, 4)] + [1.0]) for i in range(12)], "qid string, v array<double>")
     whole = sorted(map(tuple, V.dense_topk(queries, corpus, 7).collect()))
-    monkeypatch.setattr(V, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(V, "QUERY_BYTES", 8 * 8 * 5)
     monkeypatch.setattr(V, "SCORES_AT_ONCE", 60)
     assert sorted(map(tuple, V.dense_topk(queries, corpus, 7).collect())) == whole and len(whole) == 84

@@ -30,3 +30,11 @@ def test_no_vectors_in_the_ranking_shuffle(spark, sf):
     text = plan(B.run(spark, sf, 10))
     exchange = text[text.index("== Physical Plan ==") :]
     assert "Exchange hashpartitioning(qid" in exchange and "CartesianProduct" not in exchange
+
+
+def test_one_search_per_plan(spark, sf):
+    from equirank.plans import catalog
+
+    for name in ("pool_union", "eo_counts", "equalized_odds", "mmr_lambda_sweep"):
+        text = plan(catalog.QUERIES[name](spark, sf))
+        assert text[text.index("== Optimized Logical Plan ==") : text.index("== Physical Plan ==")].count("MapInPandas") == 1, name

@@ -71,6 +71,13 @@ def test_round_trips(spark, tmp_path):
     assert doc == {"summary": {"n": 2}, "per_query": [{"vec_id": 1, "t": "a"}, {"vec_id": 2, "t": "b"}]}
 
 
+def test_stance_queries_and_tables(spark, tmp_path, capfd):
+    p = put(tmp_path / "s.json", [{"id": 1, "category": "c", "query": "is it so"}, {"id": 2, "category": "d", "query": "or not"}])
+    assert sorted(tuple(r) for r in readers.stance_queries(spark, p).select("id", "category", "query").collect()) == [(1, "c", "is it so"), (2, "d", "or not")]
+    sinks.show_table(spark.createDataFrame([("a long query indeed", 0.5)], "query string, p double"), width=10)
+    assert "a long ..." in capfd.readouterr().out
+
+
 def test_append_once(spark, tmp_path):
     path = str(tmp_path / "done")
     a = spark.createDataFrame([("1", 1), ("2", 1), ("2", 2)], "id string, n int")
