@@ -11,6 +11,8 @@ from ..functions.vector import usable
 
 #: Bytes of query vectors and kept hits that a task holds at once (more queries are taken in further blocks), and scores held at once.
 QUERY_BYTES, HITS_HELD, SCORES_AT_ONCE = 32_000_000, 2_000_000, 4_000_000
+#: So few queries are one block, without counting them first.
+FEW_QUERIES = 2_048
 #: Scores are rounded to so many digits before ranking, so that ties do not depend on the order of summation.
 SCORE_DIGITS = 9
 
@@ -72,6 +74,23 @@ def _score_batches(shared, k: int):
     return run
 
 
+def _query_blocks(asked: DataFrame, k: int):
+    """The queries on the driver, a block of bounded size at a time."""
+    few = asked.limit(FEW_QUERIES + 1).toPandas()
+    if len(few) <= FEW_QUERIES:
+        if len(few):
+            yield few.sort_values("qid", ignore_index=True)
+        return
+    facts = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("size")).first()
+    most = max(2, min(QUERY_BYTES // (8 * facts["size"]), HITS_HELD // (k + 1)))
+    blocks = -(-facts["n"] // (most // 2))
+    for b in range(blocks):
+        # a block is about half of what is allowed, so that uneven hashing stays within it
+        part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toPandas()
+        if len(part):
+            yield part.sort_values("qid", ignore_index=True)
+
+
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     """(qid, doc_key, score, rank): the k most similar documents of each query by cosine.
 
@@ -88,16 +107,10 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     spark, docs = corpus.sparkSession, corpus.where(usable(F.col("v"))).select("doc_key", "v")
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, doc_key {corpus.schema['doc_key'].dataType.simpleString()}, score double"
     out = spark.createDataFrame([], schema)
-    facts = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("size")).first()
-    most = max(2, min(QUERY_BYTES // (8 * (facts["size"] or 1)), HITS_HELD // (k + 1)))
-    blocks = -(-facts["n"] // (most // 2))
-    for b in range(blocks):
-        # a block is about half of what is allowed, so that uneven hashing stays within it
-        part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).orderBy("qid").toPandas()
-        if len(part):
-            excluded = [None if pd.isna(x) else x for x in part["exclude"]]
-            shared = spark.sparkContext.broadcast((part["qid"].to_numpy(), excluded, _unit(np.stack(part["v"].to_numpy()))))
-            out = out.unionByName(docs.mapInPandas(_score_batches(shared, k), schema))
+    for part in _query_blocks(asked, k):
+        excluded = [None if pd.isna(x) else x for x in part["exclude"]]
+        shared = spark.sparkContext.broadcast((part["qid"].to_numpy(), excluded, _unit(np.stack(part["v"].to_numpy()))))
+        out = out.unionByName(docs.mapInPandas(_score_batches(shared, k), schema))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_key")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

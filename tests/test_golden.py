@@ -436,6 +436,7 @@ def test_topk_over_blocks_equals_one(spark, monkeypatch):
     corpus = spark.createDataFrame([(f"d{i:03}", [float(x) for x in rng.integers(-2, 3, 4)] + [1.0]) for i in range(300)], "doc_key string, v array<double>").repartition(3)
     queries = spark.createDataFrame([(f"q{i}", [float(x) for x in rng.integers(-2, 3, 4)] + [1.0]) for i in range(12)], "qid string, v array<double>")
     whole = sorted(map(tuple, V.dense_topk(queries, corpus, 7).collect()))
+    monkeypatch.setattr(V, "FEW_QUERIES", 3)
     monkeypatch.setattr(V, "QUERY_BYTES", 8 * 8 * 5)
     monkeypatch.setattr(V, "SCORES_AT_ONCE", 60)
     assert sorted(map(tuple, V.dense_topk(queries, corpus, 7).collect())) == whole and len(whole) == 84
