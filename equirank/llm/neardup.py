@@ -9,7 +9,8 @@ symbols sum to 0. Its covering radius is 1, and every word lies within that
 radius of k + 1 anchors (correct any one symbol by the syndrome). A record is
 replicated to all of them; two records whose blocks differ in at most one symbol
 always share an anchor. Records that meet are compared per anchor on 16 further
-symbols, and what remains is verified by the exact share of common sequences.
+symbols, then on all, and what remains is verified by the exact share of common
+sequences.
 
 k is the length of the code: the number of anchors is 2^(32 k), and unrelated
 records meet with a chance that falls geometrically with k. k follows from the
@@ -35,6 +36,8 @@ from .common import WordHashes, checkpoint, connected_components, hash64, join_s
 
 #: Symbols that records which meet are compared on, of 4 bits each in one 64-bit lane, and the least share of wanted pairs that must pass.
 LANE, PASS = 16, 0.9
+#: The chance that a wanted pair differs in too many of all symbols to be verified.
+UNLIKE = 1e-7
 #: Most members of an anchor in one task, about; anchors with more are split. They are told by one in WATCHED of the records.
 HOT, WATCHED = 20_000, 256
 #: A comparison at an anchor costs about this share of a replica.
@@ -70,6 +73,10 @@ class Code:
     def replicas(self) -> int:
         return self.blocks * self.length
 
+    def least(self, similarity: float) -> int:
+        """In how many of all symbols a pair of that similarity agrees, but for a chance of UNLIKE."""
+        return max(c for c in range(self.symbols + 1) if _at_least(c, self.symbols, similarity) >= 1 - UNLIKE)
+
 
 def code_for(k: int, similarity: float, miss: float) -> Code:
     """The code of dimension k that misses a pair of just that similarity with a chance of at most `miss`."""
@@ -294,7 +301,11 @@ def near_duplicates(
     one = long_enough.groupBy("class_key").agg(F.first("symbols").alias("symbols"))
     watched = long_enough.where(F.pmod(F.xxhash64("class_key"), F.lit(WATCHED)) == 0).dropDuplicates(["class_key"])
     replicate = lambda rows: rows.mapInPandas(_replicate(code), "anchor long, class_key long, lane long")
-    candidates = checkpoint(_compare(replicate(one), replicate(watched), code.agree))
+    met = _compare(replicate(one), replicate(watched), code.agree)
+    # those that met are compared on all symbols before their texts are taken apart
+    a, b = (one.select(F.col("class_key").alias(x), F.col("symbols").alias(f"s{x}")) for x in "ab")
+    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    candidates = checkpoint(met.join(a, "a").join(b, "b").where(same >= code.least(similarity)).select("a", "b"))
 
     ids = candidates.select(F.col("a").alias("class_key")).union(candidates.select(F.col("b").alias("class_key"))).distinct()
     # One key stands for each class; only those texts are taken apart again, and no text is shuffled.
