@@ -181,6 +181,35 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_forms(spark, sf).where(found).select(*_FIELD)
 
 
+def _p5_sql() -> str:
+    """The cases by regular expressions on values and words, with the tables of look-alike letters of the operator."""
+    alike, sure = "".join(lookalike.LOOK_ALIKES), "".join(c for c in lookalike.LOOK_ALIKES if c not in lookalike.ROUGH)
+    accents = "".join(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in lookalike.ACCENT_BLOCKS)
+    blanks = r"\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
+    hidden = r"\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{3164}\x{FFA0}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}"
+    foreign = f"regexp_matches(regexp_replace({{}}, '[{alike}\\p{{{{Latin}}}}]', '', 'g'), '\\p{{{{L}}}}')"
+    return rf"""
+WITH f AS (
+  SELECT 'fairsearch_arxiv' AS source_table, vec_id AS row_id, 'title' AS field_name, title AS v FROM fairsearch_arxiv
+  UNION ALL SELECT 'authorships', authorship_id, 'author_name', author_name FROM authorships
+  UNION ALL SELECT 'authorships', authorship_id, 'raw_affiliation', raw_affiliation FROM authorships),
+n AS (SELECT *, translate(v, '{lookalike._wide()}', '{lookalike._thin()}') AS t FROM f WHERE regexp_matches(v, '[^\x00-\x7F]')),
+-- a hyphen belongs to the words on both of its sides
+w AS (
+  SELECT source_table, row_id, field_name, NOT {foreign.format('t')} AND regexp_matches(t, '\p{{Latin}}') AS latin_value,
+    unnest(regexp_extract_all(replace(t, '-', '--'), '-?[\p{{L}}\p{{M}}\p{{Cf}}]+-?')) AS w FROM n),
+k AS (
+  SELECT DISTINCT source_table, row_id, field_name FROM w WHERE regexp_matches(w, '[{alike}]') AND (regexp_matches(w, '\p{{Latin}}') OR
+    latin_value AND NOT {foreign.format('w')} AND regexp_matches(w, '[{sure}]') AND
+    (regexp_matches(w, '\p{{Cyrillic}}') OR len(regexp_extract_all(w, '[{alike}]')) > 1 OR regexp_matches(w, '\p{{Lu}}') AND NOT contains(w, '-'))))
+SELECT source_table, row_id, field_name FROM n
+WHERE regexp_matches(v, '[\x{{FB00}}-\x{{FB06}}\x{{FF01}}-\x{{FFEE}}{accents}{blanks}{hidden}]')
+UNION SELECT * FROM k"""
+
+
+ORACLE["p5_found"] = _p5_sql()
+
+
 # 6. markup residue
 
 

@@ -257,6 +257,24 @@ def test_vectors_edges(spark):
     assert knn.nearest(df.limit(0), "vec_id", "embedding", size=4).count() == 0
 
 
+def test_each_cell_has_a_partition_of_its_own(spark):
+    for n in (1, 8, 64, 300):
+        slots = common.partition_slots(spark, n)
+        df = spark.createDataFrame([(x,) for x in slots for _ in range(3)], "slot int").repartition(n, "slot")
+        at = df.select(F.spark_partition_id().alias("p"), "slot").distinct().collect()
+        assert len(slots) == len(set(slots)) == n == len({r["p"] for r in at}) == len(at)
+
+
+def test_crowded_cells_are_shared(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    run = lambda: rows(knn.nearest(df, "vec_id", "embedding", size=8, k=5, cell=64).select("key", "other", "rank"))
+    whole = run()
+    monkeypatch.setattr(knn, "VISITORS", 20)
+    assert run() == whole and len(whole) == 3000
+
+
 def test_a_vector_shared_by_a_third_of_all_rows(spark):
     rng = np.random.default_rng(4)
     other = rng.standard_normal((200, 8)).astype(float).tolist()
