@@ -5,8 +5,11 @@ documents; words are looked up by equi-joins. Channel side: per piece of text a
 or read a run of characters as the bytes of one UTF-8 character under one of the
 wrong encodings; a lost byte is a wildcard. Viterbi search finds the likeliest
 reading under the corpus frequencies; single-byte mix-ups (Cyrillic or Central
-European text read as Western) compete as whole words; runs with lost bytes are
-read along arcs in which U+FFFD is any byte, words by the word frequencies.
+European text read as Western) are arcs over whole runs of letters, weighed by the
+word frequencies; runs with lost bytes are read along arcs in which U+FFFD is any
+byte, words by the word frequencies. A second Viterbi search runs over the pieces
+of each garbled document, with the mix-ups that it is sure to hold as states, so
+that words too short or too rare to tell by themselves are read like those around.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ MIXED_UP = (
 LOST = "�"
 #: Steps of decoding, for text encoded several times.
 DEPTH = 3
+#: Weights of the search over a document: a piece garbled for sure, the bounds of one that is not, one without such a reading, a change of state.
+SURE, DOUBT, UNREAD, CHANGE = 6.0, 3.0, 0.5, 2.0
+#: Pieces that must be garbled for sure under a mix-up before it is a state.
+ATTESTED = 2
 _PIECE = re.compile(r"[^ \t\r\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letters and characters beyond ASCII.
@@ -370,16 +377,18 @@ class Decoder:
         return reading
 
     @staticmethod
-    def mixtures(text: str) -> Iterator[tuple[str, str, str]]:
-        """(reading, longest word of the text, longest word of the reading) under each pair of single-byte encodings."""
-        # punctuation at the ends of a word is meant as such
-        words = [w.strip(_EDGE) for w in re.findall(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text)]
+    def mixtures(text: str, edge: str = _EDGE) -> Iterator[tuple[int, str, str, str]]:
+        """(pair, reading, longest word of the text, longest word of the reading) under each pair of single-byte encodings.
+
+        Punctuation (`edge`) at the ends of a word is meant as such.
+        """
+        words = [w.strip(edge) if edge else w for w in re.findall(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text)]
         words = [w for w in words if not w.isascii()]
         if not words:
             return
         word = max(words, key=len)
         letters = [c for c in word if ord(c) > 127]
-        for read_as, meant in MIXED_UP:
+        for pair, (read_as, meant) in enumerate(MIXED_UP):
             table = _byte_table(read_as)
             if any(c not in table for c in letters):
                 continue
@@ -396,14 +405,28 @@ class Decoder:
             if not new_words:
                 continue
             longest = max(new_words, key=len)
-            yield out, word, longest
+            yield pair, out, word, longest
+
+    def likelier(self, word: str, longest: str) -> tuple[int, int]:
+        """Counts of the word as it is and as it may be meant."""
+        return max(self.count(w) for w in _WORD.findall(word) or [word]), self.count(longest)
+
+    def alternatives(self, text: str) -> list[tuple[int, str, float]]:
+        """(pair, reading, gain) of the single-byte mix-ups under which the piece would be a known word; signs at its ends may be letters."""
+        out: dict[int, tuple[int, str, float]] = {}
+        for edge in (_EDGE, ""):
+            for pair, reading, word, longest in self.mixtures(text, edge):
+                was, known = self.likelier(word, longest)
+                gain = math.log((known + 1) / (was + 0.5))
+                if known and (pair not in out or gain > out[pair][2]):
+                    out[pair] = (pair, reading, gain)
+        return list(out.values())
 
     def mixed_up(self, text: str) -> str | None:
         best, reading = None, None
-        for out, word, longest in self.mixtures(text):
+        for _, out, word, longest in self.mixtures(text):
             letters = [c for c in word if ord(c) > 127]
-            was = max(self.count(w) for w in _WORD.findall(word) or [word])
-            known = self.count(longest)
+            was, known = self.likelier(word, longest)
             whole = len(letters) == len(word)
             if known > was and (len(longest) >= 3 and (len(letters) > 1 or not word.isalpha() or was == 0)):
                 gain = math.log((known + 1) / (was + 0.5))
@@ -426,11 +449,13 @@ class Decoder:
                     found.add(out)
             level = found - reached
             reached |= level
-        for out, word, longest in self.mixtures(text):
-            words.update((word, longest))
-            other = True
-            if LOST in text:
-                reached.add(out)
+        for edge in (_EDGE, ""):
+            for _, out, word, longest in self.mixtures(text, edge):
+                words.update((word, longest))
+                words.update(_WORD.findall(word))
+                other = True
+                if LOST in text and edge:
+                    reached.add(out)
         lost = set()
         for run in (r for t in reached if LOST in t for r in _RUN.findall(t) if LOST in r):
             for codec in (None, *MISREAD):
@@ -534,6 +559,8 @@ def _needs(model):
 
 
 def _decode(model):
+    """Per piece: how it is restored (null if it is not garbled by itself), the mix-ups that give just that, and its readings under others."""
+
     def run(batches):
         decoder = Decoder({}, *model.value)
         for pdf in batches:
@@ -543,8 +570,12 @@ def _decode(model):
                 decoder.best = {} if best is None else {(x["seen"], x["codec"]): (x["w"], x["n"]) for x in best}
                 restored, garbled = decoder._piece(piece)
                 if garbled:
-                    out.append((piece, restored))
-            yield pd.DataFrame(out, columns=["piece", "restored"])
+                    out.append((piece, restored, [pair for pair, reading, *_ in decoder.mixtures(piece) if reading == restored], []))
+                else:
+                    others = [{"pair": pair, "reading": reading, "gain": gain} for pair, reading, gain in decoder.alternatives(piece)]
+                    if others:
+                        out.append((piece, None, [], others))
+            yield pd.DataFrame(out, columns=["piece", "restored", "pairs", "others"])
 
     return run
 
@@ -566,8 +597,11 @@ def _wanted(pieces: DataFrame, model) -> DataFrame:
     return checkpoint(wanted.withColumn("id", F.monotonically_increasing_id()))
 
 
-def _garbled(wanted: DataFrame, words: DataFrame, best: DataFrame | None, model) -> DataFrame:
-    """(piece, restored) of the garbled ones."""
+DECODED = "piece string, restored string, pairs array<int>, others array<struct<pair: int, reading: string, gain: double>>"
+
+
+def _decoded(wanted: DataFrame, words: DataFrame, best: DataFrame | None, model) -> DataFrame:
+    """The rows of _decode() of the pieces that are garbled by themselves or have other readings."""
     counts = wanted.select("id", F.explode("words").alias("w")).join(words, "w").groupBy("id").agg(F.collect_list(F.struct("w", "n")).alias("counts"))
     read = wanted.select("id", "piece").join(counts, "id", "left")
     if best is None:
@@ -575,7 +609,7 @@ def _garbled(wanted: DataFrame, words: DataFrame, best: DataFrame | None, model)
     else:
         asked = wanted.select("id", F.explode("lost").alias("l")).select("id", "l.seen", "l.codec")
         read = read.join(asked.join(best, ["seen", "codec"]).groupBy("id").agg(F.collect_list(F.struct("seen", "codec", "w", "n")).alias("best")), "id", "left")
-    return read.select("piece", "counts", "best").mapInPandas(_decode(model), "piece string, restored string")
+    return read.select("piece", "counts", "best").mapInPandas(_decode(model), DECODED)
 
 
 def _best_words(wanted: DataFrame, words: DataFrame) -> DataFrame:
@@ -587,12 +621,57 @@ def _best_words(wanted: DataFrame, words: DataFrame) -> DataFrame:
     return top.select("seen", "codec", "x.w", (-F.col("x.n")).alias("n"))
 
 
+def _context(pieces: list[str], known: dict[str, dict]) -> dict[int, str]:
+    """Readings, by position, of pieces that are not garbled by themselves but stand among pieces of one mix-up.
+
+    Viterbi search over the pieces; the states are no mix-up (-1) and those with
+    ATTESTED different sure pieces.
+    """
+    sure: dict[int, set[str]] = {}
+    for p in set(pieces):
+        for pair in known[p]["pairs"] if p in known else ():
+            sure.setdefault(int(pair), set()).add(p)
+    states = [-1, *(pair for pair, held in sorted(sure.items()) if len(held) >= ATTESTED)]
+    if len(states) == 1:
+        return {}
+    readings = [{} if p not in known else {x["pair"]: (x["reading"], x["gain"]) for x in known[p]["others"]} for p in pieces]
+    score, back = [0.0] * len(states), []
+    for p, other in zip(pieces, readings):
+        top = max(range(len(states)), key=score.__getitem__)
+        came = [i if score[i] >= score[top] - CHANGE else top for i in range(len(states))]
+        back.append(came)
+        worth = []
+        for state in states:
+            if p in known and known[p]["restored"] is not None:
+                worth.append(SURE if p in sure.get(state, ()) else 0.0)
+            elif state == -1:
+                worth.append(0.0)
+            else:
+                worth.append(min(DOUBT, max(-DOUBT, other[state][1] + 1)) if state in other else -UNREAD)
+        score = [(score[i] if i == came[i] else score[top] - CHANGE) + w for i, w in enumerate(worth)]
+    out, at = {}, max(range(len(states)), key=score.__getitem__)
+    for i in range(len(pieces) - 1, -1, -1):
+        if states[at] in readings[i]:
+            out[i] = readings[i][states[at]][0]
+        at = back[i][at]
+    return out
+
+
 def _restore(batches):
     for pdf in batches:
         rows = []
         for text, found in zip(pdf["text"], pdf["found"]):
-            known = {x["piece"]: (x["restored"], True) for x in found}
-            rows.append(_replace(text, lambda p: known.get(p, (p, False))))
+            known = {x["piece"]: x for x in found}
+            pieces = [m[0] for m in _PIECE.finditer(text) if not m[0].isascii()]
+            around, at = _context(pieces, known), iter(range(len(pieces)))
+
+            def read(p: str) -> tuple[str, bool]:
+                i = next(at)
+                if p in known and known[p]["restored"] is not None:
+                    return known[p]["restored"], True
+                return (around[i], True) if i in around else (p, False)
+
+            rows.append(_replace(text, read))
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "restored": [r[0] for r in rows], "pieces": [r[1] for r in rows], "lost": [r[2] for r in rows]})
 
 
@@ -612,12 +691,16 @@ def restore_texts(docs: DataFrame) -> DataFrame:
     words = checkpoint(word_counts(pieces))
     model = docs.sparkSession.sparkContext.broadcast(sign_counts(words))
     wanted = _wanted(pieces, model)
-    garbled = checkpoint(_garbled(wanted, words, None, model))
+    decoded = checkpoint(_decoded(wanted, words, None, model))
     lossy = wanted.where(F.size("lost") > 0)
     if lossy.limit(1).count():  # lost bytes are read as words of pieces that are not garbled themselves
-        best = _best_words(lossy, word_counts(pieces.join(garbled, "piece", "left_anti")))
-        garbled = checkpoint(garbled.join(lossy, "piece", "left_anti").unionByName(_garbled(lossy, words, best, model)))
+        best = _best_words(lossy, word_counts(pieces.join(decoded.where("restored is not null"), "piece", "left_anti")))
+        decoded = checkpoint(decoded.join(lossy, "piece", "left_anti").unionByName(_decoded(lossy, words, best, model)))
     keyed = src.withColumn("t", F.sha2("text", 256))
     held = F.array_distinct(F.filter(F.split("text", "[ \t\r\n]+"), lambda w: w.rlike(r"[^\x00-\x7F]")))
-    found = keyed.select("t", F.explode(held).alias("piece")).distinct().join(garbled, "piece").groupBy("t").agg(F.collect_list(F.struct("piece", "restored")).alias("found"))
+    found = (
+        keyed.select("t", F.explode(held).alias("piece")).distinct().join(decoded, "piece")
+        .groupBy("t").agg(F.collect_list(F.struct("piece", "restored", "pairs", "others")).alias("found"))
+        .where(F.exists("found", lambda x: x["restored"].isNotNull()))
+    )
     return keyed.join(found, "t").select("doc_id", "text", "found").mapInPandas(_restore, "doc_id long, restored string, pieces long, lost boolean")

@@ -269,3 +269,52 @@ def test_long_and_wrapped_inline_formulas_are_kept():
     assert markup.markup_kinds("It costs $4 here. " + "word " * 60 + "and now US$5 there") == []
     assert markup.markup_kinds("one $x = 1\n\nnext y$ end") == []
     assert markup.clean_text("from (A$)($x^2$) on") == "from (A$)($x^2$) on"
+
+
+def test_texts_garbled_here_are_restored(spark):
+    import random
+
+    docs = common.read(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    bad = {r[0] for r in mojibake.restore_texts(docs).select("doc_id").collect()}
+    rng, kinds = random.Random(5), ["cp1252", "latin-1", "cp437", "mac-roman", "cp850", "cp1251", "cp1250", "twice", "lost", ("cp1251", "cp1252"), ("iso8859-2", "latin-1"), ("cp1250", "cp1252")]
+    rows, truth = [], {}
+    for r in docs.where("text is not null").orderBy("doc_id").collect():
+        text = r["text"]
+        if r["doc_id"] in bad:
+            continue
+        if not text.isascii() and rng.random() < 0.15:
+            kind = kinds[len(truth) % len(kinds)]
+            try:
+                if kind == "twice":
+                    wrong = text.encode().decode("cp1252").encode().decode("cp1252")
+                elif kind == "lost":
+                    wrong = text.encode("latin-1").decode("utf-8", "replace")
+                else:
+                    wrong = text.encode().decode(kind) if isinstance(kind, str) else text.encode(kind[0]).decode(kind[1])
+            except UnicodeError:
+                wrong = text
+            if wrong != text:
+                truth[r["doc_id"]], text = (kind, text, wrong), wrong
+        rows.append((r["doc_id"], text))
+    got = {r["doc_id"]: r["restored"] for r in mojibake.restore_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert set(got) <= set(truth) and len(set(got)) >= 0.99 * len(truth) and len(truth) > 150
+    spoilt, restored = {}, {}
+    for d, (kind, text, wrong) in truth.items():
+        group = kind if kind in ("lost", "twice") else "mixed up" if isinstance(kind, tuple) else "misread"
+        for a, b, c in zip(text.split(), got.get(d, wrong).split(), wrong.split(), strict=True):
+            spoilt[group] = spoilt.get(group, 0) + (a != c)
+            restored[group] = restored.get(group, 0) + (a == b != c)
+    share = {g: restored[g] / spoilt[g] for g in spoilt}
+    assert share["misread"] == share["twice"] == 1 and share["mixed up"] >= 0.99 and share["lost"] >= 0.9, share
+
+
+def test_doubtful_pieces_follow_their_document():
+    reading = lambda pair, text, gain: {"pair": pair, "reading": text, "gain": gain}
+    known = {
+        "A1": {"restored": "a1", "pairs": [0], "others": []}, "A2": {"restored": "a2", "pairs": [0, 3], "others": []},
+        "d": {"restored": None, "pairs": [], "others": [reading(0, "D", -0.5), reading(3, "X", 9.0)]}, "u": {"restored": "u!", "pairs": [], "others": []},
+    }
+    assert mojibake._context(["A1", "d", "A2", "d", "?", "d"], known) == {1: "D", 3: "D", 5: "D"}
+    assert mojibake._context(["A1", "d", "A1", "u"], known) == {} == mojibake._context(["d"], known) == mojibake._context([], known)
+    weak = {**known, "d": {"restored": None, "pairs": [], "others": [reading(0, "D", -9.0)]}}
+    assert mojibake._context(["A1", "A2", *["d"] * 4], weak) == {}
