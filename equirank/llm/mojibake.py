@@ -696,11 +696,12 @@ def restore_texts(docs: DataFrame) -> DataFrame:
     if lossy.limit(1).count():  # lost bytes are read as words of pieces that are not garbled themselves
         best = _best_words(lossy, word_counts(pieces.join(decoded.where("restored is not null"), "piece", "left_anti")))
         decoded = checkpoint(decoded.join(lossy, "piece", "left_anti").unionByName(_decoded(lossy, words, best, model)))
-    keyed = src.withColumn("t", F.sha2("text", 256))
+    # equal texts are met once, told by 128 bits
+    keyed = src.withColumn("t", F.xxhash64("text")).withColumn("u", F.xxhash64("text", F.lit(9)))
     held = F.array_distinct(F.filter(F.split("text", "[ \t\r\n]+"), lambda w: w.rlike(r"[^\x00-\x7F]")))
     found = (
-        keyed.select("t", F.explode(held).alias("piece")).distinct().join(decoded, "piece")
-        .groupBy("t").agg(F.collect_list(F.struct("piece", "restored", "pairs", "others")).alias("found"))
+        keyed.select("t", "u", F.explode(held).alias("piece")).join(decoded, "piece")
+        .groupBy("t", "u").agg(F.collect_set(F.struct("piece", "restored", "pairs", "others")).alias("found"))
         .where(F.exists("found", lambda x: x["restored"].isNotNull()))
     )
-    return keyed.join(found, "t").select("doc_id", "text", "found").mapInPandas(_restore, "doc_id long, restored string, pieces long, lost boolean")
+    return keyed.join(found, ["t", "u"]).select("doc_id", "text", "found").mapInPandas(_restore, "doc_id long, restored string, pieces long, lost boolean")
