@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -22,12 +23,12 @@ def default_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, e) for t, names in R.TIERS.items() for e in names], "tier string, entry string")
 
 
-def few(names: DataFrame, most: int = 10_000) -> list[str]:
-    """A one-column table of look-alikes as a sorted list, for blank_look_alikes(); more than `most` are refused."""
-    rows = names.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} look-alikes")
-    return sorted(r[0] for r in rows)
+def few(rows: DataFrame, most: int = 10_000) -> list:
+    """The values of a small one-column table, as parameters of a job need them; more than `most` are refused."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows")
+    return [r[0] for r in got]
 
 
 def is_institutional(name: Column, hosts: list[str] | None = None) -> Column:
@@ -50,39 +51,50 @@ def blank_look_alikes(normalized: Column, look_alikes: list[str]) -> Column:
     return normalized
 
 
+def normalized_name(name: Column | str) -> Column:
+    """A name in normal form; Arrow work, best on distinct names."""
+    return normalize_institution(fold_ascii(name))
+
+
 def normalized_names(names: DataFrame) -> DataFrame:
     """(name, normalized): distinct non-null names in normal form; Arrow work on distinct names only."""
     distinct = names.select("name").where("name is not null").distinct()
-    return distinct.select("name", normalize_institution(fold_ascii("name")).alias("normalized"))
+    return distinct.select("name", normalized_name("name").alias("normalized"))
 
 
 def match_rules(names: DataFrame, rules: DataFrame, look_alikes: list[str] | None = None) -> DataFrame:
     """(name, normalized, trigger): the first rule entry, by tier and entry, that occurs in the name on word boundaries; null without one.
 
-    Candidate spans of words of each name meet the entries in an equi-join, so
-    neither names nor rules are crossed and the work per name does not grow with
-    the number of rules.
+    The words of each name meet the first words of the entries in an equi-join, and
+    the spans that begin there the entries in another, so neither names nor rules
+    are crossed and the work per name does not grow with the number of rules.
     """
     blank = R.LOOK_ALIKES if look_alikes is None else look_alikes
-    if rules.count() > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    entries = rules.select("tier", F.lower("entry").alias("entry")).distinct()
-    longest = entries.agg(F.max(F.size(_pieces(F.col("entry"))))).first()[0] or 1
+    known = few(rules.select(F.struct("tier", F.lower("entry").alias("entry"))).distinct(), MAX_RULES)
+    spark = names.sparkSession
+    entries = F.broadcast(spark.createDataFrame([tuple(r) for r in known], "tier string, entry string"))  # checked above
+    begins: dict[str, set[int]] = {}
+    for r in known:
+        parts = _PIECE.findall(r["entry"] or "")
+        if parts:
+            begins.setdefault(parts[0], set()).add(len(parts))
+    starts = F.broadcast(spark.createDataFrame([(w, sorted(n)) for w, n in begins.items()], "piece string, lengths array<int>"))
     base = normalized_names(names)
     pieces = _pieces(blank_look_alikes(F.col("normalized"), blank))
-    # every run of pieces from one word boundary to another, up to the longest rule
-    runs = F.expr(
-        f"flatten(transform(sequence(1, greatest(size(pieces), 1)), i -> transform(sequence(1, least({longest}, greatest(size(pieces) - i + 1, 1))), "
-        "n -> array_join(slice(pieces, i, n), ''))))"
-    )
-    spans = base.withColumn("pieces", pieces).where(F.size("pieces") > 0).select("name", F.explode(F.array_distinct(runs)).alias("entry"))
+    # from each piece that begins an entry, the runs of pieces of just the lengths of such entries
+    placed = base.select("name", pieces.alias("pieces")).select("name", "pieces", F.posexplode("pieces").alias("at", "piece")).join(starts, "piece")
+    run = F.transform("lengths", lambda n: F.array_join(F.slice("pieces", F.col("at") + 1, n), ""))
+    spans = placed.select("name", F.explode(run).alias("entry"))
     first = spans.join(entries, "entry").groupBy("name").agg(F.min(F.struct("tier", "entry"))["entry"].alias("trigger"))
     return base.join(first, "name", "left")
 
 
+_PIECE = re.compile(r"(\w+|\W)", re.ASCII)
+
+
 def _pieces(text: Column) -> Column:
     """Words and what stands between them, so that runs of pieces end on word boundaries."""
-    return F.regexp_extract_all(text, F.lit(r"(\w+|\W)"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(_PIECE.pattern), F.lit(1))
 
 
 def classify(papers: DataFrame, matched: DataFrame) -> DataFrame:
@@ -167,9 +179,7 @@ def near_misses(histogram: DataFrame, rules: DataFrame, threshold: float = 0.75,
     that bound is taken for all entries at once, and only entries that it lets
     through are compared, the best bound first.
     """
-    entries = sorted({r["entry"] for r in rules.select("entry").distinct().limit(MAX_RULES + 1).collect() if len(r["entry"]) >= min_length})
-    if len(entries) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    entries = sorted(e for e in few(rules.select("entry").distinct(), MAX_RULES) if len(e) >= min_length)
 
     def best(batches):
         letters = {c: i for i, c in enumerate(sorted(set("".join(entries))))}

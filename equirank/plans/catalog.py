@@ -707,11 +707,13 @@ TIER_COUNTRIES = ("Zephyria", "Nordavia")
 
 def _rules(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     """Rules from the table of canonical names, and the names that hold one of them."""
-    names = read(spark, sf, "canonical_values").where("kind = 'institution'")
-    normal = L.normalized_names(names.select(F.col("canonical_name").alias("name"))).join(names.withColumnRenamed("canonical_name", "name"), "name")
-    rules = normal.where(F.col("country").isin(*TIER_COUNTRIES)).select(F.col("country").alias("tier"), F.col("normalized").alias("entry"))
-    alike = normal.where("normalized like 'city university of %'").select("normalized").distinct().join(rules.select(F.col("entry").alias("normalized")), "normalized", "left_anti")
-    return rules, L.few(alike)
+    names = read(spark, sf, "canonical_values").where("kind = 'institution'").select(F.col("canonical_name").alias("name"), "country")
+    normal = names.select(L.normalized_name("name").alias("normalized"), "country").distinct()
+    known = L.few(normal.select(F.struct("normalized", "country")), L.MAX_RULES)
+    tier = sorted({(country, entry) for entry, country in known if country in TIER_COUNTRIES})
+    entries = {entry for _, entry in tier}
+    alike = sorted({entry for entry, _ in known if entry and entry.startswith("city university of ")} - entries)
+    return spark.createDataFrame(tier, "tier string, entry string"), alike
 
 
 def _cache(spark: SparkSession, sf: str) -> DataFrame:
