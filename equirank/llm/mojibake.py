@@ -92,6 +92,15 @@ def _length(lead: int) -> int:
     return 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
 
 
+def _has_sequence(bytes_: list[int]) -> bool:
+    """A lead byte stands before as many continuation bytes as it asks for: without one there is nothing to read."""
+    for i, b in enumerate(bytes_):
+        k = _length(b) if b >= 0xC2 else 0
+        if k and i + k <= len(bytes_) and all(0x80 <= x <= 0xBF for x in bytes_[i + 1 : i + k]):
+            return True
+    return False
+
+
 def _script(c: str) -> str:
     o = ord(c)
     return "cyr" if 0x400 <= o <= 0x52F else "grk" if 0x370 <= o <= 0x3FF else "lat" if o < 0x250 or 0x1E00 <= o <= 0x1EFF else "oth"
@@ -357,12 +366,13 @@ class Decoder:
         """(reading, the reading read again) under each encoding; doubly encoded text reads well only after the second step."""
         for codec in MISREAD:
             table = _byte_table(codec)
-            if not any(_length(table.get(c, 0)) for c in text if ord(c) > 127):
+            holds = lambda t: _has_sequence([table.get(c, 0) if ord(c) > 127 else 0 for c in t])  # noqa: E731, B023
+            if not holds(text):
                 continue
             for favour in (0.0, 12.0):
                 out = self.viterbi(text, codec, favour)
                 if out != text and all(self.plausible(c) or self.again(c) or c in text for c in out if ord(c) > 127):
-                    yield out, self.viterbi(out, codec)
+                    yield out, self.viterbi(out, codec) if holds(out) else out
 
     def misread(self, text: str) -> str | None:
         base, best, reading = self.likelihood(text), None, None
@@ -691,11 +701,11 @@ def restore_texts(docs: DataFrame) -> DataFrame:
     words = checkpoint(word_counts(pieces))
     model = docs.sparkSession.sparkContext.broadcast(sign_counts(words))
     wanted = _wanted(pieces, model)
-    decoded = checkpoint(_decoded(wanted, words, None, model))
     lossy = wanted.where(F.size("lost") > 0)
+    decoded = checkpoint(_decoded(wanted.where(F.size("lost") == 0), words, None, model))
     if lossy.limit(1).count():  # lost bytes are read as words of pieces that are not garbled themselves
-        best = _best_words(lossy, word_counts(pieces.join(decoded.where("restored is not null"), "piece", "left_anti")))
-        decoded = checkpoint(decoded.join(lossy, "piece", "left_anti").unionByName(_decoded(lossy, words, best, model)))
+        whole = pieces.where(~F.col("piece").contains(LOST)).join(decoded.where("restored is not null"), "piece", "left_anti")
+        decoded = decoded.unionByName(_decoded(lossy, words, _best_words(lossy, word_counts(whole)), model))
     # equal texts are met once, told by 128 bits
     keyed = src.withColumn("t", F.xxhash64("text")).withColumn("u", F.xxhash64("text", F.lit(9)))
     held = F.array_distinct(F.filter(F.split("text", "[ \t\r\n]+"), lambda w: w.rlike(r"[^\x00-\x7F]")))
