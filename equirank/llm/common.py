@@ -108,10 +108,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the shared folder; survives the loss of executors."""
+def checkpoint(df: DataFrame, drop: bool = False) -> DataFrame:
+    """Cut the lineage into the shared folder; survives the loss of executors. With `drop` the shuffles of `df`, which then must not be used again, leave the disk at once."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    if drop:
+        plan, cleaner = df._jdf.queryExecution().executedPlan(), df.sparkSession.sparkContext._jsc.sc().cleaner()
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" and cleaner.isDefined():  # else they go when the driver collects its garbage
+            for shuffle in list(plan.context().shuffleIds().keySet()):
+                cleaner.get().doCleanupShuffle(int(shuffle), True)
+    return kept
 
 
 def join_skewed(rows: DataFrame, unique: DataFrame, keys: str | list[str], hot: int = 1_000_000) -> DataFrame:

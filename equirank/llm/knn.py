@@ -13,6 +13,15 @@ with that distance it then visits the other cells that pass the same test.
 The gap to a box counts only the coordinates outside the box, so the test takes
 the quantile for that number of degrees.
 
+Under a least cosine for all rows that single tree is not used: a query would visit a
+share of the other cells that hardly falls as they grow in number, and its vector would
+go to each. Instead every vector goes to one small cell in each of several independent
+tables, the Gaussian directions with which its product is largest. Two vectors share a
+cell of a table with a chance that follows from their cosine and the number of
+directions alone, never from the data, so the number of tables follows from the chance
+to miss a pair of just the least cosine. Inside a cell the local kd-tree and its test
+are the same. Tables are worked off a few at a time and their shuffles are dropped.
+
 Equal vectors are collapsed to one representative first and their members put
 back afterwards, so a vector that a third of all rows share is searched once.
 """
@@ -20,7 +29,7 @@ back afterwards, so a vector that a third of all rows share is searched once.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -33,6 +42,9 @@ from .common import checkpoint, join_skewed, partition_slots
 CELL, LEAF, SAMPLE = 16_384, 256, 20_000
 #: Visitors of a cell in one task; a cell with more is copied to further tasks that share them.
 VISITORS = 65_536
+#: Vectors that are one cell by themselves, and of one cell of a table; directions of one choice (more cells take several choices);
+#: tables at once, and tables above which the single tree is used; the confidence of the trees inside the cells for a pair at the least cosine.
+ONE_CELL, TABLE_CELL, DIRECTIONS, WAVE, MOST_TABLES, LOCAL = 4_096, 512, 1_024, 2, 64, 0.99
 
 
 def _gamma_share(a: float, x: float) -> float:
@@ -183,8 +195,8 @@ class Cell:
                 continue
             a, b = self.starts[leaf], self.ends[leaf]
             cos = single[active] @ self.single[a:b].T
-            floor = 1.0 - kth[active] / 2 - 1e-5  # single precision only proposes
-            x, y = np.nonzero(cos >= floor[:, None])
+            floor = (1.0 - kth[active] / 2 - 1e-5).astype(np.float32)  # single precision only proposes
+            x, y = np.divmod(np.flatnonzero(cos >= floor[:, None]), cos.shape[1])
             other = self.keys[a:b][y] != keys[active[x]]
             x, y = x[other], y[other]
             if not len(x):
@@ -195,14 +207,17 @@ class Cell:
                 good = cos[x, y] >= cut[x] - 1e-5
                 x, y = x[good], y[good]
             exact = np.einsum("ij,ij->i", unit[active[x]], self.unit[a:b][y])
-            for i in np.unique(x):
-                m = x == i
-                row = active[i]
-                c = np.r_[best[row], exact[m]]
-                w = np.r_[who[row], self.keys[a:b][y[m]]]
-                top = np.lexsort((w, -c))[:k]
-                best[row], who[row] = c[top], w[top]
-                kth[row] = min(kth[row], 2 - 2 * c[top][-1]) if w[top][-1] != -1 else kth[row]
+            had = np.unique(x)
+            row = active[had]
+            of = np.r_[np.repeat(np.arange(len(had)), k), np.searchsorted(had, x)]
+            c = np.r_[best[row].ravel(), exact]
+            w = np.r_[who[row].ravel(), self.keys[a:b][y]]
+            top = np.lexsort((w, -c, of))
+            of = of[top]
+            top = top[np.arange(len(of)) - np.searchsorted(of, of) < k]  # each query has k entries at least
+            best[row], who[row] = c[top].reshape(-1, k), w[top].reshape(-1, k)
+            full = row[who[row, -1] != -1]
+            kth[full] = np.minimum(kth[full], 2 - 2 * best[full, -1])
         at, col = np.nonzero(who != -1)
         near = 2 - 2 * best[at, col] <= far[at] + 1e-12
         at, col = at[near], col[near]
@@ -286,6 +301,89 @@ def _by_cell(finish):
     return run
 
 
+@lru_cache(maxsize=64)
+def shared_cell(directions: int, cosine: float) -> float:
+    """The chance that two unit vectors of this cosine have the largest product with the same one of so many Gaussian directions."""
+    if directions == 1:
+        return 1.0
+    c, h = min(cosine, 0.9999), 0.02
+    at = np.arange(-6 + h / 2, 6, h)
+    x, y = at[:, None], at[None]
+    mass = np.exp(-(x * x - 2 * c * x * y + y * y) / (2 * (1 - c * c)))
+    mass /= mass.sum()
+    below = mass.cumsum(axis=0) - mass / 2
+    below = np.clip(below.cumsum(axis=1) - below / 2, 0, 1)
+    return float(min(1.0, directions * (mass * below ** (directions - 1)).sum()))
+
+
+class Tables:
+    """Independent tables of cells, so many that a pair of just `cosine` meets in none with a chance of `miss` at most."""
+
+    def __init__(self, n: int, rows: int, size: int, cosine: float, miss: float, seed: int) -> None:
+        cells = max(1, -(-n // max(1, rows)))
+        self.choices = max(1, math.ceil(math.log(cells) / math.log(DIRECTIONS) - 1e-9))
+        self.each = math.ceil(cells ** (1 / self.choices) - 1e-9)
+        self.size, self.seed, self.cells = size, seed, self.each**self.choices
+        met = LOCAL * shared_cell(self.each, cosine) ** self.choices if cells > 1 else 1.0
+        self.local = LOCAL if cells > 1 else 1 - miss  # what one table misses, the others find
+        self.count = 1 if met >= 1 else math.ceil(math.log(miss) / math.log1p(-met)) if met > 1e-9 else MOST_TABLES + 1
+
+    def place(self, unit: np.ndarray) -> np.ndarray:
+        """The cell of each vector in each table; cells of different tables have different numbers."""
+        out = np.zeros((len(unit), self.count), np.int64)
+        single = unit.astype(np.float32)
+        for t in range(self.count):
+            rng = np.random.default_rng((self.seed, t))
+            for _ in range(self.choices):
+                out[:, t] = out[:, t] * self.each + (single @ rng.standard_normal((self.size, self.each), dtype=np.float32)).argmax(axis=1)
+            out[:, t] += t * self.cells
+        return out
+
+
+def _place(tables: Tables):
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                raw = np.stack(pdf["v"].to_numpy()).astype("<f4")
+                unit = raw.astype(np.float64)
+                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                yield pd.DataFrame({"cells": list(tables.place(unit)), "key": pdf["key"], "v": [x.tobytes() for x in raw], "query": pdf["query"]})
+
+    return run
+
+
+def _within_cell(tables: Tables, dims: int, k: int, test: Test, far: float):
+    """Rows of whole cells of tables, sorted: the answers inside each cell."""
+
+    def finish(cell: int, part: list[pd.DataFrame]):
+        pdf = pd.concat(part, ignore_index=True)
+        asked = np.flatnonzero(pdf["query"].to_numpy())
+        if len(pdf) < 2 or not len(asked):
+            return
+        raw, unit = _unit(pdf["v"], tables.size)
+        keys = pdf["key"].to_numpy()
+        directions = np.random.default_rng((tables.seed, cell // tables.cells, 1)).standard_normal((tables.size, dims))
+        index = Cell(keys, raw, directions, test)
+        for lo in range(0, len(asked), 4096):
+            q = asked[lo : lo + 4096]
+            at, who, cos, _ = index.search(keys[q], unit[q], k, np.full(len(q), far))
+            if len(at):
+                yield pd.DataFrame({"key": keys[q][at], "other": who, "value": cos})
+
+    def run(batches):
+        kept, n = [], 0
+        for x in _by_cell(finish)(batches):
+            kept.append(x)
+            n += len(x)
+            if n > 20_000:
+                yield pd.concat(kept, ignore_index=True)
+                kept, n = [], 0
+        if kept:
+            yield pd.concat(kept, ignore_index=True)
+
+    return run
+
+
 def _visited_cell(size: int, directions: np.ndarray, k: int, test: Test):
     """Sorted rows of cells, homes first (kind 0), then visitors (kind 1) with their k-th distance so far."""
 
@@ -335,32 +433,28 @@ def distinct_vectors(df: DataFrame, key: str, vector: str, size: int, keep: int)
     return keyed, groups
 
 
-def nearest(
-    df: DataFrame, key: str, vector: str, *, size: int = 64, k: int = 10, min_cosine: float | None = None, queries=None, dims: int = 8,
-    confidence: float = 0.99, wide: float = 0.9, cell: int = CELL, seed: int = 1,
-) -> DataFrame:
-    """(key, other, cosine, rank): for each query row its k most similar other rows by cosine, ties by the smaller key.
+def _by_tables(reps: DataFrame, tables: Tables, k: int, far: float, dims: int, confidence: float) -> DataFrame:
+    """(key, other, value): the answers of all tables, a few of them at a time; on disk are the vectors, those of one wave, and answers."""
+    test = Test(dims, confidence, tables.local, far)
+    homes = checkpoint(reps.mapInPandas(_place(tables), "cells array<int>, key long, v binary, query boolean"), drop=True)
+    waves = []
+    for lo in range(0, tables.count, WAVE):
+        placed = homes.select(F.explode(F.slice("cells", lo + 1, WAVE)).alias("cell"), "key", "v", "query")
+        found = placed.repartition("cell").sortWithinPartitions("cell").mapInPandas(
+            _within_cell(tables, dims, k, test, far), "key long, other long, value double"
+        )
+        # rounded, so that ties do not depend on the order of summation
+        met = found.groupBy("key", "other").agg(F.max(F.round("value", 12)).alias("value"))
+        waves.append(checkpoint(met, drop=True))
+    if len(waves) == 1:
+        return waves[0]
+    return reduce(DataFrame.unionByName, waves).groupBy("key", "other").agg(F.max("value").alias("value"))
 
-    With `min_cosine` only neighbours of at least that cosine count, which bounds
-    every search radius: `confidence` holds for a neighbour at the k-th distance,
-    `wide` for one at that bound. `queries` is a condition on the rows that ask; without it
-    all rows do. Keys are integers; a row given twice counts once. Rows without a proper vector take no part; fewer than
-    k others give fewer rows, an empty table none. The splits are fitted on about
-    SAMPLE vectors (2 x SAMPLE at most); all vectors are indexed.
-    """
-    keyed, groups = distinct_vectors(df, key, vector, size, k + 1)
-    groups = checkpoint(groups)
-    asking = keyed if queries is None else keyed.join(df.where(queries).select(F.col(key).alias("key")).distinct(), "key", "left_semi")
-    wanted = asking.select("g1", "g2").distinct().withColumn("query", F.lit(True)) if queries is not None else None
-    reps = groups.select("rep", "g1", "g2")
-    if wanted is not None:
-        reps = reps.join(wanted, ["g1", "g2"], "left")
-    else:
-        reps = reps.withColumn("query", F.lit(True))
-    vectors = df.select(F.col(key).alias("rep"), F.col(vector).alias("v"))
-    reps = reps.join(vectors, "rep").dropDuplicates(["rep"]).select(F.col("rep").alias("key"), "v", F.coalesce("query", F.lit(False)).alias("query"))
 
-    n = groups.count()
+def _by_visits(
+    reps: DataFrame, n: int, size: int, k: int, far: float, dims: int, confidence: float, wide: float, cell: int, seed: int
+) -> DataFrame:
+    """(key, other, value): the answers of the cells of one tree, the own cell first, then those that pass the test."""
     rng = np.random.default_rng(seed)
     directions = rng.standard_normal((size, dims))
     depth = max(0, math.ceil(math.log2(max(1, n / cell))))
@@ -372,34 +466,79 @@ def nearest(
         sample = drawn.mapInPandas(_project(directions), "key long, p array<float>").limit(2 * SAMPLE).toPandas().sort_values("key")
         fitted = np.stack(sample["p"].to_numpy())
     tree = Tree(fitted, depth)
-    far = 4.0 if min_cosine is None else 2 - 2 * min_cosine
     test = Test(dims, confidence, wide, far)
 
-    homes = checkpoint(reps.mapInPandas(_assign(size, directions, tree), "cell int, key long, v binary, query boolean"))
+    homes = checkpoint(reps.mapInPandas(_assign(size, directions, tree), "cell int, key long, v binary, query boolean"), drop=True)
     cells = 1 << depth
     answers = "kind int, cell int, key long, other long, value double"
     # one partition per cell: hashing the numbers of the cells would leave some partitions empty and crowd others
-    spark = df.sparkSession
+    spark = reps.sparkSession
     slots = spark.createDataFrame(list(enumerate(partition_slots(spark, cells))), "cell int, slot int")
     at_home = homes.join(F.broadcast(slots), "cell").repartition(cells, "slot")
-    own = checkpoint(at_home.sortWithinPartitions("cell").mapInPandas(_own_cell(size, directions, tree, k, test, far), answers))
+    own = checkpoint(at_home.sortWithinPartitions("cell").mapInPandas(_own_cell(size, directions, tree, k, test, far), answers), drop=True)
     local = own.where("kind = 0").select("key", "other", "value")
     # the visits are kept without vectors, which are joined to them on the way to the cells
     asked_for = own.where("kind = 1").select("cell", "kind", "key", "value")
-    visits = asked_for.join(homes.select("key", "v"), "key")
-    ways = [(r["cell"], -(-r["count"] // VISITORS)) for r in asked_for.groupBy("cell").count().collect()]  # one row per cell
-    tasks = sum(w for _, w in ways)
-    free = iter(partition_slots(spark, tasks))
-    desks = spark.createDataFrame([(c, [next(free) for _ in range(w)]) for c, w in ways], "cell int, slots array<int>")
-    residents = homes.join(F.broadcast(desks), "cell").select("cell", F.lit(0).alias("kind"), "key", F.lit(0.0).alias("value"), "v", F.explode("slots").alias("slot"))
-    guests = visits.join(F.broadcast(desks), "cell").select(
-        "cell", "kind", "key", "value", "v", F.get("slots", F.pmod(F.xxhash64("key"), F.size("slots")).cast("int")).alias("slot")
-    )
-    visited = residents.unionByName(guests).repartition(max(1, tasks), "slot").sortWithinPartitions("cell", "kind").mapInPandas(
-        _visited_cell(size, directions, k, test), "key long, other long, value double"
-    )
+    asking = homes.where("query").select("key", "v")
+    found = [local]
+    # a wave of cells at a time, each with about as many visits as there are vectors at most, unless one cell has more
+    counted = [(r["cell"], r["count"]) for r in asked_for.groupBy("cell").count().orderBy("cell").collect()]  # one row per cell
+    waves = [[]]
+    for c, visitors in counted:
+        if waves[-1] and sum(x for _, x in waves[-1]) + visitors > max(n, VISITORS):
+            waves.append([])
+        waves[-1].append((c, visitors))
+    for wave in waves if counted else []:
+        ways = [(c, -(-visitors // VISITORS)) for c, visitors in wave]
+        tasks = sum(w for _, w in ways)
+        free = iter(partition_slots(spark, tasks))
+        desks = spark.createDataFrame([(c, [next(free) for _ in range(w)]) for c, w in ways], "cell int, slots array<int>")
+        residents = homes.join(F.broadcast(desks), "cell").select("cell", F.lit(0).alias("kind"), "key", F.lit(0.0).alias("value"), "v", F.explode("slots").alias("slot"))
+        guests = asked_for.join(F.broadcast(desks), "cell").join(asking, "key").select(
+            "cell", "kind", "key", "value", "v", F.get("slots", F.pmod(F.xxhash64("key"), F.size("slots")).cast("int")).alias("slot")
+        )
+        visited = residents.unionByName(guests).repartition(tasks, "slot").sortWithinPartitions("cell", "kind").mapInPandas(
+            _visited_cell(size, directions, k, test), "key long, other long, value double"
+        )
+        found.append(visited if len(waves) == 1 else checkpoint(visited, drop=True))
     # rounded, so that ties do not depend on the order of summation
-    pairs = local.unionByName(visited).withColumn("value", F.round("value", 12))
+    return reduce(DataFrame.unionByName, found).withColumn("value", F.round("value", 12))
+
+
+def nearest(
+    df: DataFrame, key: str, vector: str, *, size: int = 64, k: int = 10, min_cosine: float | None = None, queries=None, dims: int = 8,
+    confidence: float = 0.99, wide: float = 0.9, miss: float = 1e-3, cell: int = CELL, seed: int = 1,
+) -> DataFrame:
+    """(key, other, cosine, rank): for each query row its k most similar other rows by cosine, ties by the smaller key.
+
+    With `min_cosine` only neighbours of at least that cosine count, and one of just
+    that cosine is missed with a chance of `miss` at most. Where that would take more than MOST_TABLES
+    tables, and without it, one tree is searched: `confidence` holds for a neighbour at
+    the k-th distance, `wide` for one at that bound. `queries` is a condition on the rows that ask; without it
+    all rows do. Keys are integers; a row given twice counts once. Rows without a proper vector take no part; fewer than
+    k others give fewer rows, an empty table none. The splits are fitted on about
+    SAMPLE vectors (2 x SAMPLE at most); all vectors are indexed.
+    """
+    keyed, groups = distinct_vectors(df, key, vector, size, k + 1)
+    groups = checkpoint(groups, drop=True)
+    asking = keyed if queries is None else keyed.join(df.where(queries).select(F.col(key).alias("key")).distinct(), "key", "left_semi")
+    wanted = asking.select("g1", "g2").distinct().withColumn("query", F.lit(True)) if queries is not None else None
+    reps = groups.select("rep", "g1", "g2")
+    if wanted is not None:
+        reps = reps.join(wanted, ["g1", "g2"], "left")
+    else:
+        reps = reps.withColumn("query", F.lit(True))
+    vectors = df.select(F.col(key).alias("rep"), F.col(vector).alias("v"))
+    reps = reps.join(vectors, "rep").dropDuplicates(["rep"]).select(F.col("rep").alias("key"), "v", F.coalesce("query", F.lit(False)).alias("query"))
+
+    n = groups.count()
+    far = 4.0 if min_cosine is None else 2 - 2 * min_cosine
+    rows = n if n <= min(cell, ONE_CELL) else min(cell, TABLE_CELL)
+    tables = Tables(n, rows, size, min_cosine, miss, seed) if min_cosine is not None and min_cosine > 0 else None
+    if tables is not None and tables.count <= MOST_TABLES:
+        pairs = _by_tables(reps, tables, k, far, dims, confidence)
+    else:
+        pairs = _by_visits(reps, n, size, k, far, dims, confidence, wide, cell, seed)
     if min_cosine is not None:
         pairs = pairs.where(F.col("value") >= min_cosine - 1e-12)
 
